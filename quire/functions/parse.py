@@ -12,6 +12,10 @@ def _col(c: Column | str) -> Column:
 
 
 _ARR = "array<string>"
+# Fixed patterns (v2 fence strip and bracket span)
+FENCE_OPEN_RE = r"^```(?i:json)?\s*"
+FENCE_CLOSE_RE = r"\s*```$"
+BRACKET_RE = r"(?s)\[.*\]"
 
 
 def _json_array(c: Column) -> Column:
@@ -26,13 +30,13 @@ def strip_fences(c: Column | str) -> Column:
     """T27 (v2): anchored, case-insensitive opening fence with optional
     ``json`` tag, and a closing fence; only when the text starts with one."""
     t = F.trim(_col(c))
-    stripped = F.regexp_replace(F.regexp_replace(t, r"^```(?i:json)?\s*", ""), r"\s*```$", "")
+    stripped = F.regexp_replace(F.regexp_replace(t, FENCE_OPEN_RE, ""), FENCE_CLOSE_RE, "")
     return F.when(t.startswith("```"), stripped).otherwise(t)
 
 
 def bracket_span(c: Column | str) -> Column:
     """First ``[`` through last ``]``."""
-    return F.regexp_extract(_col(c), r"(?s)\[.*\]", 0)
+    return F.regexp_extract(_col(c), BRACKET_RE, 0)
 
 
 def parse_batch(raw: Column | str) -> Column:

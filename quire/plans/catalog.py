@@ -13,6 +13,8 @@ from quire import constants as K
 from quire.functions import score as sc
 from quire.functions import text as tx
 from quire.functions.hashing import md5_int, md5_order
+from quire.functions import parse as ps
+from quire.operators import quota as qt
 from quire.operators import ranking as rk
 from quire.operators import sampling as smp
 from quire.sources import io
@@ -350,6 +352,119 @@ def stress_sample(spark, sf):
                     sc.fixed4("r.scale_score", signed=True).alias("score_text"))
 
 
+# ---------------------------------------------------------------------------
+# Quotas, planning, prompts
+# ---------------------------------------------------------------------------
+def _verdict_posts(spark, sf):
+    """Posts with a target band drawn by md5 and their row-local verdict."""
+    p = io.posts(spark, sf).withColumn("band_idx", F.pmod(md5_int(K.SEED, "key"), F.lit(4)).cast("int"))
+    p = p.join(F.broadcast(_bands(spark)), "band_idx")
+    return p.withColumn("reason", tx.row_verdict("text", "min_chars", "max_chars"))
+
+
+def _total(spark, sf):
+    return io.posts(spark, sf).agg(F.count("*").alias("_total"))
+
+
+def _targets(spark, sf):
+    total = _total(spark, sf)
+    lengths = qt.proportional_targets(qt.bands_table(spark), total)
+    topics = qt.even_targets(io.posts(spark, sf), "source", total, "topic")
+    return lengths.unionByName(topics).unionByName(qt.question_cap(total))
+
+
+def quota_targets(spark, sf):
+    return _targets(spark, sf)
+
+
+def _accepted_counts(ok):
+    return (ok.select(F.expr("stack(2, 'length', length_name, 'topic', source) as (dimension, value)"))
+            .groupBy("dimension", "value").agg(F.count("*").alias("accepted")))
+
+
+def quota_gap(spark, sf):
+    ok = _verdict_posts(spark, sf).filter(F.col("reason") == "ok")
+    t = _targets(spark, sf).filter(F.col("dimension") != "question")
+    return qt.remaining_gaps(t, _accepted_counts(ok))
+
+
+def profile_plan(spark, sf):
+    ok = _verdict_posts(spark, sf).filter(F.col("reason") == "ok")
+    t = _targets(spark, sf)
+    gaps = qt.remaining_gaps(t.filter(F.col("dimension") != "question"), _accepted_counts(ok))
+    qcap = t.filter(F.col("dimension") == "question").select(F.col("target").alias("_max_q"))
+    qn = ok.agg(F.count_if(tx.has_marker("text", QUESTION_MARKER)).alias("_acc_q"))
+    params = qn.crossJoin(F.broadcast(qcap))
+    return qt.plan_profiles(gaps, qt.bands_table(spark), F.col("_acc_q"), F.col("_max_q"), params)
+
+
+def render_prompts(spark, sf):
+    return qt.render_prompts(profile_plan(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Batch responses
+# ---------------------------------------------------------------------------
+RESPONSE_BATCH = 5
+FENCE_OPEN = "```json\n"
+FENCE_CLOSE = "\n```"
+PAD_BEFORE = "Sure, here they are: "
+PAD_AFTER = " Hope this helps."
+
+
+def _responses(spark, sf):
+    """Benchmark passages grouped into batches of 5 and serialised as the
+    four response shapes seen in practice: plain, fenced, padded, broken."""
+    b = io.table(spark, sf, "benchmark").withColumn("batch_id", F.expr(f"item_id div {RESPONSE_BATCH}"))
+    g = b.groupBy("batch_id").agg(F.to_json(F.transform(
+        F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"])).alias("_json"))
+    shape = F.pmod(F.col("batch_id"), F.lit(4))
+    raw = (F.when(shape == 0, F.col("_json"))
+           .when(shape == 1, F.concat(F.lit(FENCE_OPEN), F.col("_json"), F.lit(FENCE_CLOSE)))
+           .when(shape == 2, F.concat(F.lit(PAD_BEFORE), F.col("_json"), F.lit(PAD_AFTER)))
+           .otherwise(F.expr("substring(_json, 1, length(_json) - 1)")))
+    return g.select(_long("batch_id").alias("batch_id"), raw.alias("raw"))
+
+
+def parse_batches(spark, sf):
+    r = _responses(spark, sf).withColumn("posts", ps.parse_batch("raw"))
+    return r.select("batch_id", F.posexplode("posts").alias("pos", "text")).withColumn("pos", _long("pos"))
+
+
+def failure_rate(spark, sf):
+    r = _responses(spark, sf).withColumn("posts", ps.parse_batch("raw"))
+    c = r.agg(F.count("*").alias("n_batches"), F.count_if(F.col("posts").isNull()).alias("n_failed"))
+    return c.withColumn("failure_rate", F.when(F.col("n_batches") > 0,
+                                               F.lit(100.0) * F.col("n_failed") / F.col("n_batches")).otherwise(0.0))
+
+
+def parse_envelope(spark, sf):
+    """T29 + J2 + S8: v3 envelopes with one profile per item; wrong arity
+    and invalid JSON become dead letters, non-string items fail the row."""
+    b = io.table(spark, sf, "benchmark").withColumn("batch_id", F.expr(f"item_id div {K.BATCH_SIZE}"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"])
+    g = b.groupBy("batch_id").agg(items.alias("_items"), F.count("*").alias("expected"))
+    shape = F.pmod(F.col("batch_id"), F.lit(4))
+    # shape 1 drops an item (wrong arity); shape 2 drops one and puts a
+    # number first (right arity, one non-string); shape 3 is invalid JSON
+    posts = (F.when(shape.isin(1, 2), F.slice("_items", 1, F.size("_items") - 1))
+             .otherwise(F.col("_items")))
+    js = F.to_json(F.struct(posts.alias("posts")))
+    raw = (F.when(shape == 2, F.regexp_replace(js, '^\\{"posts":\\[', '{"posts":[1,'))
+           .when(shape == 3, F.expr("substring(to_json(named_struct('posts', _items)), 2)"))
+           .otherwise(js))
+    env = g.select(_long("batch_id").alias("batch_id"), "expected", raw.alias("raw"))
+    env = env.withColumn("e", ps.parse_envelope("raw", "expected"))
+    good = env.filter(F.col("e.error").isNull()).select(
+        "batch_id", F.posexplode("e.posts").alias("pos", "item"))
+    good = good.select("batch_id", _long("pos").alias("pos"), ps.variant_text("item").alias("text"))
+    good = good.withColumn("status", F.when(F.col("text").isNull(), F.lit("not_a_string")).otherwise(F.lit("ok")))
+    bad = env.filter(F.col("e.error").isNotNull()).select(
+        "batch_id", F.lit(-1).cast("bigint").alias("pos"), F.lit(None).cast("string").alias("text"),
+        F.col("e.error").alias("status"))
+    return good.unionByName(bad)
+
+
 QUERIES: dict[str, Query] = {
     "clean_text": clean_text,
     "dedup_key_first": dedup_key_first,
@@ -384,4 +499,11 @@ QUERIES: dict[str, Query] = {
     "best_model": best_model,
     "token_window": token_window,
     "stress_sample": stress_sample,
+    "quota_targets": quota_targets,
+    "quota_gap": quota_gap,
+    "profile_plan": profile_plan,
+    "render_prompts": render_prompts,
+    "parse_batches": parse_batches,
+    "failure_rate": failure_rate,
+    "parse_envelope": parse_envelope,
 }

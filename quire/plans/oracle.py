@@ -7,6 +7,7 @@ functions, expanded to RE2 syntax. Every integer output is cast to BIGINT.
 from __future__ import annotations
 
 from quire import constants as K
+from quire.functions import parse as ps
 from quire.plans import catalog as C
 
 
@@ -395,3 +396,125 @@ s AS (SELECT key, clean_text, row_number() OVER (ORDER BY {md5_order(K.SEED, 'ke
 j AS (SELECT s.key, s.clean_text, {_softmax(_logits(3))} AS p FROM s JOIN embeddings USING (vec_id))
 SELECT key, clean_text, round(p[3] - p[1], 4) AS scale_score, {_sent_label('(p[3] - p[1])')} AS scale_label,
   printf('%+.4f', round(p[3] - p[1], 4)) AS score_text FROM j"""
+
+# ---------------------------------------------------------------------------
+# Quotas, planning, prompts
+# ---------------------------------------------------------------------------
+_BANDP_VALUES = ", ".join(f"({i}, {lit(n)}, {lo}, {hi}, {p}::DOUBLE)" for i, (n, lo, hi, p) in enumerate(K.LENGTH_BANDS))
+
+_QUOTA_BASE = f"""{POSTS},
+bands(band_idx, length_name, min_chars, max_chars, proportion) AS (VALUES {_BANDP_VALUES}),
+total AS (SELECT count(*) AS total FROM posts),
+lt AS (SELECT *, CAST(floor(total * proportion) AS BIGINT) AS base FROM bands, total),
+length_t AS (SELECT 'length' AS dimension, length_name AS value,
+  CAST(base + CASE WHEN row_number() OVER (ORDER BY proportion DESC, band_idx) <= total - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS target FROM lt),
+topics AS (SELECT DISTINCT source AS value FROM posts),
+tk AS (SELECT value, row_number() OVER (ORDER BY {md5_order(K.SEED, 'value')}, value) AS rnk, count(*) OVER () AS k FROM topics),
+topic_t AS (SELECT 'topic' AS dimension, value, CAST(total // k + CASE WHEN rnk <= total % k THEN 1 ELSE 0 END AS BIGINT) AS target FROM tk, total),
+question_t AS (SELECT 'question' AS dimension, 'all' AS value, CAST(greatest(1, round_even(total * {K.MAX_QUESTION_RATE}::DOUBLE, 0)) AS BIGINT) AS target FROM total),
+targets AS (SELECT * FROM length_t UNION ALL SELECT * FROM topic_t UNION ALL SELECT * FROM question_t),
+vp AS (SELECT p.*, b.length_name, b.min_chars, b.max_chars FROM posts p JOIN bands b ON b.band_idx = {md5_int(K.SEED, 'p.key')} % 4),
+ok AS (SELECT * FROM vp WHERE {row_verdict('text', 'min_chars', 'max_chars')} = 'ok'),
+acc AS (SELECT 'length' AS dimension, length_name AS value, count(*) AS accepted FROM ok GROUP BY 2
+        UNION ALL SELECT 'topic', source, count(*) FROM ok GROUP BY 2),
+gaps AS (SELECT t.dimension, t.value, t.target, CAST(coalesce(a.accepted, 0) AS BIGINT) AS accepted,
+                CAST(t.target - coalesce(a.accepted, 0) AS BIGINT) AS remaining
+         FROM targets t LEFT JOIN acc a USING (dimension, value) WHERE t.dimension <> 'question')"""
+
+SQL["quota_targets"] = f"""
+WITH {_QUOTA_BASE}
+SELECT dimension, value, target FROM targets"""
+
+SQL["quota_gap"] = f"""
+WITH {_QUOTA_BASE}
+SELECT *, remaining > 0 AND remaining = max(CASE WHEN remaining > 0 THEN remaining END) OVER (PARTITION BY dimension) AS is_max_gap
+FROM gaps"""
+
+
+def _sql_pick(options: list[str], h: str) -> str:
+    arr = "[" + ", ".join(lit(o) for o in options) + "]"
+    return f"{arr}[({h}) % {len(options)} + 1]"
+
+
+def _sql_weighted(weights, h: str) -> str:
+    bp = [(n, int(round(w * 10000))) for n, w in weights]
+    total = sum(v for _, v in bp)
+    acc, parts = 0, []
+    for n, v in bp[:-1]:
+        acc += v
+        parts.append(f"WHEN ({h}) % {total} < {acc} THEN {lit(n)}")
+    return f"(CASE {' '.join(parts)} ELSE {lit(bp[-1][0])} END)"
+
+
+def _h(tag: str) -> str:
+    return md5_int(lit(f"{K.SEED}:{tag}"), "profile_id")
+
+
+_SLOTS = """{d}_slots AS (SELECT value AS {d}, row_number() OVER (ORDER BY {h}, slot) AS rnk FROM (
+  SELECT value, value || ':' || CAST(i AS VARCHAR) AS slot FROM gaps, range(1, remaining + 1) r(i)
+  WHERE dimension = '{d}' AND remaining > 0))"""
+
+_PLAN = f"""{_QUOTA_BASE},
+{_SLOTS.format(d='length', h=md5_order(lit(f"{K.SEED}:length"), 'slot'))},
+{_SLOTS.format(d='topic', h=md5_order(lit(f"{K.SEED}:topic"), 'slot'))},
+params AS (SELECT (SELECT count(*) FILTER (WHERE contains(text, {lit(C.QUESTION_MARKER)})) FROM ok) AS acc_q,
+                  (SELECT target FROM targets WHERE dimension = 'question') AS max_q),
+p0 AS (SELECT l.rnk AS profile_id, t.topic, l.length, b.min_chars, b.max_chars, params.*
+       FROM length_slots l JOIN topic_slots t USING (rnk) JOIN bands b ON b.length_name = l.length, params),
+p1 AS (SELECT *, {_sql_weighted(K.FORM_WEIGHTS, _h('form'))} AS form0, {_sql_weighted(K.STYLE_WEIGHTS, _h('style'))} AS style0 FROM p0),
+p2 AS (SELECT *, form0 = 'question' AND acc_q < max_q AS allow_question FROM p1),
+plan AS (SELECT CAST(profile_id AS BIGINT) AS profile_id, topic,
+  {_sql_pick(K.STANCES, _h('stance'))} AS stance, {_sql_pick(K.TONES, _h('tone'))} AS tone,
+  CASE WHEN form0 = 'question' AND NOT allow_question THEN {_sql_pick(K.QUESTION_REPLACEMENTS, _h('form2'))} ELSE form0 END AS form,
+  CASE WHEN style0 = 'short_reaction' AND length IN ({', '.join(lit(x) for x in K.SHORT_REACTION_BANDS)})
+       THEN {_sql_pick(K.SHORT_REACTION_REPLACEMENTS, _h('style2'))} ELSE style0 END AS casual_style,
+  length AS length_name, CAST(min_chars AS BIGINT) AS min_chars, CAST(max_chars AS BIGINT) AS max_chars, allow_question
+  FROM p2)"""
+
+SQL["profile_plan"] = f"""
+WITH {_PLAN}
+SELECT * FROM plan"""
+
+_HEAD_REST = lit("Write exactly "), lit(
+    "".join(__import__("quire.operators.quota", fromlist=["x"]).PROMPT_HEAD.split("{n}", 1)[1])
+    .replace("{{", "{").replace("}}", "}"))
+
+SQL["render_prompts"] = f"""
+WITH {_PLAN},
+b AS (SELECT (profile_id - 1) // {K.BATCH_SIZE} AS batch_id, (profile_id - 1) % {K.BATCH_SIZE} + 1 AS pos, * FROM plan),
+l AS (SELECT batch_id, pos, CAST(pos AS VARCHAR) || '. Topic: ' || topic || chr(10) || '   Perspective: ' || stance
+   || chr(10) || '   Tone: ' || tone || chr(10) || '   Format: ' || form || chr(10) || '   Casual style: ' || casual_style
+   || chr(10) || '   Length: ' || CAST(min_chars AS VARCHAR) || '-' || CAST(max_chars AS VARCHAR) || ' characters'
+   || chr(10) || '   Questions allowed: ' || CASE WHEN allow_question THEN 'yes' ELSE 'no' END AS line FROM b)
+SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) AS n_profiles,
+  {_HEAD_REST[0]} || CAST(count(*) AS VARCHAR) || {_HEAD_REST[1]} || string_agg(line, chr(10) ORDER BY pos) AS prompt
+FROM l GROUP BY batch_id"""
+
+# ---------------------------------------------------------------------------
+# Batch responses
+# ---------------------------------------------------------------------------
+_RESP = f"""g AS (SELECT item_id // {C.RESPONSE_BATCH} AS batch_id, CAST(to_json(list(text ORDER BY item_id)) AS VARCHAR) AS js
+       FROM benchmark GROUP BY 1),
+r AS (SELECT CAST(batch_id AS BIGINT) AS batch_id, CASE batch_id % 4 WHEN 0 THEN js
+        WHEN 1 THEN {lit(C.FENCE_OPEN)} || js || {lit(C.FENCE_CLOSE)}
+        WHEN 2 THEN {lit(C.PAD_BEFORE)} || js || {lit(C.PAD_AFTER)}
+        ELSE substring(js, 1, length(js) - 1) END AS raw FROM g),
+r1 AS (SELECT batch_id, trim(raw) AS r0,
+         CASE WHEN starts_with(trim(raw), '```') THEN regexp_replace(regexp_replace(trim(raw), {lit(ps.FENCE_OPEN_RE)}, ''), {lit(ps.FENCE_CLOSE_RE)}, '') ELSE trim(raw) END AS fenced
+       FROM r),
+r2 AS (SELECT *, regexp_extract(fenced, {lit(ps.BRACKET_RE)}) AS span FROM r1),
+parsed AS (SELECT batch_id, coalesce(
+    from_json(CASE WHEN starts_with(r0, '[') AND json_valid(r0) THEN r0 END, '["VARCHAR"]'),
+    from_json(CASE WHEN starts_with(trim(fenced), '[') AND json_valid(trim(fenced)) THEN trim(fenced) END, '["VARCHAR"]'),
+    from_json(CASE WHEN length(span) > 0 AND json_valid(span) THEN span END, '["VARCHAR"]')) AS posts FROM r2)"""
+
+SQL["parse_batches"] = f"""
+WITH {_RESP}
+SELECT batch_id, CAST(generate_subscripts(posts, 1) - 1 AS BIGINT) AS pos, unnest(posts) AS text
+FROM parsed WHERE posts IS NOT NULL"""
+
+SQL["failure_rate"] = f"""
+WITH {_RESP}
+SELECT count(*) AS n_batches, count(*) FILTER (WHERE posts IS NULL) AS n_failed,
+  CASE WHEN count(*) > 0 THEN 100.0::DOUBLE * count(*) FILTER (WHERE posts IS NULL) / count(*) ELSE 0.0 END AS failure_rate
+FROM parsed"""
