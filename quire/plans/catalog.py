@@ -14,6 +14,7 @@ from quire.functions import score as sc
 from quire.functions import text as tx
 from quire.functions.hashing import md5_int, md5_order
 from quire.functions import parse as ps
+from quire.operators import langid as li
 from quire.operators import quota as qt
 from quire.operators import ranking as rk
 from quire.operators import sampling as smp
@@ -465,6 +466,20 @@ def parse_envelope(spark, sf):
     return good.unionByName(bad)
 
 
+# ---------------------------------------------------------------------------
+# Language identification
+# ---------------------------------------------------------------------------
+def language_id(spark, sf):
+    """L1: trigram model trained on every labelled document, then every
+    document scored; the given language is kept for comparison."""
+    d = io.table(spark, sf, "documents").select("doc_id", "lang", F.lower(tx.clean("text")).alias("t"))
+    dg = li.doc_trigram_counts(d, "doc_id", "t", "lang")
+    model, langs = li.train_from_counts(dg, "lang")
+    pred = li.predict_from_counts(dg, "doc_id", model, langs)
+    actual = io.table(spark, sf, "documents").select("doc_id", "lang")
+    return pred.join(actual, "doc_id").select("doc_id", "lang", "predicted", "n_trigrams")
+
+
 QUERIES: dict[str, Query] = {
     "clean_text": clean_text,
     "dedup_key_first": dedup_key_first,
@@ -506,4 +521,5 @@ QUERIES: dict[str, Query] = {
     "parse_batches": parse_batches,
     "failure_rate": failure_rate,
     "parse_envelope": parse_envelope,
+    "language_id": language_id,
 }

@@ -518,3 +518,23 @@ WITH {_RESP}
 SELECT count(*) AS n_batches, count(*) FILTER (WHERE posts IS NULL) AS n_failed,
   CASE WHEN count(*) > 0 THEN 100.0::DOUBLE * count(*) FILTER (WHERE posts IS NULL) / count(*) ELSE 0.0 END AS failure_rate
 FROM parsed"""
+
+SQL["language_id"] = f"""
+WITH d AS (SELECT doc_id, lang, lower({clean('text')}) AS t FROM documents),
+ch AS (SELECT doc_id, lang, regexp_extract_all(t, '(?s).') AS c FROM d WHERE length(t) >= 3),
+tri AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS g FROM ch),
+counts AS (SELECT lang, g, count(*) AS c FROM tri GROUP BY lang, g),
+v AS (SELECT count(DISTINCT g) AS v FROM counts),
+tot AS (SELECT lang, sum(c) AS t FROM counts GROUP BY lang),
+langs AS (SELECT lang, t, v, CAST(round(ln(1.0::DOUBLE / (t + v)) * 1000000) AS BIGINT) AS fl FROM tot, v),
+model AS (SELECT c.lang, g, CAST(round(ln(CAST(c.c + 1 AS DOUBLE) / (t + v)) * 1000000) AS BIGINT) AS logp
+          FROM counts c JOIN langs USING (lang)),
+dg AS (SELECT doc_id, g, count(*) AS cnt FROM tri GROUP BY doc_id, g),
+n AS (SELECT doc_id, sum(cnt) AS n FROM dg GROUP BY doc_id),
+seen AS (SELECT doc_id, m.lang, sum(cnt * (logp - fl)) AS gain FROM dg JOIN model m USING (g) JOIN langs USING (lang)
+         GROUP BY doc_id, m.lang),
+scored AS (SELECT n.doc_id, l.lang, n.n * l.fl + coalesce(s.gain, 0) AS score, n.n
+           FROM n CROSS JOIN langs l LEFT JOIN seen s ON s.doc_id = n.doc_id AND s.lang = l.lang),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS r FROM scored) WHERE r = 1)
+SELECT best.doc_id, documents.lang, best.lang AS predicted, CAST(best.n AS BIGINT) AS n_trigrams
+FROM best JOIN documents USING (doc_id)"""
