@@ -17,6 +17,7 @@ from quire.functions import parse as ps
 from quire.operators import langid as li
 from quire.operators import quota as qt
 from quire.operators import ranking as rk
+from quire.operators import similarity as sim
 from quire.operators import sampling as smp
 from quire.sources import io
 
@@ -480,6 +481,24 @@ def language_id(spark, sf):
     return pred.join(actual, "doc_id").select("doc_id", "lang", "predicted", "n_trigrams")
 
 
+# ---------------------------------------------------------------------------
+# Near duplicates
+# ---------------------------------------------------------------------------
+def near_dup_jaccard(spark, sf):
+    """J3/D4 word part: for each post, the first earlier post whose word set
+    has Jaccard >= 0.87 with it (identical non-empty sets included)."""
+    p = sim.with_keys(io.posts(spark, sf).select("key", "text"), "text").filter(F.col("wk") != "")
+    return sim.earliest_similar(p, "key", "wk", sim.jaccard_edges(p))
+
+
+def near_dup_chars(spark, sf):
+    """J3/D4 character part (X4): for each post, the first earlier post with
+    SequenceMatcher(candidate, earlier) ratio >= 0.92 on normalized text
+    (equal normalized texts included)."""
+    p = sim.with_keys(io.posts(spark, sf).select("key", "text"), "text")
+    return sim.earliest_similar(p, "key", "nk", sim.char_edges(p))
+
+
 QUERIES: dict[str, Query] = {
     "clean_text": clean_text,
     "dedup_key_first": dedup_key_first,
@@ -522,4 +541,6 @@ QUERIES: dict[str, Query] = {
     "failure_rate": failure_rate,
     "parse_envelope": parse_envelope,
     "language_id": language_id,
+    "near_dup_jaccard": near_dup_jaccard,
+    "near_dup_chars": near_dup_chars,
 }

@@ -538,3 +538,14 @@ scored AS (SELECT n.doc_id, l.lang, n.n * l.fl + coalesce(s.gain, 0) AS score, n
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS r FROM scored) WHERE r = 1)
 SELECT best.doc_id, documents.lang, best.lang AS predicted, CAST(best.n AS BIGINT) AS n_trigrams
 FROM best JOIN documents USING (doc_id)"""
+
+SQL["near_dup_jaccard"] = f"""
+WITH {POSTS},
+p AS (SELECT key, {word_list('text')} AS ws FROM posts),
+w AS (SELECT key, unnest(ws) AS word, len(ws) AS s FROM p WHERE len(ws) > 0),
+pairs AS (SELECT a.key AS ka, b.key AS kb, count(*) AS inter, any_value(a.s) AS sa, any_value(b.s) AS sb
+          FROM w a JOIN w b ON a.word = b.word AND a.key < b.key
+          WHERE 100 * least(a.s, b.s) >= 87 * greatest(a.s, b.s)
+          GROUP BY a.key, b.key)
+SELECT kb AS key, CAST(min(ka) AS BIGINT) AS dup_of FROM pairs
+WHERE inter / (sa + sb - inter) >= 0.87::DOUBLE GROUP BY kb"""
