@@ -14,6 +14,7 @@ from quire.functions import score as sc
 from quire.functions import text as tx
 from quire.functions.hashing import md5_int, md5_order
 from quire.functions import parse as ps
+from quire.operators import greedy as gr
 from quire.operators import langid as li
 from quire.operators import quota as qt
 from quire.operators import ranking as rk
@@ -499,6 +500,62 @@ def near_dup_chars(spark, sf):
     return sim.earliest_similar(p, "key", "nk", sim.char_edges(p))
 
 
+# ---------------------------------------------------------------------------
+# Greedy acceptance
+# ---------------------------------------------------------------------------
+GREEDY_TARGET_DIV = 4         # target N = posts // 4
+RECOVERY_FROM = 0.85          # documents past 85% are the recovery phase
+GREEDY_BUCKET = POST_BUCKET = 100000 * 16
+
+
+def _greedy_inputs(spark, sf):
+    vp = _verdict_posts(spark, sf)
+    total = io.posts(spark, sf).agg(F.expr(f"count(*) div {GREEDY_TARGET_DIV}").alias("_total"))
+    lengths = qt.proportional_targets(qt.bands_table(spark), total)
+    topics = qt.even_targets(io.posts(spark, sf), "source", total, "topic")
+    qcap = qt.question_cap(total).select(F.col("target").alias("cap_question"))
+    ndocs = io.table(spark, sf, "documents").agg(F.count("*").alias("_ndocs"))
+    one = total.select(F.col("_total").alias("cap_total")).crossJoin(qcap).crossJoin(ndocs)
+    t = tx.collapse_ws("text")
+    c = vp.select(
+        "key", F.col("source").alias("topic"), "length_name", F.col("reason").alias("verdict"),
+        F.expr(f"key div {io.POST_KEY_STRIDE}").alias("doc_id"),
+        tx.opening_key(t).alias("opening"), tx.has_marker("text", QUESTION_MARKER).alias("is_question"),
+        F.expr(f"key div {GREEDY_BUCKET}").alias("bucket"), "text")
+    c = sim.with_keys(c, "text").drop("text")
+    c = c.withColumn("has_opening", F.col("opening") != "").withColumn("cap_opening", F.lit(K.OPENING_CAP))
+    c = c.join(F.broadcast(lengths.select(F.col("value").alias("length_name"), F.col("target").alias("cap_length"))),
+               "length_name")
+    c = c.join(topics.select(F.col("value").alias("topic"), F.col("target").alias("cap_topic")), "topic")
+    c = c.crossJoin(F.broadcast(one))
+    c = c.withColumn("phase", F.when(F.col("doc_id") >= F.floor(F.col("_ndocs") * RECOVERY_FROM), F.lit("recovery"))
+                     .otherwise(F.lit("main"))).drop("_ndocs")
+    valid = c.filter(F.col("verdict") == "ok")
+    return c, sim.jaccard_edges(valid), sim.char_edges(valid)
+
+
+def _greedy_decisions(spark, sf):
+    c, je, ce = _greedy_inputs(spark, sf)
+    final = gr.accept(c, "key", "bucket", je, ce)
+    dec = gr.explain_rejections(final, "key", "bucket", je, ce)
+    return gr.with_phase_prefix(dec.join(final.select("key", "phase"), "key"))
+
+
+def greedy_accept(spark, sf):
+    """G1 + G2: decision per post (accepted or the first failed rule)."""
+    return _greedy_decisions(spark, sf).select("key", "phase", "decision", "reason", "accepted_before")
+
+
+def greedy_rejections(spark, sf):
+    """Rejection reason counts of the greedy pass."""
+    return gr.rejection_counts(_greedy_decisions(spark, sf))
+
+
+def greedy_milestones(spark, sf):
+    """Progress milestones every 250 accepted posts."""
+    return gr.milestones(_greedy_decisions(spark, sf), "key")
+
+
 QUERIES: dict[str, Query] = {
     "clean_text": clean_text,
     "dedup_key_first": dedup_key_first,
@@ -543,4 +600,7 @@ QUERIES: dict[str, Query] = {
     "language_id": language_id,
     "near_dup_jaccard": near_dup_jaccard,
     "near_dup_chars": near_dup_chars,
+    "greedy_accept": greedy_accept,
+    "greedy_rejections": greedy_rejections,
+    "greedy_milestones": greedy_milestones,
 }
