@@ -16,11 +16,13 @@ from quire.functions.hashing import md5_int, md5_order
 from quire.functions import parse as ps
 from quire.operators import greedy as gr
 from quire.operators import langid as li
+from quire.operators import model as ml
 from quire.operators import quota as qt
 from quire.operators import ranking as rk
 from quire.operators import similarity as sim
 from quire.operators import sampling as smp
 from quire.sources import io
+from quire.streaming import stream as st
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -556,6 +558,38 @@ def greedy_milestones(spark, sf):
     return gr.milestones(_greedy_decisions(spark, sf), "key")
 
 
+# ---------------------------------------------------------------------------
+# Training and evaluation
+# ---------------------------------------------------------------------------
+REG_PARAMS = [0.0, 0.01, 0.1]
+HOLDOUT_HEX = "0"             # conversations whose md5(conv_id) starts with 0 form the external holdout
+
+
+def train_detector(spark, sf):
+    """M3 + M4 + M7: fit on the train split, choose by validation F1, report
+    test and external-holdout metrics. The holdout conversations never enter
+    the dataset build (D6)."""
+    c = io.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    hold = md5_order(K.SEED, "conv_id").startswith(HOLDOUT_HEX)
+    label = F.when(F.col("role") == "user", F.lit("human")).when(F.col("role") == "assistant", F.lit("ai"))
+    items = c.select((F.col("conv_id") * io.CONV_KEY_STRIDE + F.col("turn")).alias("key"),
+                     tx.clean("text").alias("text"), label.alias("label"), hold.alias("holdout")).filter(
+        F.col("label").isNotNull() & (F.length("text") > 0))
+    lid = F.when(F.col("label") == "ai", 1).otherwise(0)
+    ds = items.filter(~F.col("holdout")).drop("holdout")
+    ds = smp.dedup_first(ds, tx.dedup_key("text"), "key", per=["label"]).drop("dedup_key")
+    ds = smp.stratified_split(smp.balance_classes(ds, "key", "label"), "key", "label").withColumn("label_id", lid)
+    ds = ds.cache()
+    model, val_evals = ml.fit_select(ds.filter("split = 'train'"), ds.filter("split = 'val'"), REG_PARAMS)
+    scorer = ml.mllib_scorer(model)
+    test = ml.binary_metrics(ml.predictions(scorer(ds.filter("split = 'test'")))).withColumn("split", F.lit("test"))
+    ho = items.filter(F.col("holdout")).withColumn("label_id", lid)
+    hold_m = ml.binary_metrics(ml.predictions(scorer(ho))).withColumn("split", F.lit("holdout"))
+    val = val_evals.withColumn("split", F.concat(F.lit("val:reg="), F.col("reg_param").cast("string"))) \
+        .drop("candidate", "reg_param")
+    return val.unionByName(test).unionByName(hold_m)
+
+
 QUERIES: dict[str, Query] = {
     "clean_text": clean_text,
     "dedup_key_first": dedup_key_first,
@@ -603,4 +637,8 @@ QUERIES: dict[str, Query] = {
     "greedy_accept": greedy_accept,
     "greedy_rejections": greedy_rejections,
     "greedy_milestones": greedy_milestones,
+    "train_detector": train_detector,
+    "stream_score": st.stream_score,
+    "stream_dedup": st.stream_dedup,
+    "stream_reject_counts": st.stream_reject_counts,
 }

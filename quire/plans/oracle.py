@@ -549,3 +549,14 @@ pairs AS (SELECT a.key AS ka, b.key AS kb, count(*) AS inter, any_value(a.s) AS
           GROUP BY a.key, b.key)
 SELECT kb AS key, CAST(min(ka) AS BIGINT) AS dup_of FROM pairs
 WHERE inter / (sa + sb - inter) >= 0.87::DOUBLE GROUP BY kb"""
+
+SQL["stream_score"] = SQL["analyze_json"]
+
+SQL["stream_dedup"] = f"""
+WITH {POSTS}
+SELECT DISTINCT text FROM posts"""
+
+SQL["stream_reject_counts"] = f"""
+WITH {POSTS},
+f AS (SELECT CASE WHEN fl = '' THEN 'accepted' ELSE fl END AS fl FROM (SELECT {quality_flags('text')} AS fl FROM posts))
+SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(fl, ',')) AS reason FROM f) GROUP BY reason"""
