@@ -463,10 +463,18 @@ def parse_envelope(spark, sf):
     good = env.filter(F.col("e.error").isNull()).select(
         "batch_id", F.posexplode("e.posts").alias("pos", "item"))
     good = good.select("batch_id", _long("pos").alias("pos"), ps.variant_text("item").alias("text"))
-    good = good.withColumn("status", F.when(F.col("text").isNull(), F.lit("not_a_string")).otherwise(F.lit("ok")))
+    # The batch's profiles, one per expected post, zipped by position
+    prof = env.filter(F.col("e.error").isNull()).select(
+        "batch_id", F.explode(F.sequence(F.lit(0), F.col("expected") - 1)).alias("pos"))
+    prof = prof.withColumn("pos", _long("pos")).withColumn(
+        "band_idx", F.pmod(md5_int(K.SEED, F.concat_ws(":", "batch_id", "pos")), F.lit(4)).cast("int"))
+    prof = prof.join(F.broadcast(_bands(spark)), "band_idx")
+    zipped = good.join(prof, ["batch_id", "pos"])
+    good = zipped.select("batch_id", "pos", "text", "length_name",
+                         tx.row_verdict("text", "min_chars", "max_chars").alias("status"))
     bad = env.filter(F.col("e.error").isNotNull()).select(
         "batch_id", F.lit(-1).cast("bigint").alias("pos"), F.lit(None).cast("string").alias("text"),
-        F.col("e.error").alias("status"))
+        F.lit(None).cast("string").alias("length_name"), F.col("e.error").alias("status"))
     return good.unionByName(bad)
 
 
