@@ -31,10 +31,13 @@ def trigrams(text: Column) -> Column:
 
 
 def doc_trigram_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None = None) -> DataFrame:
-    """(id[, lang], g, cnt) with map-side combining of repeated trigrams."""
+    """(id[, lang], g, cnt) with map-side combining of repeated trigrams.
+    ``g`` is a 64-bit hash of the trigram: aggregations and the model join
+    then move longs, not strings (the trigram vocabulary is far too small
+    for 64-bit collisions to matter)."""
     keys = [id_col] + ([lang_col] if lang_col else [])
-    ex = docs.select(*keys, F.explode(trigrams(F.col(text_col))).alias("g"))
-    return ex.groupBy(*keys, "g").agg(F.count("*").alias("cnt"))
+    ex = docs.select(*keys, F.explode(trigrams(F.col(text_col))).alias("t"))
+    return ex.groupBy(*keys, F.xxhash64("t").alias("g")).agg(F.count("*").alias("cnt"))
 
 
 def train_from_counts(dg: DataFrame, lang_col: str) -> tuple[DataFrame, DataFrame]:
@@ -54,8 +57,9 @@ def train_from_counts(dg: DataFrame, lang_col: str) -> tuple[DataFrame, DataFram
 
 
 def train(labelled: DataFrame, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
-    ex = labelled.select(lang_col, F.explode(trigrams(F.col(text_col))).alias("g"))
-    return train_from_counts(ex.groupBy(lang_col, "g").agg(F.count("*").alias("cnt")), lang_col)
+    ex = labelled.select(lang_col, F.explode(trigrams(F.col(text_col))).alias("t"))
+    return train_from_counts(ex.groupBy(lang_col, F.xxhash64("t").alias("g")).agg(F.count("*").alias("cnt")),
+                             lang_col)
 
 
 def predict_from_counts(dg: DataFrame, id_col: str, model: DataFrame, langs: DataFrame) -> DataFrame:

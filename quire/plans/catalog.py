@@ -21,6 +21,7 @@ from quire.operators import quota as qt
 from quire.operators import ranking as rk
 from quire.operators import similarity as sim
 from quire.operators import sampling as smp
+from quire.session import cut_lineage
 from quire.sources import io
 from quire.streaming import stream as st
 
@@ -520,9 +521,9 @@ GREEDY_BUCKET = POST_BUCKET = 100000 * 16
 
 def _greedy_inputs(spark, sf):
     vp = _verdict_posts(spark, sf)
-    total = io.posts(spark, sf).agg(F.expr(f"count(*) div {GREEDY_TARGET_DIV}").alias("_total"))
+    total = vp.agg(F.expr(f"count(*) div {GREEDY_TARGET_DIV}").alias("_total"))
     lengths = qt.proportional_targets(qt.bands_table(spark), total)
-    topics = qt.even_targets(io.posts(spark, sf), "source", total, "topic")
+    topics = qt.even_targets(vp, "source", total, "topic")
     qcap = qt.question_cap(total).select(F.col("target").alias("cap_question"))
     ndocs = io.table(spark, sf, "documents").agg(F.count("*").alias("_ndocs"))
     one = total.select(F.col("_total").alias("cap_total")).crossJoin(qcap).crossJoin(ndocs)
@@ -540,6 +541,8 @@ def _greedy_inputs(spark, sf):
     c = c.crossJoin(F.broadcast(one))
     c = c.withColumn("phase", F.when(F.col("doc_id") >= F.floor(F.col("_ndocs") * RECOVERY_FROM), F.lit("recovery"))
                      .otherwise(F.lit("main"))).drop("_ndocs")
+    # materialise once: the fixpoint and both edge builders read it
+    c = cut_lineage(c)
     valid = c.filter(F.col("verdict") == "ok")
     return c, sim.jaccard_edges(valid), sim.char_edges(valid)
 
