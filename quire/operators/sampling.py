@@ -54,8 +54,11 @@ def even_source_sample(cand: DataFrame, key: str, source: str, seq: str, n: Colu
     """O2 + O3: ``n // k`` rows per source (first ``n % k`` sources in
     first-appearance order get one more), each source sampled with seed
     ``seed + index``; any shortfall is filled from unused candidates (J1)
-    sampled with ``seed``. ``n`` is a one-row column expression context:
-    pass it as a Column over a one-row table joined beforehand."""
+    sampled with ``seed``. ``n`` is a Column over ``_avail`` (the candidate
+    count), e.g. ``floor(_avail * 0.9)``."""
+    # the candidates feed six branches (sizes, sources, quotas, ranks, the
+    # unused pool); compute them once
+    cand = cand.persist()
     total = cand.agg(F.count("*").alias("_avail"))
     sources = cand.groupBy(source).agg(F.min(seq).alias("_first"))
     sources = sources.withColumn("_idx", (F.row_number().over(Window.orderBy("_first", source)) - 1).cast("bigint"))
@@ -81,6 +84,7 @@ def even_source_sample(cand: DataFrame, key: str, source: str, seq: str, n: Colu
 
 def balance_classes(df: DataFrame, key: str, label: str, seed: int = K.SEED) -> DataFrame:
     """O4 + A10: every class downsampled to the smallest class size."""
+    df = df.persist()  # read by the size count and by the ranking
     sizes = df.groupBy(label).agg(F.count("*").alias("_c"))
     target = sizes.agg(F.min("_c").alias("_m"))
     ranked = hash_rank(df, [label], key, seed)
@@ -110,6 +114,7 @@ def stratified_split(df: DataFrame, key: str, label: str, seed: int = K.SEED,
     if abs(train_frac + val_frac + test_frac - 1.0) > 1e-9:
         raise ValueError("split fractions must sum to 1")
     rel = val_frac / (val_frac + test_frac)
+    df = df.persist()  # read by the per-label counts and by the ranking
     counts = df.groupBy(label).agg(F.count("*").alias("_c"))
     counts = counts.withColumn("_n", F.sum("_c").over(Window.partitionBy(F.lit(1))))
     counts = counts.withColumn("_ntrain", F.floor(F.col("_n") * F.lit(train_frac)).cast("bigint"))

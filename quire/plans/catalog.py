@@ -362,20 +362,22 @@ def stress_sample(spark, sf):
 # Quotas, planning, prompts
 # ---------------------------------------------------------------------------
 def _verdict_posts(spark, sf):
-    """Posts with a target band drawn by md5 and their row-local verdict."""
+    """Posts with a target band drawn by md5 and their row-local verdict
+    (persisted: targets, counts and plans all read it)."""
     p = io.posts(spark, sf).withColumn("band_idx", F.pmod(md5_int(K.SEED, "key"), F.lit(4)).cast("int"))
     p = p.join(F.broadcast(_bands(spark)), "band_idx")
-    return p.withColumn("reason", tx.row_verdict("text", "min_chars", "max_chars"))
+    return p.withColumn("reason", tx.row_verdict("text", "min_chars", "max_chars")).persist()
 
 
 def _total(spark, sf):
     return io.posts(spark, sf).agg(F.count("*").alias("_total"))
 
 
-def _targets(spark, sf):
-    total = _total(spark, sf)
+def _targets(spark, sf, posts=None):
+    posts = io.posts(spark, sf) if posts is None else posts
+    total = posts.agg(F.count("*").alias("_total"))
     lengths = qt.proportional_targets(qt.bands_table(spark), total)
-    topics = qt.even_targets(io.posts(spark, sf), "source", total, "topic")
+    topics = qt.even_targets(posts, "source", total, "topic")
     return lengths.unionByName(topics).unionByName(qt.question_cap(total))
 
 
@@ -389,14 +391,16 @@ def _accepted_counts(ok):
 
 
 def quota_gap(spark, sf):
-    ok = _verdict_posts(spark, sf).filter(F.col("reason") == "ok")
-    t = _targets(spark, sf).filter(F.col("dimension") != "question")
+    vp = _verdict_posts(spark, sf)
+    ok = vp.filter(F.col("reason") == "ok")
+    t = _targets(spark, sf, vp).filter(F.col("dimension") != "question")
     return qt.remaining_gaps(t, _accepted_counts(ok))
 
 
 def profile_plan(spark, sf):
-    ok = _verdict_posts(spark, sf).filter(F.col("reason") == "ok")
-    t = _targets(spark, sf)
+    vp = _verdict_posts(spark, sf)
+    ok = vp.filter(F.col("reason") == "ok")
+    t = _targets(spark, sf, vp).persist()
     gaps = qt.remaining_gaps(t.filter(F.col("dimension") != "question"), _accepted_counts(ok))
     qcap = t.filter(F.col("dimension") == "question").select(F.col("target").alias("_max_q"))
     qn = ok.agg(F.count_if(tx.has_marker("text", QUESTION_MARKER)).alias("_acc_q"))
