@@ -503,7 +503,7 @@ def language_id(spark, sf):
 def near_dup_jaccard(spark, sf):
     """J3/D4 word part: for each post, the first earlier post whose word set
     has Jaccard >= 0.87 with it (identical non-empty sets included)."""
-    p = sim.with_keys(io.posts(spark, sf).select("key", "text"), "text").filter(F.col("wk") != "")
+    p = sim.with_keys(io.posts(spark, sf).select("key", "text"), "text").filter(F.col("wk") != "").persist()
     return sim.earliest_similar(p, "key", "wk", sim.jaccard_edges(p))
 
 
@@ -511,7 +511,7 @@ def near_dup_chars(spark, sf):
     """J3/D4 character part (X4): for each post, the first earlier post with
     SequenceMatcher(candidate, earlier) ratio >= 0.92 on normalized text
     (equal normalized texts included)."""
-    p = sim.with_keys(io.posts(spark, sf).select("key", "text"), "text")
+    p = sim.with_keys(io.posts(spark, sf).select("key", "text"), "text").persist()
     return sim.earliest_similar(p, "key", "nk", sim.char_edges(p))
 
 
