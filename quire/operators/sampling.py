@@ -30,17 +30,25 @@ def exclude_sources(df: DataFrame, source_col: str, holdout: list[str]) -> DataF
     return df.filter(~F.col(source_col).isin(holdout))
 
 
-def prefix_until_target(df: DataFrame, seq: str, usable: Column, chunk_rows: int, target: Column | int) -> DataFrame:
+def prefix_until_target(df: DataFrame, seq: str, usable: Column, chunk_rows: int, target: Column | int | DataFrame,
+                        group: list[str] | None = None) -> DataFrame:
     """Read in chunks of ``chunk_rows`` consecutive ``seq`` values, keep
     usable rows, stop after the chunk where the running usable total reaches
-    ``target`` (the whole last chunk is kept). Two passes over per-chunk
-    counts instead of a sequential scan."""
+    ``target`` (the whole last chunk is kept), separately per ``group``
+    (e.g. per source file). Two passes over per-chunk counts instead of a
+    sequential scan. ``target`` may be a one-row DataFrame with ``_target``."""
+    group = group or []
     tagged = df.withColumn("chunk", F.floor(F.col(seq) / chunk_rows).cast("bigint")).filter(usable)
-    counts = tagged.groupBy("chunk").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tgt = target if isinstance(target, Column) else F.lit(target)
-    keep = counts.withColumn("_before", before).filter(F.col("_before") < tgt).select("chunk")
-    return tagged.join(keep, "chunk", "left_semi")
+    counts = tagged.groupBy(*group, "chunk").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*group).orderBy("chunk") if group else Window.orderBy("chunk")
+    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before)
+    if isinstance(target, DataFrame):
+        counts, tgt = counts.crossJoin(F.broadcast(target.select("_target"))), F.col("_target")
+    else:
+        tgt = target if isinstance(target, Column) else F.lit(target)
+    keep = counts.filter(F.col("_before") < tgt).select(*group, "chunk")
+    return tagged.join(keep, [*group, "chunk"], "left_semi")
 
 
 def oversample_target(n: Column | int, k: Column | int) -> Column:
@@ -50,7 +58,8 @@ def oversample_target(n: Column | int, k: Column | int) -> Column:
     return (F.floor(n / k * K.OVERSAMPLE_FACTOR) + K.OVERSAMPLE_EXTRA).cast("bigint")
 
 
-def even_source_sample(cand: DataFrame, key: str, source: str, seq: str, n: Column, seed: int = K.SEED) -> DataFrame:
+def even_source_sample(cand: DataFrame, key: str, source: str, seq: str, n: Column | DataFrame,
+                       seed: int = K.SEED) -> DataFrame:
     """O2 + O3: ``n // k`` rows per source (first ``n % k`` sources in
     first-appearance order get one more), each source sampled with seed
     ``seed + index``; any shortfall is filled from unused candidates (J1)
@@ -63,7 +72,10 @@ def even_source_sample(cand: DataFrame, key: str, source: str, seq: str, n: Colu
     sources = cand.groupBy(source).agg(F.min(seq).alias("_first"))
     sources = sources.withColumn("_idx", (F.row_number().over(Window.orderBy("_first", source)) - 1).cast("bigint"))
     k = sources.agg(F.count("*").alias("_k"))
-    params = total.crossJoin(k).select(F.least(n, F.col("_avail")).alias("_n"), "_k")
+    params = total.crossJoin(k)
+    if isinstance(n, DataFrame):  # a one-row table holding the requested size in _n_req
+        params, n = params.crossJoin(n.select("_n_req")), F.col("_n_req")
+    params = params.select(F.least(n, F.col("_avail")).alias("_n"), "_k")
     params = params.select("_n", "_k", (F.col("_n") / F.col("_k")).cast("bigint").alias("_base"),
                            F.pmod(F.col("_n"), F.col("_k")).alias("_rem"))
     quotas = sources.crossJoin(_one_row(params)).select(

@@ -19,6 +19,7 @@ from quire.operators import langid as li
 from quire.operators import model as ml
 from quire.operators import quota as qt
 from quire.operators import ranking as rk
+from quire.operators import reports as rp
 from quire.operators import similarity as sim
 from quire.operators import sampling as smp
 from quire.session import cut_lineage
@@ -81,9 +82,7 @@ def word_sets(spark, sf):
 
 
 def opening_counts(spark, sf):
-    p = io.posts(spark, sf).select(tx.opening_key("text").alias("opening"))
-    return (p.filter(F.col("opening") != "").groupBy("opening").agg(F.count("*").alias("n"))
-            .filter(F.col("n") >= 2))
+    return rp.repeated_openings(io.posts(spark, sf), "text")
 
 
 def opening_cap(spark, sf):
@@ -205,29 +204,15 @@ def build_dataset(spark, sf):
 # ---------------------------------------------------------------------------
 def source_distribution(spark, sf):
     d = io.table(spark, sf, "documents").select("source", "lang")
-    long = d.select(F.expr("stack(2, 'source', source, 'lang', lang) as (dimension, value)"))
-    return long.groupBy("dimension", "value").agg(F.count("*").alias("n"))
+    return rp.distribution(d, {"source": "source", "lang": "lang"})
 
 
 def length_summary(spark, sf):
-    ci = io.class_items(spark, sf).withColumn("len", F.length("text"))
-    return ci.groupBy("label").agg(
-        F.count("*").alias("n"),
-        F.avg("len").alias("mean_len"),
-        _long(F.min("len")).alias("min_len"),
-        F.percentile(F.col("len"), F.lit(0.5)).cast("double").alias("median_len"),
-        _long(F.max("len")).alias("max_len"),
-    )
+    return rp.length_summary(io.class_items(spark, sf), "text", "label")
 
 
 def length_median_upper(spark, sf):
-    p = io.posts(spark, sf).withColumn("len", F.length("text"))
-    return p.groupBy("source").agg(
-        F.count("*").alias("n"),
-        _long(F.min("len")).alias("min_len"),
-        _long(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY len DESC)")).alias("median_len"),
-        _long(F.max("len")).alias("max_len"),
-    )
+    return rp.length_min_median_max(io.posts(spark, sf), "text", ["source"])
 
 
 def shortfall_report(spark, sf):
@@ -443,9 +428,7 @@ def parse_batches(spark, sf):
 
 def failure_rate(spark, sf):
     r = _responses(spark, sf).withColumn("posts", ps.parse_batch("raw"))
-    c = r.agg(F.count("*").alias("n_batches"), F.count_if(F.col("posts").isNull()).alias("n_failed"))
-    return c.withColumn("failure_rate", F.when(F.col("n_batches") > 0,
-                                               F.lit(100.0) * F.col("n_failed") / F.col("n_batches")).otherwise(0.0))
+    return rp.failure_rate(r, F.col("posts").isNull())
 
 
 def parse_envelope(spark, sf):
