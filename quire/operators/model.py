@@ -34,14 +34,22 @@ class Scorer(Protocol):
     def __call__(self, df: DataFrame) -> DataFrame: ...
 
 
-def pipeline(reg_param: float, max_iter: int = 50) -> Pipeline:
-    """Tokens are truncated to the reference's 128-token window."""
+def featurizer() -> Pipeline:
+    """Tokens (truncated to the reference's 128-token window) -> hashed TF
+    -> IDF."""
     tok = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True)
+    truncate = SQLTransformer(statement=f"SELECT *, slice(tokens, 1, {K.TOKEN_WINDOW}) AS tokens128 FROM __THIS__")
     tf = HashingTF(inputCol="tokens128", outputCol="tf", numFeatures=NUM_FEATURES)
     idf = IDF(inputCol="tf", outputCol="features")
-    lr = LogisticRegression(featuresCol="features", labelCol="label_id", regParam=reg_param, maxIter=max_iter)
-    truncate = SQLTransformer(statement=f"SELECT *, slice(tokens, 1, {K.TOKEN_WINDOW}) AS tokens128 FROM __THIS__")
-    return Pipeline(stages=[tok, truncate, tf, idf, lr])
+    return Pipeline(stages=[tok, truncate, tf, idf])
+
+
+def classifier(reg_param: float, max_iter: int = 30) -> LogisticRegression:
+    return LogisticRegression(featuresCol="features", labelCol="label_id", regParam=reg_param, maxIter=max_iter)
+
+
+def pipeline(reg_param: float, max_iter: int = 30) -> Pipeline:
+    return Pipeline(stages=[*featurizer().getStages(), classifier(reg_param, max_iter)])
 
 
 def mllib_scorer(model: PipelineModel) -> Scorer:
@@ -102,15 +110,21 @@ def best_by_f1(evals: DataFrame, id_col: str) -> DataFrame:
 
 
 def fit_select(train: DataFrame, val: DataFrame, reg_params: list[float]) -> tuple[PipelineModel, DataFrame]:
-    """M3: fit one model per candidate, evaluate each on validation, keep the
-    best by F1. Returns (best model, validation metrics per candidate)."""
+    """M3: fit the featurizer once, one classifier per candidate on the
+    cached features, evaluate each on validation, keep the best by F1.
+    Returns (best model as one PipelineModel, validation metrics)."""
+    feats = featurizer().fit(train)
+    train_f = feats.transform(train).select("features", "label_id").cache()
+    val_f = feats.transform(val).cache()
     models, evals = {}, None
     for i, rp in enumerate(reg_params):
-        m = pipeline(rp).fit(train)
-        models[i] = m
-        e = binary_metrics(predictions(mllib_scorer(m)(val))).withColumn("candidate", F.lit(i)) \
-            .withColumn("reg_param", F.lit(rp))
+        lr = classifier(rp).fit(train_f)
+        models[i] = lr
+        scored = lr.transform(val_f).withColumn("probs", vector_to_array("probability"))
+        e = binary_metrics(predictions(scored)).withColumn("candidate", F.lit(i)).withColumn("reg_param", F.lit(rp))
         evals = e if evals is None else evals.unionByName(e)
     evals = evals.cache()  # a few rows per candidate
     best = best_by_f1(evals, "candidate").first()[0]
-    return models[best], evals
+    train_f.unpersist()
+    val_f.unpersist()
+    return PipelineModel(stages=[*feats.stages, models[best]]), evals
