@@ -44,7 +44,7 @@ def train_from_counts(dg: DataFrame, lang_col: str) -> tuple[DataFrame, DataFram
     """Returns (model: lang, g, logp, langs: lang, floor) from per-document
     trigram counts. ``langs`` has one row per language — bounded by the
     label set — and is broadcast."""
-    counts = dg.groupBy(lang_col, "g").agg(F.sum("cnt").alias("c"))
+    counts = dg.groupBy(lang_col, "g").agg(F.sum("cnt").alias("c")).persist()  # vocab, totals, model
     vocab = counts.select("g").distinct().agg(F.count("*").alias("_v"))
     totals = counts.groupBy(lang_col).agg(F.sum("c").alias("_t"))
     langs = totals.crossJoin(F.broadcast(vocab)).select(

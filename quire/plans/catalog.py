@@ -473,7 +473,7 @@ def language_id(spark, sf):
     """L1: trigram model trained on every labelled document, then every
     document scored; the given language is kept for comparison."""
     d = io.table(spark, sf, "documents").select("doc_id", "lang", F.lower(tx.clean("text")).alias("t"))
-    dg = li.doc_trigram_counts(d, "doc_id", "t", "lang")
+    dg = li.doc_trigram_counts(d, "doc_id", "t", "lang").persist()  # read by training and scoring
     model, langs = li.train_from_counts(dg, "lang")
     pred = li.predict_from_counts(dg, "doc_id", model, langs)
     actual = io.table(spark, sf, "documents").select("doc_id", "lang")
