@@ -148,9 +148,10 @@ def union_tagged_sources(spark, sf):
     bench = io.table(spark, sf, "benchmark").select(
         F.lit("benchmark").alias("source_file"), F.length("text").alias("len"))
     u = docs.unionByName(bench)
-    role = F.when(F.col("source_file").isin(HOLDOUT_SOURCES), F.lit("holdout")).otherwise(F.lit("train"))
-    return u.groupBy("source_file").agg(F.count("*").alias("n_items"), _long(F.sum("len")).alias("n_chars")) \
-        .withColumn("role", role)
+    train = smp.exclude_sources(u, "source_file", HOLDOUT_SOURCES).withColumn("role", F.lit("train"))
+    hold = u.filter(F.col("source_file").isin(HOLDOUT_SOURCES)).withColumn("role", F.lit("holdout"))
+    return train.unionByName(hold).groupBy("source_file", "role").agg(
+        F.count("*").alias("n_items"), _long(F.sum("len")).alias("n_chars"))
 
 
 def label_mapping(spark, sf):
@@ -354,10 +355,6 @@ def _verdict_posts(spark, sf):
     return p.withColumn("reason", tx.row_verdict("text", "min_chars", "max_chars")).persist()
 
 
-def _total(spark, sf):
-    return io.posts(spark, sf).agg(F.count("*").alias("_total"))
-
-
 def _targets(spark, sf, posts=None):
     posts = io.posts(spark, sf) if posts is None else posts
     total = posts.agg(F.count("*").alias("_total"))
@@ -503,7 +500,7 @@ def near_dup_chars(spark, sf):
 # ---------------------------------------------------------------------------
 GREEDY_TARGET_DIV = 4         # target N = posts // 4
 RECOVERY_FROM = 0.85          # documents past 85% are the recovery phase
-GREEDY_BUCKET = POST_BUCKET = 100000 * 16
+GREEDY_BUCKET = 100000 * 16   # 16 documents of posts per prefix-sum bucket
 
 
 def _greedy_inputs(spark, sf):

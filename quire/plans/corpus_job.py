@@ -30,9 +30,11 @@ SEQ_STRIDE = 1000  # posts per batch stay below this
 
 
 def validate_corpus(responses: DataFrame, profiles: DataFrame, topics: DataFrame, total: int,
-                    question_marker: str = "?", bucket_batches: int = 64) -> dict[str, DataFrame]:
+                    question_marker: str = "?", bucket_batches: int = 64,
+                    fail_on_shortfall: bool = False) -> dict[str, DataFrame]:
     """``topics`` has one column ``topic`` (the topic list); ``total`` is
-    the number of posts wanted."""
+    the number of posts wanted. With ``fail_on_shortfall`` an unmet target
+    raises ``QuotaNotMet`` (A11), as the reference does."""
     spark = responses.sparkSession
     n_prof = profiles.groupBy("batch_id").agg(F.count("*").alias("expected"))
     env = responses.join(n_prof, "batch_id").withColumn("e", ps.parse_envelope("raw", "expected"))
@@ -69,7 +71,13 @@ def validate_corpus(responses: DataFrame, profiles: DataFrame, topics: DataFrame
         final.select("key", "phase", "text", "topic", "length_name", "form", "casual_style"), "key")
     dec = cut_lineage(gr.with_phase_prefix(dec))
     accepted = dec.filter(F.col("decision") == "accepted")
+    wanted = spark.range(1).select(F.lit("total").alias("quota"), F.lit(total).cast("bigint").alias("requested"))
+    got = accepted.agg(F.count("*").alias("available")).withColumn("quota", F.lit("total"))
+    short = rp.shortfall(wanted, got, ["quota"])
+    if fail_on_shortfall:
+        rp.require_no_shortfall(short, "accepted posts")
     return {
+        "shortfall": short,
         "accepted": accepted.select("key", "text", F.lit("ai").alias("label")),
         "decisions": dec.select("key", "phase", "decision", "reason"),
         "dead_letters": dead,

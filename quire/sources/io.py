@@ -69,7 +69,7 @@ def class_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     other roles unmapped and dropped (S9); text cleaned (T4) and blank rows
     dropped (F1). ``key = conv_id * 1000 + turn``."""
     c = table(spark, sf_dir, "conversations")
-    label = F.when(F.col("role") == "user", F.lit("human")).when(F.col("role") == "assistant", F.lit("ai"))
+    label = F.create_map(*[F.lit(x) for kv in ROLE_TO_LABEL.items() for x in kv])[F.col("role")]
     return (
         c.select(
             (F.col("conv_id") * CONV_KEY_STRIDE + F.col("turn")).alias("key"),
@@ -180,7 +180,3 @@ def response_json(sentiment: str = "sentiment", detection: str = "ai_detection",
     """Nested JSON response, or ``{"error": ...}``."""
     return F.when(F.col(error).isNotNull(), F.to_json(F.struct(F.col(error).alias("error")))).otherwise(
         F.to_json(F.struct(F.col(sentiment).alias("sentiment"), F.col(detection).alias("ai_detection"))))
-
-
-def null_tokens() -> list[str]:
-    return list(K.NULL_TOKENS)

@@ -35,3 +35,20 @@ def test_validate_corpus(spark):
     assert out["dead_letters"].count() == 1
     assert out["rejection_counts"].count() >= 3 and out["coverage"].count() > 0
     assert S.normalize("A  B") == "a b"
+
+
+def test_shortfall_is_a_hard_failure(spark):
+    import pytest
+
+    from quire.operators.reports import QuotaNotMet
+
+    responses = spark.createDataFrame([(0, '{"posts": ["a perfectly fine post about local taxes"]}', "main")],
+                                      "batch_id long, raw string, phase string")
+    profiles = spark.createDataFrame([(0, 0, "housing", "very_short", 10, 55, "brief opinion", "standard")],
+                                     "batch_id long, pos long, topic string, length_name string, min_chars int, "
+                                     "max_chars int, form string, casual_style string")
+    topics = spark.createDataFrame([("housing",)], "topic string")
+    out = validate_corpus(responses, profiles, topics, total=10)
+    assert [(r.requested, r.available, r.short) for r in out["shortfall"].collect()] == [(10, 1, 9)]
+    with pytest.raises(QuotaNotMet):
+        validate_corpus(responses, profiles, topics, total=10, fail_on_shortfall=True)
