@@ -18,6 +18,13 @@ FENCE_CLOSE_RE = r"\s*```$"
 BRACKET_RE = r"(?s)\[.*\]"
 
 
+def strip_ws_edges(c: Column) -> Column:
+    """Python ``str.strip()`` (Unicode whitespace at both ends)."""
+    from quire.functions.text import strip_ws
+
+    return strip_ws(c)
+
+
 def _json_array(c: Column) -> Column:
     """Parse a JSON array of values into strings; null when the text is not
     an array. A non-array value (``{}``, ``"s"``, ``1``) also gives null."""
@@ -52,6 +59,23 @@ def parse_batch(raw: Column | str) -> Column:
     )
 
 
+def strip_fences_v1(c: Column | str) -> Column:
+    """T27 (v1): when the text starts with a fence, strip every backtick at
+    both ends, then a leading ``json``, then surrounding whitespace."""
+    t = strip_ws_edges(_col(c))
+    unticked = F.regexp_replace(t, "^`+|`+$", "")
+    dropped = F.when(unticked.startswith("json"), F.substring(unticked, 5, 1 << 30)).otherwise(unticked)
+    return F.when(t.startswith("```"), strip_ws_edges(dropped)).otherwise(t)
+
+
+def parse_batch_v1(raw: Column | str) -> Column:
+    """T26-T28 (v1 order): fence strip first, then a strict parse, then the
+    bracket span. An empty list is a success."""
+    t = strip_fences_v1(F.coalesce(_col(raw), F.lit("")))
+    span = bracket_span(t)
+    return F.coalesce(_json_array(t), F.when(F.length(span) > 0, _json_array(span)))
+
+
 def parse_envelope(raw: Column | str, expected: Column | str) -> Column:
     """T29 (v3): ``posts`` must be a list with exactly ``expected`` items.
     Returns struct(posts ARRAY<VARIANT>, error STRING); items keep their JSON

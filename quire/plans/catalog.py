@@ -117,6 +117,14 @@ def accept_posts(spark, sf):
     return first.orderBy("key").limit(ACCEPT_LIMIT)
 
 
+def accept_posts_v1(spark, sf):
+    """v1 acceptance: strip only, drop empty and placeholder-handle posts,
+    exact first-wins dedup on the stripped text, truncate to N."""
+    p = io.posts(spark, sf).select("key", tx.strip_ws("text").alias("text"))
+    p = p.filter((F.length("text") > 0) & ~F.lower("text").contains(K.PLACEHOLDER_HANDLE))
+    return rk.first_wins(p, ["text"], ["key"]).orderBy("key").limit(ACCEPT_LIMIT)
+
+
 def _bands(spark):
     return spark.createDataFrame(
         [(i, n, lo, hi) for i, (n, lo, hi, _p) in enumerate(K.LENGTH_BANDS)],
@@ -423,6 +431,12 @@ def parse_batches(spark, sf):
     return r.select("batch_id", F.posexplode("posts").alias("pos", "text")).withColumn("pos", _long("pos"))
 
 
+def parse_batches_v1(spark, sf):
+    """T26-T28 in the v1 order (fence strip, strict parse, bracket span)."""
+    r = _responses(spark, sf).withColumn("posts", ps.parse_batch_v1("raw"))
+    return r.select("batch_id", F.posexplode("posts").alias("pos", "text")).withColumn("pos", _long("pos"))
+
+
 def failure_rate(spark, sf):
     r = _responses(spark, sf).withColumn("posts", ps.parse_batch("raw"))
     return rp.failure_rate(r, F.col("posts").isNull())
@@ -596,6 +610,7 @@ QUERIES: dict[str, Query] = {
     "surface_flags": surface_flags,
     "quality_flags": quality_flags,
     "accept_posts": accept_posts,
+    "accept_posts_v1": accept_posts_v1,
     "row_verdict": row_verdict,
     "english_only": english_only,
     "prefix_until_target": prefix_until_target,
@@ -624,6 +639,7 @@ QUERIES: dict[str, Query] = {
     "profile_plan": profile_plan,
     "render_prompts": render_prompts,
     "parse_batches": parse_batches,
+    "parse_batches_v1": parse_batches_v1,
     "failure_rate": failure_rate,
     "parse_envelope": parse_envelope,
     "language_id": language_id,

@@ -560,3 +560,30 @@ SQL["stream_reject_counts"] = f"""
 WITH {POSTS},
 f AS (SELECT CASE WHEN fl = '' THEN 'accepted' ELSE fl END AS fl FROM (SELECT {quality_flags('text')} AS fl FROM posts))
 SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(fl, ',')) AS reason FROM f) GROUP BY reason"""
+
+_STRIP = lit("^" + K.SPACE_RUN + "|" + K.SPACE_RUN + "$")
+
+
+def strip_ws(x: str) -> str:
+    return f"regexp_replace({x}, {_STRIP}, '', 'g')"
+
+
+SQL["accept_posts_v1"] = f"""
+WITH {POSTS}, t AS (SELECT key, {strip_ws('text')} AS text FROM posts),
+ok AS (SELECT * FROM t WHERE length(text) > 0 AND NOT contains(lower(text), {lit(K.PLACEHOLDER_HANDLE)})),
+first AS (SELECT key, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY key) AS rn FROM ok) WHERE rn = 1)
+SELECT key, text FROM first ORDER BY key LIMIT {C.ACCEPT_LIMIT}"""
+
+_RESP_V1 = _RESP.split("r1 AS (")[0] + f"""s0 AS (SELECT batch_id, {strip_ws('raw')} AS t FROM r),
+s1 AS (SELECT batch_id, CASE WHEN starts_with(t, '```') THEN
+         {strip_ws("CASE WHEN starts_with(regexp_replace(t, '^`+|`+$', '', 'g'), 'json') THEN substring(regexp_replace(t, '^`+|`+$', '', 'g'), 5) ELSE regexp_replace(t, '^`+|`+$', '', 'g') END")}
+       ELSE t END AS t FROM s0),
+s2 AS (SELECT *, regexp_extract(t, {lit(ps.BRACKET_RE)}) AS span FROM s1),
+parsed AS (SELECT batch_id, coalesce(
+    from_json(CASE WHEN starts_with(trim(t), '[') AND json_valid(trim(t)) THEN trim(t) END, '["VARCHAR"]'),
+    from_json(CASE WHEN length(span) > 0 AND json_valid(span) THEN span END, '["VARCHAR"]')) AS posts FROM s2)"""
+
+SQL["parse_batches_v1"] = f"""
+WITH {_RESP_V1}
+SELECT batch_id, CAST(generate_subscripts(posts, 1) - 1 AS BIGINT) AS pos, unnest(posts) AS text
+FROM parsed WHERE posts IS NOT NULL"""
