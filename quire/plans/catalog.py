@@ -450,12 +450,13 @@ def parse_envelope(spark, sf):
     g = b.groupBy("batch_id").agg(items.alias("_items"), F.count("*").alias("expected"))
     shape = F.pmod(F.col("batch_id"), F.lit(4))
     # shape 1 drops an item (wrong arity); shape 2 drops one and puts a
-    # number first (right arity, one non-string); shape 3 is invalid JSON
+    # number first (right arity, one non-string); shape 3 is truncated JSON
     posts = (F.when(shape.isin(1, 2), F.slice("_items", 1, F.size("_items") - 1))
              .otherwise(F.col("_items")))
     js = F.to_json(F.struct(posts.alias("posts")))
     raw = (F.when(shape == 2, F.regexp_replace(js, '^\\{"posts":\\[', '{"posts":[1,'))
-           .when(shape == 3, F.expr("substring(to_json(named_struct('posts', _items)), 2)"))
+           .when(shape == 3, F.expr("substring(to_json(named_struct('posts', _items)), 1, "
+                                    "length(to_json(named_struct('posts', _items))) - 1)"))
            .otherwise(js))
     env = g.select(_long("batch_id").alias("batch_id"), "expected", raw.alias("raw"))
     env = env.withColumn("e", ps.parse_envelope("raw", "expected"))

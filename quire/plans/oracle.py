@@ -587,3 +587,31 @@ SQL["parse_batches_v1"] = f"""
 WITH {_RESP_V1}
 SELECT batch_id, CAST(generate_subscripts(posts, 1) - 1 AS BIGINT) AS pos, unnest(posts) AS text
 FROM parsed WHERE posts IS NOT NULL"""
+
+_ENV_JS = "CAST(to_json({'posts': items}) AS VARCHAR)"
+_ENV_JS_SHORT = "CAST(to_json({'posts': items[1:len(items) - 1]}) AS VARCHAR)"
+
+SQL["parse_envelope"] = f"""
+WITH b AS (SELECT item_id // {K.BATCH_SIZE} AS batch_id, list(text ORDER BY item_id) AS items, count(*) AS expected
+           FROM benchmark GROUP BY 1),
+e AS (SELECT CAST(batch_id AS BIGINT) AS batch_id, expected, CASE batch_id % 4
+        WHEN 1 THEN {_ENV_JS_SHORT}
+        WHEN 2 THEN regexp_replace({_ENV_JS_SHORT}, '^\\{{"posts":\\[', '{{"posts":[1,')
+        WHEN 3 THEN substring({_ENV_JS}, 1, length({_ENV_JS}) - 1)
+        ELSE {_ENV_JS} END AS raw FROM b),
+p AS (SELECT *, CASE WHEN json_valid(raw) THEN json_extract(raw, '$.posts') END AS posts,
+             json_valid(raw) AS ok FROM e),
+st AS (SELECT *, CASE WHEN NOT ok THEN 'invalid_json'
+                      WHEN posts IS NULL OR json_type(posts) <> 'ARRAY' THEN 'missing_posts'
+                      WHEN json_array_length(posts) <> expected THEN 'wrong_arity' END AS error FROM p),
+items AS (SELECT batch_id, unnest(json_extract(posts, '$[*]')) AS item,
+                 unnest(range(CAST(json_array_length(posts) AS BIGINT))) AS pos FROM st WHERE error IS NULL),
+t AS (SELECT batch_id, pos, CASE WHEN json_type(item) = 'VARCHAR' THEN json_extract_string(item, '$') END AS text
+      FROM items),
+bands(band_idx, length_name, min_chars, max_chars) AS (VALUES {_BANDS_VALUES}),
+z AS (SELECT t.*, b.length_name, b.min_chars, b.max_chars FROM t
+      JOIN bands b ON b.band_idx = {md5_int(K.SEED, "concat_ws(':', t.batch_id, t.pos)")} % 4)
+SELECT batch_id, CAST(pos AS BIGINT) AS pos, text, length_name, {row_verdict('text', 'min_chars', 'max_chars')} AS status
+FROM z
+UNION ALL
+SELECT batch_id, CAST(-1 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), error FROM st WHERE error IS NOT NULL"""
