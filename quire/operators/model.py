@@ -13,6 +13,7 @@ the same DataFrame plus ``probs ARRAY<DOUBLE>`` (class 0 = human, 1 = ai).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from multiprocessing.pool import ThreadPool
 from typing import Protocol
 
 import pandas as pd
@@ -116,9 +117,13 @@ def fit_select(train: DataFrame, val: DataFrame, reg_params: list[float]) -> tup
     feats = featurizer().fit(train)
     train_f = feats.transform(train).select("features", "label_id").cache()
     val_f = feats.transform(val).cache()
+    # candidates are fitted from concurrent threads (as TrainValidationSplit
+    # does with ``parallelism``): each fit is a chain of small jobs, so
+    # running them side by side keeps the executors busy
+    with ThreadPool(max(1, len(reg_params))) as pool:
+        fitted = pool.map(lambda rp: classifier(rp).fit(train_f), reg_params)
     models, evals = {}, None
-    for i, rp in enumerate(reg_params):
-        lr = classifier(rp).fit(train_f)
+    for i, (rp, lr) in enumerate(zip(reg_params, fitted)):
         models[i] = lr
         scored = lr.transform(val_f).withColumn("probs", vector_to_array("probability"))
         e = binary_metrics(predictions(scored)).withColumn("candidate", F.lit(i)).withColumn("reg_param", F.lit(rp))
