@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,14 +122,21 @@ def read_csv_column(spark: SparkSession, paths: list[str] | str, column: str,
     )
 
 
-def read_json_items(spark: SparkSession, paths: list[str] | str, label: str = "ai") -> DataFrame:
+def read_json_items(spark: SparkSession, paths: list[str] | str, label: str = "ai",
+                    lines: bool = False) -> DataFrame:
     """S2 (+S3, F3): JSON array-of-objects files; missing file is an error,
     non-object items are skipped, ``text`` defaults to '' and is stripped.
-    Carries ``source_file``, ``seq`` (file order, position) and ``label``."""
+    Carries ``source_file``, ``seq`` (file order, position) and ``label``.
+
+    A JSON array is one value per file, read by one task; for large inputs
+    write JSON lines (one object per line) and pass ``lines=True``, which
+    splits files across tasks."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     for p in paths:
         if "://" not in p and not os.path.exists(p):
             raise FileNotFoundError(f"input file not found: {p}")
+    if lines:
+        return _read_json_lines(spark, paths, label)
     raw = spark.read.option("wholetext", True).text(paths).select(
         F.col("value"), F.col("_metadata.file_name").alias("source_file"))
     arr = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
@@ -149,6 +156,28 @@ def read_json_items(spark: SparkSession, paths: list[str] | str, label: str = "a
     )
 
 
+def _read_json_lines(spark: SparkSession, paths: list[str], label: str) -> DataFrame:
+    """JSON-lines variant of ``read_json_items``: each line is parsed on its
+    own (a non-object line is skipped). ``seq`` is the line number inside the
+    file: ids rise by one inside a split, so per split only its first id and
+    line count are needed (a table of splits), offset by prefix sums."""
+    raw = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_name").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    splits = raw.groupBy("source_file", "_block").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    file_rank = {os.path.basename(p): i for i, p in enumerate(paths)}
+    rank = F.create_map(*[x for kv in file_rank.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    v = F.try_parse_json("value")
+    is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    txt = F.coalesce(F.try_variant_get(v, "$.text", "string"), F.lit(""))
+    line = F.col("_off") + F.col("_row") - F.col("_first")
+    return (raw.join(splits, ["source_file", "_block"]).filter(is_obj)
+            .select(F.trim(txt).alias("text"), F.lit(label).alias("label"), "source_file",
+                    (rank[F.col("source_file")].cast("bigint") * F.lit(1 << 40) + line).alias("seq")))
+
+
 # ---------------------------------------------------------------------------
 # Sinks
 # ---------------------------------------------------------------------------

@@ -55,3 +55,12 @@ def test_json_sink_and_dead_letters(spark, tmpdir_path):
 def test_request_parse(spark):
     df = spark.createDataFrame([('{"text": "  hi  "}',), ("not json",), ('{"other": 1}',)], "value string")
     assert [r.text for r in io.requests_from_json(df).collect()] == ["hi", "", ""]
+
+
+def test_json_lines_reader(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "ai.jsonl")
+    with open(p, "w", encoding="utf-8") as f:
+        for item in [{"text": "  one  "}, "not an object", {"label": "ai"}, {"text": "two"}]:
+            f.write(json.dumps(item) + "\n")
+    df = io.read_json_items(spark, p, lines=True)
+    assert [r.text for r in df.orderBy("seq").collect()] == ["one", "", "two"]
