@@ -81,3 +81,18 @@ def predict_from_counts(dg: DataFrame, id_col: str, model: DataFrame, langs: Dat
 def predict(docs: DataFrame, id_col: str, text_col: str, model: DataFrame, langs: DataFrame) -> DataFrame:
     """Score unlabelled texts (texts shorter than 3 characters get none)."""
     return predict_from_counts(doc_trigram_counts(docs, id_col, text_col), id_col, model, langs)
+
+
+def language_filter(model: DataFrame, langs: DataFrame, keep: str = "en", id_col: str = "seq",
+                    text_col: str = "text", min_chars: int = 3):
+    """F2 with an inferred language: a callable DataFrame -> DataFrame that
+    keeps rows of at least ``min_chars`` characters predicted as ``keep``
+    (``id_col`` must be unique). Usable as ``prepare_dataset(english=...)``."""
+
+    def apply(df: DataFrame) -> DataFrame:
+        cand = df.filter(F.length(text_col) >= min_chars)
+        dg = doc_trigram_counts(cand.select(id_col, F.lower(F.col(text_col)).alias("_t")), id_col, "_t")
+        hits = predict_from_counts(dg, id_col, model, langs).filter(F.col("predicted") == keep).select(id_col)
+        return cand.join(hits, id_col, "left_semi")
+
+    return apply

@@ -39,3 +39,18 @@ def test_prepare_dataset(spark, tmpdir_path):
     assert spark.read.json(os.path.join(out_dir, "ai_combined")).count() == 30
     hs = {r.source_file: r.n for r in res["human_sources"].collect()}
     assert hs["human_1.csv"] == 12 and hs["human_0.csv"] == 18  # short file filled from the other
+
+
+def test_language_filter(spark):
+    from quire.functions import text as tx
+    from quire.operators import langid as li
+    from quire.sources import io
+
+    d = io.table(spark, "/root/testdata/sf0.001", "documents").select(
+        F.col("doc_id").alias("seq"), "lang", tx.clean("text").alias("text"))
+    dg = li.doc_trigram_counts(d.select("seq", "lang", F.lower("text").alias("t")), "seq", "t", "lang")
+    model, langs = li.train_from_counts(dg, "lang")
+    kept = li.language_filter(model, langs)(d).cache()
+    n_en = d.filter(F.col("lang") == "en").count()
+    assert kept.filter(F.col("lang") != "en").count() <= 0.05 * kept.count()
+    assert kept.filter(F.col("lang") == "en").count() >= 0.9 * n_en
