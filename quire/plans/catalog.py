@@ -30,7 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Parameters of the stand-in queries (fixed values)
 QUESTION_MARKER = "!"        # test data has no '?', so question rules use '!'
-ACCEPT_LIMIT = 2500          # O8: NUM_TWEETS_TO_GENERATE
+ACCEPT_LIMIT = 2500          # O8: target number of accepted posts
 PREFIX_CHUNK_ROWS = 50       # S5 chunk, scaled to the stand-in file
 PREFIX_N, PREFIX_K = 500, 2  # O9 inputs
 SAMPLE_N = 100               # O1
