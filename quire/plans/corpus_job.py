@@ -38,7 +38,12 @@ def validate_corpus(responses: DataFrame, profiles: DataFrame, topics: DataFrame
     spark = responses.sparkSession
     n_prof = profiles.groupBy("batch_id").agg(F.count("*").alias("expected"))
     env = responses.join(n_prof, "batch_id").withColumn("e", ps.parse_envelope("raw", "expected"))
-    dead = env.filter(F.col("e.error").isNotNull()).select("batch_id", F.col("e.error").alias("reason"), "raw")
+    # Failed batches with their reason, the first 500 characters of the
+    # response and the batch's profiles (a batch holds a bounded number)
+    prof_json = profiles.groupBy("batch_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct(
+        "pos", "topic", "length_name", "min_chars", "max_chars", "form", "casual_style")))).alias("profiles"))
+    dead = env.filter(F.col("e.error").isNotNull()).join(prof_json, "batch_id").select(
+        "batch_id", "phase", F.col("e.error").alias("reason"), F.substring("raw", 1, 500).alias("raw"), "profiles")
     items = env.filter(F.col("e.error").isNull()).select(
         "batch_id", "phase", F.posexplode("e.posts").alias("pos", "item"))
     items = items.select("batch_id", "phase", F.col("pos").cast("bigint").alias("pos"),

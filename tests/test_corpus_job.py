@@ -32,7 +32,8 @@ def test_validate_corpus(spark):
     assert dec[0] == "accepted" and dec[1] == "near_duplicate"
     assert dec[2] == "profile_length_mismatch" and dec[4] == "not_a_string"
     assert dec[1001] == "metadata_leakage" and dec[1002] == "contains_handle"
-    assert out["dead_letters"].count() == 1
+    dl = out["dead_letters"].collect()
+    assert len(dl) == 1 and dl[0].reason == "invalid_json" and '"pos":0' in dl[0].profiles
     assert out["rejection_counts"].count() >= 3 and out["coverage"].count() > 0
     assert S.normalize("A  B") == "a b"
 
