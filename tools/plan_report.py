@@ -3,6 +3,8 @@ execution, so AQE's final choices show) to PLANS.md."""
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 import re
 import sys
@@ -27,30 +29,46 @@ NOTES = {
 }
 
 
-def ops(plan: str, limit: int = 45) -> str:
-    keep, skip_below = [], None
-    for line in plan.split("\n"):
-        m = re.match(r"^([\s:+\-|]*)(\*?\(?\d*\)?\s*)?([A-Za-z][A-Za-z]+)", line)
-        if not m:
+def formatted(df) -> str:
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode="formatted")
+    return buf.getvalue()
+
+
+def ops(text: str, limit: int = 160) -> str:
+    """The final operator tree of a formatted explain, with each Exchange's
+    partitioning; the stored plans behind cached relations are folded."""
+    tree, _, details = text.partition("\n\n")
+    parts = {}
+    for block in details.split("\n\n"):
+        m = re.match(r"\((\d+)\) (?:Exchange|BroadcastExchange)", block.strip())
+        a = re.search(r"Arguments: ([^\n]+)", block)
+        if m and a:
+            parts[m.group(1)] = re.sub(r"#\d+L?", "", a.group(1)).split(", ENSURE")[0].split(", [plan_id")[0]
+    keep, fold_at = [], None
+    for line in tree.split("\n")[1:]:
+        if line.startswith("+- == Initial Plan =="):
+            break
+        if line.startswith("+- == Final Plan ==") or not line.strip():
+            continue
+        lead = len(line) - len(line.lstrip(" "))
+        if fold_at is not None and lead >= fold_at:
+            continue
+        fold_at = None
+        if "== Final Plan ==" in line or "== Initial Plan ==" in line:  # a stored plan printed inline
+            fold_at = lead
+            continue
+        if keep and "AdaptiveSparkPlan (" in line:  # plan stored behind a cache
+            fold_at = line.index("AdaptiveSparkPlan") - 3
+            keep.append(line[:line.index("AdaptiveSparkPlan")] + "(cached relation, computed once)")
             continue
-        depth = len(m.group(1))
-        if skip_below is not None and depth > skip_below:
-            continue  # inside a cached relation: its plan was shown where it was built
-        skip_below = None
-        name = m.group(3)
-        detail = ""
-        if name in ("Exchange", "BroadcastExchange"):
-            detail = " " + re.sub(r"#\d+L?", "", line.split(name, 1)[1].split(", ENSURE")[0].split(", REPARTITION")[0]
-                                  .split(", [plan_id")[0]).strip()
-        if name == "InMemoryTableScan":
-            skip_below = depth
-        if name.endswith("Join") or name in ("WindowGroupLimit", "Window", "HashAggregate", "TakeOrderedAndProject",
-                                             "Exchange", "BroadcastExchange", "InMemoryTableScan", "FileScan",
-                                             "ArrowEvalPython", "Generate", "Expand", "SortAggregate",
-                                             "ObjectHashAggregate"):
-            keep.append(m.group(1) + name + detail)
+        node = re.search(r"\((\d+)\)", line)
+        if node and node.group(1) in parts and "Exchange" in line:
+            line += "  [" + parts[node.group(1)] + "]"
+        keep.append(line)
     if len(keep) > limit:
-        keep = keep[:limit] + [f"... ({len(keep) - limit} more operators)"]
+        keep = keep[:limit] + [f"... ({len(keep) - limit} more lines)"]
     return "\n".join(keep)
 
 
@@ -64,9 +82,8 @@ def main() -> None:
            f"Operator trees after execution on `{sf}` (AQE final plans), produced by `tools/plan_report.py`.", ""]
     for name, note in NOTES.items():
         df = QUERIES[name](spark, sf)
-        df.write.format("noop").mode("overwrite").save()
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        out += [f"## {name}", "", note, "", "```", ops(plan), "```", ""]
+        df.collect()  # same QueryExecution, so executedPlan is the final adaptive plan
+        out += [f"## {name}", "", note, "", "```", ops(formatted(df)), "```", ""]
     with open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md"), "w") as f:
         f.write("\n".join(out))
 
