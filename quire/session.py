@@ -26,6 +26,7 @@ def build_session(master: str | None = None, partitions: int | None = None) -> S
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("QUIRE_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
