@@ -49,7 +49,7 @@ def classifier(reg_param: float, max_iter: int = 30) -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol="label_id", regParam=reg_param, maxIter=max_iter)
 
 
-def pipeline(reg_param: float, max_iter: int = 30) -> Pipeline:
+def text_classifier(reg_param: float, max_iter: int = 30) -> Pipeline:
     return Pipeline(stages=[*featurizer().getStages(), classifier(reg_param, max_iter)])
 
 
