@@ -116,7 +116,7 @@ def read_csv_column(spark: SparkSession, paths: list[str] | str, column: str,
         )
         .withColumn("seq", rank[F.col("source_file")].cast("bigint") * F.lit(1 << 40) + F.col("_row"))
         .filter(tx.not_null_token("text"))
-        .withColumn("text", F.trim(F.col("text")))
+        .withColumn("text", tx.strip_ws("text"))
         .filter(F.length(tx.collapse_ws("text")) > 0)
         .drop("_row")
     )
@@ -148,7 +148,7 @@ def read_json_items(spark: SparkSession, paths: list[str] | str, label: str = "a
     return (
         items.filter(is_obj)
         .select(
-            F.trim(txt).alias("text"),
+            tx.strip_ws(txt).alias("text"),
             F.lit(label).alias("label"),
             "source_file",
             (rank[F.col("source_file")].cast("bigint") * F.lit(1 << 40) + F.col("pos")).alias("seq"),
@@ -174,7 +174,7 @@ def _read_json_lines(spark: SparkSession, paths: list[str], label: str) -> DataF
     txt = F.coalesce(F.try_variant_get(v, "$.text", "string"), F.lit(""))
     line = F.col("_off") + F.col("_row") - F.col("_first")
     return (raw.join(splits, ["source_file", "_block"]).filter(is_obj)
-            .select(F.trim(txt).alias("text"), F.lit(label).alias("label"), "source_file",
+            .select(tx.strip_ws(txt).alias("text"), F.lit(label).alias("label"), "source_file",
                     (rank[F.col("source_file")].cast("bigint") * F.lit(1 << 40) + line).alias("seq")))
 
 

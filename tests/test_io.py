@@ -13,11 +13,12 @@ def test_csv_reader_edges(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "human.csv")
     with open(p, "w", encoding="utf-8") as f:
         f.write('id,tweet,extra\n1,normal text,x\n2,long line text,x,y,z\n3,short line text\n'
-                '4,"quoted, with comma\nand newline and ""doubled"" quote",x\n5,None,x\n6,NA,x\n7,,x\n')
+                '4,"quoted, with comma\nand newline and ""doubled"" quote",x\n5,None,x\n6,NA,x\n7,,x\n'
+                '8,"\t padded\u00a0",x\n')
     df = io.read_csv_column(spark, [p, os.path.join(tmpdir_path, "missing.csv")], "tweet", ["id", "tweet", "extra"])
     got = [r.text for r in df.orderBy("seq").collect()]
     assert got == ["normal text", "long line text", "short line text",
-                   'quoted, with comma\nand newline and "doubled" quote']
+                   'quoted, with comma\nand newline and "doubled" quote', "padded"]
     assert {r.source_file for r in df.collect()} == {"human.csv"}
 
 
