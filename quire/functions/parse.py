@@ -28,7 +28,7 @@ def strip_ws_edges(c: Column) -> Column:
 def _json_array(c: Column) -> Column:
     """Parse a JSON array of values into strings; null when the text is not
     an array. A non-array value (``{}``, ``"s"``, ``1``) also gives null."""
-    t = F.trim(c)
+    t = strip_ws_edges(c)
     is_array = t.startswith("[")
     return F.when(is_array, F.from_json(t, _ARR))
 
@@ -36,7 +36,7 @@ def _json_array(c: Column) -> Column:
 def strip_fences(c: Column | str) -> Column:
     """T27 (v2): anchored, case-insensitive opening fence with optional
     ``json`` tag, and a closing fence; only when the text starts with one."""
-    t = F.trim(_col(c))
+    t = strip_ws_edges(_col(c))
     stripped = F.regexp_replace(F.regexp_replace(t, FENCE_OPEN_RE, ""), FENCE_CLOSE_RE, "")
     return F.when(t.startswith("```"), stripped).otherwise(t)
 
@@ -49,7 +49,7 @@ def bracket_span(c: Column | str) -> Column:
 def parse_batch(raw: Column | str) -> Column:
     """T26-T28 (v2 order): raw parse, then fence strip, then bracket span.
     Null when all three fail (a failed batch for the dead-letter sink)."""
-    r = F.trim(F.coalesce(_col(raw), F.lit("")))
+    r = strip_ws_edges(F.coalesce(_col(raw), F.lit("")))
     fenced = strip_fences(r)
     span = bracket_span(fenced)
     return F.coalesce(

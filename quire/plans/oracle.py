@@ -91,6 +91,13 @@ def row_verdict(x: str, lo: str, hi: str) -> str:
             f"WHEN {any_match(norm, K.V3_BOILERPLATE)} THEN 'boilerplate' ELSE 'ok' END)")
 
 
+_STRIP = lit("^" + K.SPACE_RUN + "|" + K.SPACE_RUN + "$")
+
+
+def strip_ws(x: str) -> str:
+    return f"regexp_replace({x}, {_STRIP}, '', 'g')"
+
+
 def english(t: str, lang: str) -> str:
     return f"({t} IS NOT NULL AND length({t}) >= 3 AND {lang} = 'en')"
 
@@ -499,13 +506,14 @@ r AS (SELECT CAST(batch_id AS BIGINT) AS batch_id, CASE batch_id % 4 WHEN 0 THEN
         WHEN 1 THEN {lit(C.FENCE_OPEN)} || js || {lit(C.FENCE_CLOSE)}
         WHEN 2 THEN {lit(C.PAD_BEFORE)} || js || {lit(C.PAD_AFTER)}
         ELSE substring(js, 1, length(js) - 1) END AS raw FROM g),
-r1 AS (SELECT batch_id, trim(raw) AS r0,
-         CASE WHEN starts_with(trim(raw), '```') THEN regexp_replace(regexp_replace(trim(raw), {lit(ps.FENCE_OPEN_RE)}, ''), {lit(ps.FENCE_CLOSE_RE)}, '') ELSE trim(raw) END AS fenced
-       FROM r),
+r0 AS (SELECT batch_id, {strip_ws('raw')} AS r0 FROM r),
+r1 AS (SELECT batch_id, r0,
+         CASE WHEN starts_with(r0, '```') THEN regexp_replace(regexp_replace(r0, {lit(ps.FENCE_OPEN_RE)}, ''), {lit(ps.FENCE_CLOSE_RE)}, '') ELSE r0 END AS fenced
+       FROM r0),
 r2 AS (SELECT *, regexp_extract(fenced, {lit(ps.BRACKET_RE)}) AS span FROM r1),
 parsed AS (SELECT batch_id, coalesce(
     from_json(CASE WHEN starts_with(r0, '[') AND json_valid(r0) THEN r0 END, '["VARCHAR"]'),
-    from_json(CASE WHEN starts_with(trim(fenced), '[') AND json_valid(trim(fenced)) THEN trim(fenced) END, '["VARCHAR"]'),
+    from_json(CASE WHEN starts_with({strip_ws('fenced')}, '[') AND json_valid({strip_ws('fenced')}) THEN {strip_ws('fenced')} END, '["VARCHAR"]'),
     from_json(CASE WHEN length(span) > 0 AND json_valid(span) THEN span END, '["VARCHAR"]')) AS posts FROM r2)"""
 
 SQL["parse_batches"] = f"""
@@ -561,13 +569,6 @@ WITH {POSTS},
 f AS (SELECT CASE WHEN fl = '' THEN 'accepted' ELSE fl END AS fl FROM (SELECT {quality_flags('text')} AS fl FROM posts))
 SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(fl, ',')) AS reason FROM f) GROUP BY reason"""
 
-_STRIP = lit("^" + K.SPACE_RUN + "|" + K.SPACE_RUN + "$")
-
-
-def strip_ws(x: str) -> str:
-    return f"regexp_replace({x}, {_STRIP}, '', 'g')"
-
-
 SQL["accept_posts_v1"] = f"""
 WITH {POSTS}, t AS (SELECT key, {strip_ws('text')} AS text FROM posts),
 ok AS (SELECT * FROM t WHERE length(text) > 0 AND NOT contains(lower(text), {lit(K.PLACEHOLDER_HANDLE)})),
@@ -580,7 +581,7 @@ s1 AS (SELECT batch_id, CASE WHEN starts_with(t, '```') THEN
        ELSE t END AS t FROM s0),
 s2 AS (SELECT *, regexp_extract(t, {lit(ps.BRACKET_RE)}) AS span FROM s1),
 parsed AS (SELECT batch_id, coalesce(
-    from_json(CASE WHEN starts_with(trim(t), '[') AND json_valid(trim(t)) THEN trim(t) END, '["VARCHAR"]'),
+    from_json(CASE WHEN starts_with({strip_ws('t')}, '[') AND json_valid({strip_ws('t')}) THEN {strip_ws('t')} END, '["VARCHAR"]'),
     from_json(CASE WHEN length(span) > 0 AND json_valid(span) THEN span END, '["VARCHAR"]')) AS posts FROM s2)"""
 
 SQL["parse_batches_v1"] = f"""
