@@ -63,7 +63,12 @@ def prepare_dataset(spark: SparkSession, ai_paths: list[str], human_paths: list[
     balanced = cut_lineage(smp.balance_classes(both, "key", "label", seed))
     data = cut_lineage(smp.stratified_split(balanced.drop("source_file"), "key", "label", seed))
 
+    # Human posts wanted (the AI class size) vs found; a shortfall is a
+    # warning here (the classes are balanced down), not a failure
+    wanted = n_ai.select(F.lit("human").alias("label"), F.col("_n_req").alias("requested"))
+    found = human.agg(F.count("*").alias("available")).withColumn("label", F.lit("human"))
     out = {
+        "human_shortfall": rp.shortfall(wanted, found, ["label"]),
         "ai": ai.select("text", "label", "source_file"),
         "dataset": data.select("text", "label", "split"),
         "ai_sources": rp.value_counts(ai, "source_file"),
