@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from quire import constants as K
 from quire.functions import text as tx
+from quire.functions.hashing import md5_order
+from quire.operators import ranking as rk
 from quire.operators import reports as rp
 from quire.operators import sampling as smp
 from quire.session import cut_lineage
@@ -75,6 +77,8 @@ def prepare_dataset(spark: SparkSession, ai_paths: list[str], human_paths: list[
         "human_sources": rp.value_counts(human, "source_file"),
         "class_counts": rp.value_counts(data, "label"),
         "length_summary": rp.length_summary(data, "text", "label"),
+        "examples": rk.first_n(data.withColumn("_h", md5_order(seed, "key")), ["label"], ["_h", "key"], 5)
+        .select("label", "text"),
         "split_counts": rp.value_counts(data, "split", "label"),
     }
     if out_dir:

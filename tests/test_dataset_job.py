@@ -38,6 +38,7 @@ def test_prepare_dataset(spark, tmpdir_path):
     assert back.count() == 60 and back.filter(F.col("text").contains("http")).count() == 0
     assert spark.read.json(os.path.join(out_dir, "ai_combined")).count() == 30
     assert [(r.requested, r.available, r.short) for r in res["human_shortfall"].collect()] == [(30, 30, 0)]
+    assert sorted(r.label for r in res["examples"].collect()) == ["ai"] * 5 + ["human"] * 5
     hs = {r.source_file: r.n for r in res["human_sources"].collect()}
     assert hs["human_1.csv"] == 12 and hs["human_0.csv"] == 18  # short file filled from the other
 
