@@ -36,7 +36,8 @@ def prefix_until_target(df: DataFrame, seq: str, usable: Column, chunk_rows: int
     usable rows, stop after the chunk where the running usable total reaches
     ``target`` (the whole last chunk is kept), separately per ``group``
     (e.g. per source file). Two passes over per-chunk counts instead of a
-    sequential scan. ``target`` may be a one-row DataFrame with ``_target``."""
+    sequential scan. ``target`` (positive, as ``oversample_target`` always
+    is) may be a one-row DataFrame with ``_target``."""
     group = group or []
     tagged = df.withColumn("chunk", F.floor(F.col(seq) / chunk_rows).cast("bigint")).filter(usable)
     counts = tagged.groupBy(*group, "chunk").agg(F.count("*").alias("_n"))
