@@ -9,6 +9,17 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _default_heap() -> str:
+    """60% of physical memory, at most 16g (local mode: the driver is the
+    only JVM)."""
+    try:
+        with open("/proc/meminfo") as f:
+            kb = int(next(line for line in f if line.startswith("MemTotal")).split()[1])
+        return f"{max(1, min(16, int(kb / 1024 / 1024 * 0.6)))}g"
+    except (OSError, StopIteration, ValueError):
+        return "4g"
+
+
 def build_session(master: str | None = None, partitions: int | None = None) -> SparkSession:
     """Local session used by tests and bench. On a cluster, use the session
     the platform hands you; nothing here is required by the library."""
@@ -27,7 +38,7 @@ def build_session(master: str | None = None, partitions: int | None = None) -> S
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", os.environ.get("QUIRE_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("QUIRE_DRIVER_MEMORY", _default_heap()))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
