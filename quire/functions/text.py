@@ -109,10 +109,21 @@ def count_matches(c: Column | str, templates: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [c.rlike(K.java(t)).cast("int") for t in templates])
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body``. Projections
+    share repeated subexpressions, but a predicate that Catalyst inlines
+    into a filter would otherwise re-run an expensive regex at every
+    reference."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def quality_flags(c: Column | str) -> Column:
     """F5 (v2): comma-joined flags, '' when clean. Early exits for
     ``empty``, ``over_280`` and ``placeholder_handle``."""
-    t = collapse_ws(c)
+    return bind(collapse_ws(c), _quality_flags)
+
+
+def _quality_flags(t: Column) -> Column:
     low = F.lower(t)
     n = F.length(t)
     leak = reduce(lambda a, b: a | b, [low.contains(p) for p in K.V2_LEAK_PHRASES])
