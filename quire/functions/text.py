@@ -175,9 +175,10 @@ def usable(c: Column | str) -> Column:
 
 
 def english(text: Column | str, lang: Column | str) -> Column:
-    """F2 given a language column: non-empty, at least 3 characters, 'en'."""
-    t = _col(text)
-    return t.isNotNull() & (F.length(t) >= 3) & (_col(lang) == F.lit("en"))
+    """F2 given a language column: non-empty, at least 3 characters, 'en'.
+    The cheap language test comes first (AND short-circuits), and the text
+    expression is evaluated once."""
+    return (_col(lang) == F.lit("en")) & bind(_col(text), lambda t: t.isNotNull() & (F.length(t) >= 3))
 
 
 def tokens(c: Column | str) -> Column:
