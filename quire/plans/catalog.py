@@ -144,7 +144,7 @@ def english_only(spark, sf):
 
 def prefix_until_target(spark, sf):
     d = io.table(spark, sf, "documents").select("doc_id", "lang", tx.clean("text").alias("clean_text"))
-    usable = (F.length("clean_text") > 0) & tx.english("clean_text", "lang")
+    usable = tx.english("clean_text", "lang") & (F.length("clean_text") > 0)
     kept = smp.prefix_until_target(d, "doc_id", usable, PREFIX_CHUNK_ROWS,
                                    smp.oversample_target(PREFIX_N, PREFIX_K))
     return kept.select("doc_id", "chunk", "clean_text")
@@ -178,7 +178,7 @@ def seeded_sample(spark, sf):
 
 def _en_candidates(spark, sf):
     d = io.table(spark, sf, "documents").select("doc_id", "lang", "source", tx.clean("text").alias("t"))
-    d = d.filter((F.length("t") > 0) & tx.english("t", "lang"))
+    d = d.filter(tx.english("t", "lang") & (F.length("t") > 0))
     return smp.dedup_first(d, tx.dedup_key("t"), "doc_id").drop("dedup_key")
 
 
@@ -228,7 +228,7 @@ def shortfall_report(spark, sf):
     d = io.table(spark, sf, "documents").select("source", "lang", tx.clean("text").alias("t"))
     per = d.groupBy("source").agg(
         F.count("*").alias("_docs"),
-        F.count_if((F.length("t") > 0) & tx.english("t", "lang")).alias("available"))
+        F.count_if(tx.english("t", "lang") & (F.length("t") > 0)).alias("available"))
     tot = per.agg(F.sum("_docs").alias("_all"), F.count("*").alias("_k"))
     req = F.floor(F.col("_all") / F.col("_k") * F.lit(SHORTFALL_FRAC)).cast("bigint")
     out = per.crossJoin(F.broadcast(tot)).withColumn("requested", req)
@@ -342,7 +342,7 @@ def token_window(spark, sf):
 def stress_sample(spark, sf):
     p = rk.first_wins(io.posts(spark, sf), ["text"], ["key"])
     p = p.select("key", "lang", tx.clean("text").alias("clean_text"))
-    p = p.filter((F.length("clean_text") > 0) & tx.english("clean_text", "lang"))
+    p = p.filter(tx.english("clean_text", "lang") & (F.length("clean_text") > 0))
     s = rk.hash_sample(p, "key", K.SEED, K.SAMPLE_SIZE)
     s = s.withColumn("vec_id", (F.row_number().over(Window.orderBy("h", "key")) - 1).cast("bigint"))
     e = io.table(spark, sf, "embeddings").select("vec_id", "embedding")
