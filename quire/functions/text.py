@@ -117,6 +117,13 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def keep_nonempty(df, name: str, value: Column):
+    """Add ``name`` = ``value`` and drop rows where it is null or empty,
+    evaluating ``value`` once: a filter on a projected expression is pushed
+    below the projection and would compute it twice."""
+    return df.select("*", F.explode(F.filter(F.array(value), lambda t: F.length(t) > 0)).alias(name))
+
+
 def quality_flags(c: Column | str) -> Column:
     """F5 (v2): comma-joined flags, '' when clean. Early exits for
     ``empty``, ``over_280`` and ``placeholder_handle``."""

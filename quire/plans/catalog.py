@@ -49,26 +49,25 @@ def _long(c):
 # Text columns
 # ---------------------------------------------------------------------------
 def clean_text(spark, sf):
-    docs = io.table(spark, sf, "documents").select(
-        F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), tx.clean("text").alias("clean_text"))
-    pages = io.table(spark, sf, "pages").select(
-        F.lit("pages").alias("kind"), F.col("page_id").alias("id"),
-        tx.clean(F.concat_ws(" ", "html", "url")).alias("clean_text"))
-    return (docs.unionByName(pages).filter(F.length("clean_text") > 0)
+    docs = tx.keep_nonempty(io.table(spark, sf, "documents").select(
+        F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), "text"), "clean_text", tx.clean("text"))
+    pages = tx.keep_nonempty(io.table(spark, sf, "pages").select(
+        F.lit("pages").alias("kind"), F.col("page_id").alias("id"), F.concat_ws(" ", "html", "url").alias("text")),
+        "clean_text", tx.clean("text"))
+    return (docs.unionByName(pages).drop("text")
             .withColumn("n_chars", _long(F.length("clean_text"))))
 
 
 def dedup_key_first(spark, sf):
-    d = io.table(spark, sf, "documents").select("doc_id", "lang", tx.clean("text").alias("t")).filter(
-        F.length("t") > 0)
-    kept = smp.dedup_first(d, tx.dedup_key("t"), "doc_id", per=["lang"])
+    d = tx.keep_nonempty(io.table(spark, sf, "documents").select("doc_id", "lang", "text"), "t", tx.clean("text"))
+    kept = smp.dedup_first(d.drop("text"), tx.dedup_key("t"), "doc_id", per=["lang"])
     return kept.select("doc_id", "lang", "dedup_key")
 
 
 def exact_dedup_raw(spark, sf):
     p = io.posts(spark, sf)
     first = rk.first_wins(p, ["text"], ["key"])
-    return first.select("key", tx.clean("text").alias("clean_text")).filter(F.length("clean_text") > 0)
+    return tx.keep_nonempty(first.select("key", "text"), "clean_text", tx.clean("text")).select("key", "clean_text")
 
 
 def normalize_typography(spark, sf):
@@ -138,13 +137,17 @@ def row_verdict(spark, sf):
 
 
 def english_only(spark, sf):
-    d = io.table(spark, sf, "documents").select("doc_id", "lang", tx.clean("text").alias("clean_text"))
+    d = tx.keep_nonempty(io.table(spark, sf, "documents").select("doc_id", "lang", "text"), "clean_text",
+                         tx.clean("text"))
     return d.filter(tx.english("clean_text", "lang")).select("doc_id", "clean_text")
 
 
 def prefix_until_target(spark, sf):
-    d = io.table(spark, sf, "documents").select("doc_id", "lang", tx.clean("text").alias("clean_text"))
-    usable = tx.english("clean_text", "lang") & (F.length("clean_text") > 0)
+    # rows with empty cleaned text are never usable and chunks follow doc_id,
+    # so they can be dropped before chunking
+    d = tx.keep_nonempty(io.table(spark, sf, "documents").select("doc_id", "lang", "text"), "clean_text",
+                         tx.clean("text")).drop("text")
+    usable = tx.english("clean_text", "lang")
     kept = smp.prefix_until_target(d, "doc_id", usable, PREFIX_CHUNK_ROWS,
                                    smp.oversample_target(PREFIX_N, PREFIX_K))
     return kept.select("doc_id", "chunk", "clean_text")
@@ -172,13 +175,14 @@ def label_mapping(spark, sf):
 
 def seeded_sample(spark, sf):
     p = rk.first_wins(io.posts(spark, sf), ["text"], ["key"])
-    p = p.select("key", tx.clean("text").alias("clean_text")).filter(F.length("clean_text") > 0)
+    p = tx.keep_nonempty(p.select("key", "text"), "clean_text", tx.clean("text")).select("key", "clean_text")
     return rk.hash_sample(p, "key", K.SEED, SAMPLE_N).drop("h")
 
 
 def _en_candidates(spark, sf):
-    d = io.table(spark, sf, "documents").select("doc_id", "lang", "source", tx.clean("text").alias("t"))
-    d = d.filter(tx.english("t", "lang") & (F.length("t") > 0))
+    d = tx.keep_nonempty(io.table(spark, sf, "documents").select("doc_id", "lang", "source", "text"), "t",
+                         tx.clean("text")).drop("text")
+    d = d.filter(tx.english("t", "lang"))
     return smp.dedup_first(d, tx.dedup_key("t"), "doc_id").drop("dedup_key")
 
 
@@ -341,8 +345,8 @@ def token_window(spark, sf):
 
 def stress_sample(spark, sf):
     p = rk.first_wins(io.posts(spark, sf), ["text"], ["key"])
-    p = p.select("key", "lang", tx.clean("text").alias("clean_text"))
-    p = p.filter(tx.english("clean_text", "lang") & (F.length("clean_text") > 0))
+    p = tx.keep_nonempty(p.select("key", "lang", "text"), "clean_text", tx.clean("text")).drop("text")
+    p = p.filter(tx.english("clean_text", "lang"))
     s = rk.hash_sample(p, "key", K.SEED, K.SAMPLE_SIZE)
     s = s.withColumn("vec_id", (F.row_number().over(Window.orderBy("h", "key")) - 1).cast("bigint"))
     e = io.table(spark, sf, "embeddings").select("vec_id", "embedding")

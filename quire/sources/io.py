@@ -70,14 +70,9 @@ def class_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     dropped (F1). ``key = conv_id * 1000 + turn``."""
     c = table(spark, sf_dir, "conversations")
     label = F.create_map(*[F.lit(x) for kv in ROLE_TO_LABEL.items() for x in kv])[F.col("role")]
-    return (
-        c.select(
-            (F.col("conv_id") * CONV_KEY_STRIDE + F.col("turn")).alias("key"),
-            tx.clean("text").alias("text"),
-            label.alias("label"),
-        )
-        .filter(F.col("label").isNotNull() & (F.length("text") > 0))
-    )
+    c = c.select((F.col("conv_id") * CONV_KEY_STRIDE + F.col("turn")).alias("key"), F.col("text").alias("_raw"),
+                 label.alias("label")).filter(F.col("label").isNotNull())
+    return tx.keep_nonempty(c, "text", tx.clean("_raw")).select("key", "text", "label")
 
 
 # ---------------------------------------------------------------------------
