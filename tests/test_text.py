@@ -87,3 +87,12 @@ def test_unicode_parity_with_python(spark, texts):
         assert r.n == S.normalize(t)
         assert r.o == S.opening_key(t)
         assert r.w == sorted(S.word_set(t))
+
+
+def test_bind_and_keep_nonempty(spark):
+    df = spark.createDataFrame([(1, "  a  b "), (2, "   "), (3, None), (4, "@x https://y")], "k int, v string")
+    got = df.select("k", tx.bind(tx.collapse_ws("v"), lambda t: F.concat(t, F.lit("|"), t)).alias("b")).orderBy("k")
+    assert [r.b for r in got.collect()] == ["a b|a b", "|", None, "@x https://y|@x https://y"]
+    kept = tx.keep_nonempty(df, "c", tx.clean("v")).orderBy("k")
+    assert [(r.k, r.c) for r in kept.collect()] == [(1, "a b")]
+    assert "Generate" in kept._jdf.queryExecution().executedPlan().toString()
