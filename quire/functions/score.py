@@ -13,6 +13,14 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def round_signed(c: Column | str, digits: int = 4) -> Column:
+    """T22 ``round``: like Python's, a small negative value rounds to -0.0
+    (printed ``-0.0000``); Spark's ``round`` would drop the sign."""
+    x = _col(c)
+    r = F.round(x, digits)
+    return F.when((r == 0) & (x < 0), F.lit(-0.0)).otherwise(r)
+
+
 def softmax(logits: Column | str) -> Column:
     """Numerically stable softmax over an array of doubles."""
     lg = _col(logits)
@@ -86,7 +94,7 @@ def sentiment_struct(text: Column | str, logits: Column | str) -> Column:
     raw = prob(m, "positive", 0.0) - prob(m, "negative", 0.0)
     return F.struct(
         _col(text).alias("text"),
-        F.round(raw, 4).alias("scale_score"),
+        round_signed(raw, 4).alias("scale_score"),
         sentiment_label(raw).alias("scale_label"),
         round_map(m).alias("raw_scores"),
     )
