@@ -46,15 +46,17 @@ def build_session(master: str | None = None, partitions: int | None = None) -> S
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder. Read from the session; only when it is
-    unset (local tests) fall back to a fresh folder under /tmp."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    """The shared folder named in ``spark.checkpoint.dir``. Only a session in
+    one process (tests, bench) may leave it unset; it then gets a folder of
+    its own. On a cluster an unset folder is an error."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="quire-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
