@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import packing, prefix_counts, rule_cascade, warc_chain
+from quire.llm import packing, prefix_counts, rule_cascade, signature_join, warc_chain
 from quire.llm.common import table
 
 TOKEN_LIMIT = 512
@@ -24,6 +24,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.packed(table(spark, sf_dir, "documents"), vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -40,12 +44,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_jaccard_join": op3_jaccard_join,
     "op6_packing": op6_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_jaccard_join": signature_join.ORACLE,
     "op9_quality_rules": rule_cascade.ORACLE,
     "op10_warc": warc_chain.ORACLE,
 }
