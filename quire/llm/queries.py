@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import packing, prefix_counts, rule_cascade, signature_join, warc_chain
+from quire.llm import decontaminate, importance, packing, prefix_counts, rule_cascade, signature_join, warc_chain
 from quire.llm.common import table
 
 TOKEN_LIMIT = 512
@@ -33,6 +33,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return kept.select("doc_id", "n_grams", "log_weight", F.lit(True).alias("kept"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_cascade.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -46,6 +55,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_jaccard_join": op3_jaccard_join,
     "op6_packing": op6_packing,
+    "op7_decontamination": op7_decontamination,
+    "op8_quality_resampling": op8_quality_resampling,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
 }
