@@ -154,12 +154,12 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
 
 def labelled(labels: DataFrame, target_rows: int = TARGET_ROWS, cut_rows: int = CUT_ROWS) -> DataFrame:
     """(doc_id, role): bounded samples by the order of a hash of the id. good:
-    for the target model; cut_good, cut_bad: for the cut."""
+    for the target model; cut_good (kept out of it), cut_bad: for the cut."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", F.xxhash64(F.lit(3), "doc_id").alias("h")).where("doc_id is not null and quality is not null").distinct()
     held = F.pmod("h", F.lit(5)) == 0
     pick = lambda df, n, role: df.orderBy("h", "doc_id").limit(n).select("doc_id", F.lit(role).alias("role"))
     good, bad = rows.where("quality >= 1"), rows.where("quality < 1")
-    return pick(good.where(~held), target_rows, "good").union(pick(good.where(held), cut_rows, "cut_good")).union(pick(bad.where(held), cut_rows, "cut_bad"))
+    return pick(good.where(~held), target_rows, "good").union(pick(good.where(held), cut_rows, "cut_good")).union(pick(bad, cut_rows, "cut_bad"))
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sample) -> tuple[DataFrame, DataFrame]:
