@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, importance, packing, prefix_counts, rule_cascade, secret_cnn, signature_join, suffix_tree, warc_chain
+from quire.llm import decontaminate, importance, license_lookup, packing, prefix_counts, rule_cascade, secret_cnn, signature_join, suffix_tree, warc_chain
 from quire.llm.common import table
 
 TOKEN_LIMIT = 512
@@ -41,6 +41,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secret_cnn.KINDS), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op5_license_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_lookup.licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "digest", "license", F.when(F.size("notices") > 0, F.array_join("notices", ",")).alias("notices"), "n_notices")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.packed(table(spark, sf_dir, "documents"), vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_secret_scan": op4_secret_scan,
+    "op5_license_lookup": op5_license_lookup,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
     "op8_quality_resampling": op8_quality_resampling,
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_jaccard_join": signature_join.ORACLE,
+    "op5_license_lookup": license_lookup.ORACLE,
     "op9_quality_rules": rule_cascade.ORACLE,
     "op10_warc": warc_chain.ORACLE,
 }
