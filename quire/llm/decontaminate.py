@@ -22,6 +22,7 @@ columns are not read. Texts of any length are searched whole.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -164,19 +165,23 @@ def aligned(text: np.ndarray, region: np.ndarray, pinned: bool = False) -> np.nd
     return row
 
 
+def stretches(texts: list[str]):
+    """(first, last) of texts searched in one array step."""
+    at = 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (upto == at or size + len(texts[upto]) < STEP_CHARS):
+            size += len(texts[upto])
+            upto += 1
+        yield at, upto
+        at = upto
+
+
 def _search(index: Index):
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows: list[tuple] = []
-            at = 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) < STEP_CHARS):
-                    size += len(texts[upto])
-                    upto += 1
-                rows += ((ids[at + d], index.ids[i], *found) for d, i, found in searched(index, texts[at:upto]))
-                at = upto
+            rows = [(ids[a + d], index.ids[i], *found) for a, b in stretches(texts) for d, i, found in searched(index, texts[a:b])]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "distance", "start", "end"])
 
@@ -206,18 +211,41 @@ def searched(index: Index, texts: list[str]) -> list[tuple[int, int, tuple[int,
     return [(d, i, span) for (d, i), span in sorted(best.items())]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, distance, start, end (code points) of each item's best occurrence in each text."""
-    rows = doc_text(docs, id_col, text_col)
+def _blocks(benchmark: DataFrame, q: int, rate: float, block_chars: int):
+    """The indexes of the benchmark's blocks, one after another."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // block_chars)
-    out = rows.sparkSession.createDataFrame([], SCHEMA)
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        found = map_arrow(rows, _search(Index([tuple(r) for r in block.collect()], q, rate)), SCHEMA)
-        out = found if b == 0 else out.unionByName(found)
-    return out
+        yield Index([tuple(r) for r in block.collect()], q, rate)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, distance, start, end (code points) of each item's best occurrence in each text."""
+    rows = doc_text(docs, id_col, text_col)
+    found = [map_arrow(rows, _search(index), SCHEMA) for index in _blocks(benchmark, q, rate, block_chars)]
+    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], SCHEMA)
+
+
+def without_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose text holds no item; each block of the benchmark filters what is left."""
+    at = docs.columns.index(text_col)
+
+    def run(index):
+        def kept(batches):
+            for batch in batches:
+                texts = [t or "" for t in batch.column(at).to_pylist()]
+                held: set[int] = set()
+                for a, b in stretches(texts):
+                    held |= {a + d for d, _, _ in searched(index, texts[a:b])}
+                yield batch.filter(pa.array([i not in held for i in range(len(texts))], pa.bool_()))
+
+        return kept
+
+    for index in _blocks(benchmark, q, rate, block_chars):
+        docs = docs.mapInArrow(run(index), docs.schema)
+    return docs
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

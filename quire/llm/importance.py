@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import doc_text, map_arrow, stored
-from quire.llm.decontaminate import STEP_CHARS
+from quire.llm.decontaminate import stretches
 from quire.llm.pieces import END, LETTER, NUMBER, SPACE, kinds, mixed, span_hashes
 
 WORD_BITS, SHAPE_BITS = 16, 12
@@ -95,24 +95,12 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([words, pairs, triples]), np.concatenate([owner, owner[1:][same], owner[three]])
 
 
-def _groups(texts: list[str]):
-    """(first, last) of stretches of texts worked on at once."""
-    at = 0
-    while at < len(texts):
-        upto, size = at, 0
-        while upto < len(texts) and (upto == at or size + len(texts[upto]) < STEP_CHARS):
-            size += len(texts[upto])
-            upto += 1
-        yield at, upto
-        at = upto
-
-
 def _counts(batches):
     """Bucket counts of one task: raw of all rows, target of rows marked so."""
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
         texts, marked = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool)
-        for a, b in _groups(texts):
+        for a, b in stretches(texts):
             bucket, owner = features(texts[a:b])
             raw += np.bincount(bucket, minlength=BUCKETS)
             target += np.bincount(bucket[marked[a:b][owner]], minlength=BUCKETS)
@@ -125,7 +113,7 @@ def _scores(ratio: np.ndarray):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             weight, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for a, b in _groups(texts):
+            for a, b in stretches(texts):
                 bucket, owner = features(texts[a:b])
                 weight[a:b] = np.bincount(owner, ratio[bucket], b - a)
                 n[a:b] = np.bincount(owner, minlength=b - a)
