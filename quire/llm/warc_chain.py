@@ -147,7 +147,7 @@ def _candidates(batches):
         if segment is None:
             outside: dict[int, int | None] = {}
             for row in reversed(rows):  # pointers lead forward
-                to = row["successor"]
+                to = row.get("successor")
                 row["outside"] = outside[row["place"]] = to if to is None or to >= at else outside.get(to)
             rows.append({"file": file, "stretch": stretch, "total": at})
             yield pa.RecordBatch.from_pylist(rows, schema)
