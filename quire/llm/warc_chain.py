@@ -16,8 +16,8 @@ reached from the file's start. Only reachable records are kept; a payload that
 was cut is put together again from the stretches' parts up to its end.
 
 Defined results: null html is an empty payload; a null id or url is left out of
-the header and read as null; repeated rows are records of their own (equal ids
-with equal payloads: one response, the others revisit it); an empty table gives
+the header and read as null (a null id is the smallest); rows with one id and
+one payload are records of their own and all of one type; an empty table gives
 no rows; other columns are not read.
 """
 
@@ -54,16 +54,16 @@ def classified(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     digests that occur more than once are joined back, so one frequent payload
     is counted before the shuffle and its rows are split by the skewed join."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    keyed = rows.select("*", F.expr("sha1(cast(payload as binary))").alias("sha1"), F.expr("octet_length(payload)").cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("row"))
+    keyed = rows.select("*", F.expr("sha1(cast(payload as binary))").alias("sha1"), F.expr("octet_length(payload)").cast("long").alias("payload_bytes"))
     twice = (
         keyed.where(F.col("payload_bytes") >= min_payload)
         .groupBy("sha1", "payload_bytes")
-        .agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("order"), "page_id", "row")).alias("best"), F.count(F.lit(1)).alias("n"))
+        .agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("sha1", "payload_bytes", F.col("best.page_id").alias("response"), F.col("best.row").alias("response_row"))
+        .select("sha1", "payload_bytes", "response")
     )
     joined = keyed.join(twice, ["sha1", "payload_bytes"], "left")
-    revisit = F.col("response_row").isNotNull() & (F.col("response_row") != F.col("row"))
+    revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     return joined.select("page_id", "url", "payload", "payload_bytes", revisit.alias("revisit"), F.when(revisit, F.col("response")).alias("refers_to"))
 
 
