@@ -55,12 +55,14 @@ def classified(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     is counted before the shuffle and its rows are split by the skewed join."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     keyed = rows.select("*", F.expr("sha1(cast(payload as binary))").alias("sha1"), F.expr("octet_length(payload)").cast("long").alias("payload_bytes"))
-    twice = (
+    # written first, so that its size is known before payloads would be shuffled to meet it
+    twice = stored(
         keyed.where(F.col("payload_bytes") >= min_payload)
         .groupBy("sha1", "payload_bytes")
         .agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("sha1", "payload_bytes", "response")
+        .select("sha1", "payload_bytes", "response"),
+        "warc-repeated",
     )
     joined = keyed.join(twice, ["sha1", "payload_bytes"], "left")
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
