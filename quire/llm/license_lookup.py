@@ -22,7 +22,7 @@ from quire.llm.license_texts import NOTICES, TEXTS
 
 #: Spellings taken as one, in the order in which they are rewritten.
 SPELLINGS = [
-    (r"\blicence", "license"),
+    (r"licenc", "licens"),
     (r"\borganisation", "organization"),
     (r"\bauthoris", "authoriz"),
     (r"\bfavour", "favor"),
