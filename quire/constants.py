@@ -39,7 +39,8 @@ V2_MAX_HASHTAGS = 4
 V2_MAX_MENTIONS = 3
 TOKEN_WINDOW = 128           # T25
 PAD_TOKEN = "<pad>"
-NULL_TOKENS = ["", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "#N/A", "<NA>", "n/a", "-NaN", "-nan"]
+NULL_TOKENS = ["", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "#N/A", "<NA>", "n/a", "-NaN", "-nan",
+               "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "1.#IND", "1.#QNAN"]
 
 # Label maps
 LABEL_TO_ID = {"human": 0, "ai": 1}

@@ -25,12 +25,13 @@ def strip_ws_edges(c: Column) -> Column:
     return strip_ws(c)
 
 
-def _json_array(c: Column) -> Column:
+def _json_array(c: Column, least: int = 0) -> Column:
     """Parse a JSON array of values into strings; null when the text is not
-    an array. A non-array value (``{}``, ``"s"``, ``1``) also gives null."""
+    an array, or has fewer than ``least`` items. A non-array value (``{}``,
+    ``"s"``, ``1``) also gives null."""
     t = strip_ws_edges(c)
-    is_array = t.startswith("[")
-    return F.when(is_array, F.from_json(t, _ARR))
+    parsed = F.from_json(t, _ARR)
+    return F.when(t.startswith("[") & (F.size(parsed) >= least), parsed)
 
 
 def strip_fences(c: Column | str) -> Column:
@@ -48,14 +49,15 @@ def bracket_span(c: Column | str) -> Column:
 
 def parse_batch(raw: Column | str) -> Column:
     """T26-T28 (v2 order): raw parse, then fence strip, then bracket span.
-    Null when all three fail (a failed batch for the dead-letter sink)."""
+    An empty list counts as a failure. Null when all three fail (a failed
+    batch for the dead-letter sink)."""
     r = strip_ws_edges(F.coalesce(_col(raw), F.lit("")))
     fenced = strip_fences(r)
     span = bracket_span(fenced)
     return F.coalesce(
-        _json_array(r),
-        _json_array(fenced),
-        F.when(F.length(span) > 0, _json_array(span)),
+        _json_array(r, 1),
+        _json_array(fenced, 1),
+        F.when(F.length(span) > 0, _json_array(span, 1)),
     )
 
 

@@ -279,7 +279,7 @@ def analyze_json(spark, sf):
     c = io.table(spark, sf, "conversations").select("conv_id", "turn", F.to_json(F.struct("text")).alias("value"))
     req = io.requests_from_json(c)
     e = io.table(spark, sf, "embeddings").select(F.col("vec_id").alias("conv_id"), "embedding")
-    j = req.join(e, "conv_id")
+    j = req.join(e, "conv_id", "left")  # a request without logits still gets its row
     err = F.when(F.col("text") == "", F.lit("No text provided"))
     scored = j.select(
         "conv_id", "turn", err.alias("error"),
@@ -509,8 +509,11 @@ def near_dup_jaccard(spark, sf):
 def near_dup_chars(spark, sf):
     """J3/D4 character part (X4): for each post, the first earlier post with
     SequenceMatcher(candidate, earlier) ratio >= 0.92 on normalized text
-    (equal normalized texts included)."""
-    p = sim.with_keys(io.posts(spark, sf).select("key", "text"), "text").persist()
+    (equal normalized texts included). As in the corpus check, F10 comes
+    first: posts outside every length band fail before J3 is asked."""
+    p = io.posts(spark, sf).select("key", "text")
+    p = p.filter(F.length(tx.collapse_ws("text")).between(min(b[1] for b in K.LENGTH_BANDS), max(b[2] for b in K.LENGTH_BANDS)))
+    p = sim.with_keys(p, "text").persist()
     return sim.earliest_similar(p, "key", "nk", sim.char_edges(p))
 
 
@@ -519,7 +522,7 @@ def near_dup_chars(spark, sf):
 # ---------------------------------------------------------------------------
 GREEDY_TARGET_DIV = 4         # target N = posts // 4
 RECOVERY_FROM = 0.85          # documents past 85% are the recovery phase
-GREEDY_BUCKET = 100000 * 16   # 16 documents of posts per prefix-sum bucket
+GREEDY_BUCKET = io.KEY_STRIDE * 16   # 16 documents of posts per prefix-sum bucket
 
 
 def _greedy_inputs(spark, sf):
@@ -533,7 +536,7 @@ def _greedy_inputs(spark, sf):
     t = tx.collapse_ws("text")
     c = vp.select(
         "key", F.col("source").alias("topic"), "length_name", F.col("reason").alias("verdict"),
-        F.expr(f"key div {io.POST_KEY_STRIDE}").alias("doc_id"),
+        F.expr(f"key div {io.KEY_STRIDE}").alias("doc_id"),
         tx.opening_key(t).alias("opening"), tx.has_marker("text", QUESTION_MARKER).alias("is_question"),
         F.expr(f"key div {GREEDY_BUCKET}").alias("bucket"), "text")
     c = sim.with_keys(c, "text").drop("text")
@@ -586,7 +589,7 @@ def train_detector(spark, sf):
     c = io.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     hold = md5_order(K.SEED, "conv_id").startswith(HOLDOUT_HEX)
     label = F.when(F.col("role") == "user", F.lit("human")).when(F.col("role") == "assistant", F.lit("ai"))
-    items = c.select((F.col("conv_id") * io.CONV_KEY_STRIDE + F.col("turn")).alias("key"),
+    items = c.select(io.stride_key("conv_id", "turn").alias("key"),
                      tx.clean("text").alias("text"), label.alias("label"), hold.alias("holdout")).filter(
         F.col("label").isNotNull() & (F.length("text") > 0))
     lid = F.when(F.col("label") == "ai", 1).otherwise(0)

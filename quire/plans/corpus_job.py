@@ -25,8 +25,7 @@ from quire.operators import quota as qt
 from quire.operators import reports as rp
 from quire.operators import similarity as sim
 from quire.session import cut_lineage
-
-SEQ_STRIDE = 1000  # posts per batch stay below this
+from quire.sources import io
 
 
 def validate_corpus(responses: DataFrame, profiles: DataFrame, topics: DataFrame, total: int,
@@ -49,7 +48,7 @@ def validate_corpus(responses: DataFrame, profiles: DataFrame, topics: DataFrame
     items = items.select("batch_id", "phase", F.col("pos").cast("bigint").alias("pos"),
                          ps.variant_text("item").alias("raw_text"))
     posts = items.join(profiles, ["batch_id", "pos"])  # J2: positional zip
-    posts = posts.withColumn("key", F.col("batch_id") * SEQ_STRIDE + F.col("pos"))
+    posts = posts.withColumn("key", io.stride_key("batch_id", "pos"))
     posts = posts.withColumn("verdict", tx.row_verdict("raw_text", "min_chars", "max_chars"))
     posts = posts.withColumn("text", tx.collapse_ws(F.coalesce("raw_text", F.lit(""))))
 

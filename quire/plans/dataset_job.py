@@ -53,10 +53,10 @@ def prepare_dataset(spark: SparkSession, ai_paths: list[str], human_paths: list[
     target = n_ai.select(smp.oversample_target(F.col("_n_req"), k_files).alias("_target"))
     raw = io.read_csv_column(spark, human_paths, text_column, csv_columns)
     usable_rows = _usable(raw.withColumn("label", F.lit("human")), english)
-    human = smp.prefix_until_target(usable_rows, "seq", F.lit(True), chunk_rows, target, group=["source_file"])
+    human = smp.prefix_until_target(usable_rows, "row", F.lit(True), chunk_rows, target, group=["source_path"])
     rp.require_rows(human, "human CSV files")
     human = smp.dedup_first(human.drop("chunk"), tx.dedup_key("text"), "seq").drop("dedup_key")
-    human = cut_lineage(smp.even_source_sample(human, "seq", "source_file", "seq", n_ai, seed))
+    human = cut_lineage(smp.even_source_sample(human, "seq", "source_path", "seq", n_ai, seed))
 
     # Balance, drop the file tag, split
     both = ai.select("text", "label", "source_file", "seq").unionByName(

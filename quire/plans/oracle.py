@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from quire import constants as K
 from quire.functions import parse as ps
+from quire.operators.quota import PROMPT_HEAD
 from quire.plans import catalog as C
+from quire.sources.io import KEY_STRIDE
 
 
 def lit(s: str) -> str:
@@ -115,14 +117,13 @@ def tokens(x: str) -> str:
 
 
 POSTS = f"""posts AS (
-  SELECT doc_id * 100000 + (i - 1) AS key, line AS text, lang, source FROM (
+  SELECT doc_id * {KEY_STRIDE} + (i - 1) AS key, line AS text, lang, source FROM (
     SELECT doc_id, lang, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS i
-    FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS parts FROM documents))
-  WHERE length(line) BETWEEN 10 AND 270)"""
+    FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS parts FROM documents)))"""
 
 CLASS_ITEMS = f"""class_items AS (
   SELECT key, text, label FROM (
-    SELECT conv_id * 1000 + turn AS key, {clean('text')} AS text,
+    SELECT conv_id * {KEY_STRIDE} + turn AS key, {clean('text')} AS text,
            CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'ai' END AS label
     FROM conversations)
   WHERE label IS NOT NULL AND length(text) > 0)"""
@@ -359,7 +360,7 @@ SELECT vec_id, a AS ai_likelihood, h AS p_human, {_ai_label('a')} AS ai_label, r
 
 SQL["analyze_json"] = f"""
 WITH r AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), {lit('^' + K.SPACE_RUN + '|' + K.SPACE_RUN + '$')}, '', 'g') AS text FROM conversations),
-j AS (SELECT r.*, e.embedding FROM r JOIN embeddings e ON e.vec_id = r.conv_id),
+j AS (SELECT r.*, e.embedding FROM r LEFT JOIN embeddings e ON e.vec_id = r.conv_id),
 s AS (SELECT conv_id, turn, text, {_softmax(_logits(3))} AS p3, {_softmax(_logits(2))} AS p2 FROM j)
 SELECT conv_id, turn, CASE WHEN text = '' THEN 'No text provided' END AS error,
   CASE WHEN text = '' THEN NULL ELSE round(p3[3] - p3[1], 4) END AS scale_score,
@@ -457,8 +458,8 @@ def _h(tag: str) -> str:
     return md5_int(lit(f"{K.SEED}:{tag}"), "profile_id")
 
 
-_SLOTS = """{d}_slots AS (SELECT value AS {d}, row_number() OVER (ORDER BY {h}, slot) AS rnk FROM (
-  SELECT value, value || ':' || CAST(i AS VARCHAR) AS slot FROM gaps, range(1, remaining + 1) r(i)
+_SLOTS = """{d}_slots AS (SELECT value AS {d}, row_number() OVER (ORDER BY i DESC, {h}, slot) AS rnk FROM (
+  SELECT value, i, value || ':' || CAST(i AS VARCHAR) AS slot FROM gaps, range(1, remaining + 1) r(i)
   WHERE dimension = '{d}' AND remaining > 0))"""
 
 _PLAN = f"""{_QUOTA_BASE},
@@ -482,17 +483,14 @@ SQL["profile_plan"] = f"""
 WITH {_PLAN}
 SELECT * FROM plan"""
 
-_HEAD_REST = lit("Write exactly "), lit(
-    "".join(__import__("quire.operators.quota", fromlist=["x"]).PROMPT_HEAD.split("{n}", 1)[1])
-    .replace("{{", "{").replace("}}", "}"))
+_HEAD_REST = [lit(part) for part in PROMPT_HEAD.split("{n}", 1)]
 
 SQL["render_prompts"] = f"""
 WITH {_PLAN},
 b AS (SELECT (profile_id - 1) // {K.BATCH_SIZE} AS batch_id, (profile_id - 1) % {K.BATCH_SIZE} + 1 AS pos, * FROM plan),
-l AS (SELECT batch_id, pos, CAST(pos AS VARCHAR) || '. Topic: ' || topic || chr(10) || '   Perspective: ' || stance
-   || chr(10) || '   Tone: ' || tone || chr(10) || '   Format: ' || form || chr(10) || '   Casual style: ' || casual_style
-   || chr(10) || '   Length: ' || CAST(min_chars AS VARCHAR) || '-' || CAST(max_chars AS VARCHAR) || ' characters'
-   || chr(10) || '   Questions allowed: ' || CASE WHEN allow_question THEN 'yes' ELSE 'no' END AS line FROM b)
+l AS (SELECT batch_id, pos, '[' || CAST(pos AS VARCHAR) || '] about=' || topic || '; view=' || stance || '; mood=' || tone
+   || '; shape=' || form || '; voice=' || casual_style || '; size=' || CAST(min_chars AS VARCHAR) || '..' || CAST(max_chars AS VARCHAR)
+   || '; may_ask=' || CAST(allow_question AS VARCHAR) AS line FROM b)
 SELECT CAST(batch_id AS BIGINT) AS batch_id, count(*) AS n_profiles,
   {_HEAD_REST[0]} || CAST(count(*) AS VARCHAR) || {_HEAD_REST[1]} || string_agg(line, chr(10) ORDER BY pos) AS prompt
 FROM l GROUP BY batch_id"""

@@ -7,8 +7,6 @@ operators need an explicit ``seq`` column, so every reader exposes one.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,55 +20,48 @@ TABLES = [
 ]
 
 
-# Tables whose rows carry long texts: per-row regex work dominates, so the
-# scan must offer at least one split per core.
-TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster when the scan yields fewer
-    splits than the default parallelism (a large table stored as one file
-    or row group). A table of thousands of files already has enough splits
-    and is left alone, so at scale this adds no shuffle."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # ---------------------------------------------------------------------------
 # Stand-in tables
 # ---------------------------------------------------------------------------
-POST_KEY_STRIDE = 100000
-MIN_POST_CHARS = 10
-MAX_POST_CHARS = 270
+# A key holds an id above 28 bits of position. Ids and positions that do not
+# fit raise, so two rows never share a key.
+KEY_STRIDE = 1 << 28
+
+
+def stride_key(id_col: str, pos_col: str) -> F.Column:
+    """``id * 2^28 + position`` in one long, or an error."""
+    fits = F.col(pos_col).between(0, KEY_STRIDE - 1) & F.col(id_col).between(-(1 << 34), (1 << 34) - 1)
+    made = F.col(id_col).cast("bigint") * KEY_STRIDE + F.col(pos_col)
+    return F.when(fits | F.col(id_col).isNull() | F.col(pos_col).isNull(), made).otherwise(
+        F.raise_error(F.lit("an id or a position does not fit into a key")).cast("bigint"))
+
+
+def posts_of(documents: DataFrame) -> DataFrame:
+    """Posts: every newline piece of ``text``, whatever its length (length
+    rules are operators, not part of the input); the key orders them like a
+    file."""
+    lines = documents.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.select(stride_key("doc_id", "line").alias("key"), "text", "lang", "source")
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short posts: newline pieces of ``documents.text`` of 10..270 code
-    points; ``key = doc_id * 100000 + line`` orders them like a file."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return (
-        d.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-        .filter(F.length("text").between(MIN_POST_CHARS, MAX_POST_CHARS))
-        .select((F.col("doc_id") * POST_KEY_STRIDE + F.col("line")).alias("key"), "text", "lang", "source")
-    )
+    return posts_of(table(spark, sf_dir, "documents"))
 
 
-CONV_KEY_STRIDE = 1000
 ROLE_TO_LABEL = {"user": "human", "assistant": "ai"}
 
 
 def class_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled items: conversation turns, user -> human, assistant -> ai,
     other roles unmapped and dropped (S9); text cleaned (T4) and blank rows
-    dropped (F1). ``key = conv_id * 1000 + turn``."""
+    dropped (F1)."""
     c = table(spark, sf_dir, "conversations")
     label = F.create_map(*[F.lit(x) for kv in ROLE_TO_LABEL.items() for x in kv])[F.col("role")]
-    c = c.select((F.col("conv_id") * CONV_KEY_STRIDE + F.col("turn")).alias("key"), F.col("text").alias("_raw"),
+    c = c.select(stride_key("conv_id", "turn").alias("key"), F.col("text").alias("_raw"),
                  label.alias("label")).filter(F.col("label").isNotNull())
     return tx.keep_nonempty(c, "text", tx.clean("_raw")).select("key", "text", "label")
 
@@ -78,18 +69,61 @@ def class_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Readers
 # ---------------------------------------------------------------------------
+FILE_STRIDE = 1 << 40  # rows of one file stay below this
+
+
+def _files(spark: SparkSession, paths: list[str] | str, required: bool) -> list[tuple[str, str]]:
+    """(path, URI) of the files that the given paths name, in the order given. A path that names none is an error if
+    ``required``, else left out (S4)."""
+    sc = spark.sparkContext
+    rows = []
+    for p in [paths] if isinstance(paths, str) else paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        found = [s for top in fs.globStatus(path) or [] for s in (fs.listStatus(top.getPath()) if top.isDirectory() else [top])]
+        names = sorted((s.getPath().toString(), s.getPath().toUri().toString()) for s in found
+                       if s.isFile() and s.getPath().getName()[0] not in "_.")
+        if required and not found:
+            raise FileNotFoundError(f"input file not found: {p}")
+        rows += [n for n in names if n not in rows]
+    return rows
+
+
+def _ranked(spark: SparkSession, df: DataFrame, files: list[tuple[str, str]]) -> DataFrame:
+    """Add ``_rank``, the place of each row's file in the order given."""
+    slashes = lambda c: F.regexp_replace(c, "^([A-Za-z0-9+.-]+):/+", "$1:/")  # noqa: E731  file:/a and file:///a are one
+    ranks = spark.createDataFrame([(i, uri) for i, (_, uri) in enumerate(files)], "_rank bigint, _file string")
+    ranks = ranks.select("_rank", slashes("_file").alias("_file"))
+    return df.join(F.broadcast(ranks), slashes("source_path") == F.col("_file")).drop("_file")  # one row for each file named
+
+
+def _numbered(df: DataFrame, by: list[str]) -> DataFrame:
+    """Add ``row``, the number of each row inside its file. Ids rise by one
+    inside a split, so a split needs only its first id and its count (a table
+    of splits), offset by prefix sums over the file's splits."""
+    df = df.withColumn("_id", F.monotonically_increasing_id())
+    splits = df.groupBy(*by).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(by[0]).orderBy(*by[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return df.join(splits, by).withColumn("row", F.col("_off") + F.col("_id") - F.col("_first")).drop("_off", "_first", "_id")
+
+
+def _seq() -> F.Column:
+    return F.col("_rank") * F.lit(FILE_STRIDE) + F.col("row")
+
+
 def read_csv_column(spark: SparkSession, paths: list[str] | str, column: str,
                     all_columns: list[str] | None = None) -> DataFrame:
     """S1 (+S3, S4): header CSV, one text column kept, malformed lines kept
     in PERMISSIVE mode, pandas-style null tokens dropped. Missing files are
-    skipped (S4); the result carries ``source_file`` and a row ``seq``
-    (file order, then byte offset in the file)."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    present = [p for p in paths if os.path.exists(p) or "://" in p]
+    skipped (S4). Carries ``source_file`` (its name) and ``source_path``,
+    ``row`` (number in the file, counted before any filter) and ``seq`` (file
+    order, then row). A multi-line CSV file is one split."""
+    files = _files(spark, paths, required=False)
     cols = all_columns or [column]
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
-    if not present:
-        return spark.createDataFrame([], "text string, source_file string, seq bigint")
+    if not files:
+        return spark.createDataFrame([], "text string, source_file string, source_path string, row bigint, seq bigint")
     df = (
         spark.read.schema(schema)
         .option("header", True)
@@ -97,80 +131,43 @@ def read_csv_column(spark: SparkSession, paths: list[str] | str, column: str,
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("encoding", "UTF-8")
-        .csv(present)
-    )
-    file_rank = {os.path.basename(p): i for i, p in enumerate(present)}
-    rank = F.create_map(*[x for kv in file_rank.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    return (
-        df.select(
-            F.col(column).alias("text"),
-            F.col("_metadata.file_name").alias("source_file"),
-            # a multi-line CSV file is one split, so this id rises with the
-            # row position inside each file
-            F.monotonically_increasing_id().alias("_row"),
-        )
-        .withColumn("seq", rank[F.col("source_file")].cast("bigint") * F.lit(1 << 40) + F.col("_row"))
-        .filter(tx.not_null_token("text"))
-        .withColumn("text", tx.strip_ws("text"))
-        .filter(F.length(tx.collapse_ws("text")) > 0)
-        .drop("_row")
+        .csv([path for path, _ in files])
     )
+    rows = _numbered(df.select(F.col(column).alias("text"), F.col("_metadata.file_name").alias("source_file"),
+                               F.col("_metadata.file_path").alias("source_path"),
+                               F.col("_metadata.file_block_start").alias("_block")), ["source_path", "_block"])
+    rows = _ranked(spark, rows, files).withColumn("seq", _seq())
+    kept = rows.filter(tx.not_null_token("text")).withColumn("text", tx.strip_ws("text"))
+    return kept.filter(F.length(tx.collapse_ws("text")) > 0).select("text", "source_file", "source_path", "row", "seq")
 
 
 def read_json_items(spark: SparkSession, paths: list[str] | str, label: str = "ai",
                     lines: bool = False) -> DataFrame:
-    """S2 (+S3, F3): JSON array-of-objects files; missing file is an error,
-    non-object items are skipped, ``text`` defaults to '' and is stripped.
-    Carries ``source_file``, ``seq`` (file order, position) and ``label``.
+    """S2 (+S3, F3): JSON array-of-objects files; a missing file, malformed
+    JSON or JSON that is no list is an error, non-object items are skipped,
+    ``text`` defaults to '' and is stripped. Carries ``source_file``,
+    ``source_path``, ``row``, ``seq`` (file order, position) and ``label``.
 
     A JSON array is one value per file, read by one task; for large inputs
     write JSON lines (one object per line) and pass ``lines=True``, which
     splits files across tasks."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    for p in paths:
-        if "://" not in p and not os.path.exists(p):
-            raise FileNotFoundError(f"input file not found: {p}")
+    files = _files(spark, paths, required=True)
     if lines:
-        return _read_json_lines(spark, paths, label)
-    raw = spark.read.option("wholetext", True).text(paths).select(
-        F.col("value"), F.col("_metadata.file_name").alias("source_file"))
-    arr = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
-    file_rank = {os.path.basename(p): i for i, p in enumerate(paths)}
-    rank = F.create_map(*[x for kv in file_rank.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    items = raw.select("source_file", F.posexplode(arr).alias("pos", "item"))
-    is_obj = F.schema_of_variant("item").startswith("OBJECT")
+        raw = spark.read.text([path for path, _ in files]).select(
+            "value", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"),
+            F.col("_metadata.file_block_start").alias("_block"))
+        items = _numbered(raw, ["source_path", "_block"]).withColumn("item", F.try_parse_json("value"))
+    else:
+        raw = spark.read.option("wholetext", True).text([path for path, _ in files]).select(
+            F.col("value"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"))
+        arr = F.coalesce(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>"),
+                         F.raise_error(F.concat(F.lit("not a JSON list: "), "source_path")).cast("array<variant>"))
+        items = raw.select("source_file", "source_path", F.posexplode(arr).alias("row", "item")).withColumn(
+            "row", F.col("row").cast("bigint"))
+    is_obj = F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False))
     txt = F.coalesce(F.try_variant_get("item", "$.text", "string"), F.lit(""))
-    return (
-        items.filter(is_obj)
-        .select(
-            tx.strip_ws(txt).alias("text"),
-            F.lit(label).alias("label"),
-            "source_file",
-            (rank[F.col("source_file")].cast("bigint") * F.lit(1 << 40) + F.col("pos")).alias("seq"),
-        )
-    )
-
-
-def _read_json_lines(spark: SparkSession, paths: list[str], label: str) -> DataFrame:
-    """JSON-lines variant of ``read_json_items``: each line is parsed on its
-    own (a non-object line is skipped). ``seq`` is the line number inside the
-    file: ids rise by one inside a split, so per split only its first id and
-    line count are needed (a table of splits), offset by prefix sums."""
-    raw = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_name").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
-    splits = raw.groupBy("source_file", "_block").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    file_rank = {os.path.basename(p): i for i, p in enumerate(paths)}
-    rank = F.create_map(*[x for kv in file_rank.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    v = F.try_parse_json("value")
-    is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    txt = F.coalesce(F.try_variant_get(v, "$.text", "string"), F.lit(""))
-    line = F.col("_off") + F.col("_row") - F.col("_first")
-    return (raw.join(splits, ["source_file", "_block"]).filter(is_obj)
-            .select(tx.strip_ws(txt).alias("text"), F.lit(label).alias("label"), "source_file",
-                    (rank[F.col("source_file")].cast("bigint") * F.lit(1 << 40) + line).alias("seq")))
+    return _ranked(spark, items.filter(is_obj), files).select(
+        tx.strip_ws(txt).alias("text"), F.lit(label).alias("label"), "source_file", "source_path", "row", _seq().alias("seq"))
 
 
 # ---------------------------------------------------------------------------

@@ -35,7 +35,7 @@ def score_requests(requests: DataFrame, logits: DataFrame, id_col: str) -> DataF
     """Blank text -> error row; else sentiment and AI detection from the
     logits of the matching id (stream-static join)."""
     req = io.requests_from_json(requests)
-    j = req.join(logits, id_col)
+    j = req.join(logits, id_col, "left")  # a request without logits still gets its row
     err = F.when(F.col("text") == "", F.lit("No text provided"))
     l3 = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
     l2 = F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double"))
@@ -76,10 +76,7 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = file_stream(spark, f"{sf_dir}/documents*.parquet")
-    return (d.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-            .filter(F.length("text").between(io.MIN_POST_CHARS, io.MAX_POST_CHARS))
-            .select((F.col("doc_id") * io.POST_KEY_STRIDE + F.col("line")).alias("key"), "text", "source"))
+    return io.posts_of(file_stream(spark, f"{sf_dir}/documents*.parquet")).drop("lang")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

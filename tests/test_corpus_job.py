@@ -4,6 +4,7 @@ import json
 
 import sequential as S
 from quire.plans.corpus_job import validate_corpus
+from quire.sources import io
 
 
 def test_validate_corpus(spark):
@@ -31,7 +32,7 @@ def test_validate_corpus(spark):
     dec = {r.key: r.decision for r in out["decisions"].collect()}
     assert dec[0] == "accepted" and dec[1] == "near_duplicate"
     assert dec[2] == "profile_length_mismatch" and dec[4] == "not_a_string"
-    assert dec[1001] == "metadata_leakage" and dec[1002] == "contains_handle"
+    assert dec[io.KEY_STRIDE + 1] == "metadata_leakage" and dec[io.KEY_STRIDE + 2] == "contains_handle"
     dl = out["dead_letters"].collect()
     assert len(dl) == 1 and dl[0].reason == "invalid_json" and '"pos":0' in dl[0].profiles
     assert out["rejection_counts"].count() >= 3 and out["coverage"].count() > 0

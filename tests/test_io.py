@@ -65,3 +65,54 @@ def test_json_lines_reader(spark, tmpdir_path):
             f.write(json.dumps(item) + "\n")
     df = io.read_json_items(spark, p, lines=True)
     assert [r.text for r in df.orderBy("seq").collect()] == ["one", "", "two"]
+
+
+def test_bad_json_raises(spark, tmpdir_path):
+    for name, body in (("broken.json", '[{"text": "a"}'), ("object.json", '{"text": "a"}')):
+        p = os.path.join(tmpdir_path, name)
+        with open(p, "w", encoding="utf-8") as f:
+            f.write(body)
+        with pytest.raises(Exception, match="not a JSON list"):
+            io.read_json_items(spark, p).collect()
+
+
+def test_null_tokens(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "human.csv")
+    tokens = ["#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "1.#IND", "1.#QNAN", "NA"]
+    with open(p, "w", encoding="utf-8") as f:
+        f.write("tweet\n" + "\n".join([*tokens, "kept"]) + "\n")
+    assert [r.text for r in io.read_csv_column(spark, p, "tweet").collect()] == ["kept"]
+
+
+def test_many_files_keep_order_and_equal_names_apart(spark, tmpdir_path):
+    paths, want = [], []
+    for k in range(129):
+        folder = os.path.join(tmpdir_path, f"part {k % 2}")
+        os.makedirs(folder, exist_ok=True)
+        p = os.path.join(folder, f"f{k // 2}.csv")
+        with open(p, "w", encoding="utf-8") as f:
+            f.write("tweet\n" + "".join(f"t{k}_{i}\n" for i in range(20)))
+        paths.append(p)
+        want += [f"t{k}_{i}" for i in range(20)]
+    rows = io.read_csv_column(spark, paths[::-1], "tweet").orderBy("seq").collect()
+    assert len({r.seq for r in rows}) == 129 * 20 and len({r.source_path for r in rows}) == 129
+    assert [r.text for r in rows] == [t for k in range(128, -1, -1) for t in want[20 * k : 20 * k + 20]]
+
+
+def test_prefix_counts_rows_of_each_file(spark, tmpdir_path):
+    from quire.operators import sampling as smp
+
+    paths = []
+    for k in range(2):
+        paths.append(os.path.join(tmpdir_path, f"big{k}.csv"))
+        with open(paths[-1], "w", encoding="utf-8") as f:
+            f.write("tweet\n" + "".join(f"t{k}_{i}\n" for i in range(12_000)))
+    df = io.read_csv_column(spark, paths, "tweet")
+    kept = smp.prefix_until_target(df, "row", F.lit(True), 5000, 100, group=["source_path"])
+    assert sorted(r["count"] for r in kept.groupBy("source_path").count().collect()) == [5000, 5000]
+
+
+def test_keys_that_do_not_fit_raise(spark):
+    df = spark.createDataFrame([(1, io.KEY_STRIDE)], "id long, pos long")
+    with pytest.raises(Exception, match="does not fit"):
+        df.select(io.stride_key("id", "pos")).collect()
