@@ -19,13 +19,13 @@ from typing import Protocol
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire import constants as K
+from quire.functions import text as tx
 
 NUM_FEATURES = 1 << 18
 TOKEN_PATTERN = "[\\p{L}\\p{N}_']+"
@@ -36,28 +36,23 @@ class Scorer(Protocol):
 
 
 def featurizer() -> Pipeline:
-    """Tokens (truncated to the reference's 128-token window) -> hashed TF
-    -> IDF."""
+    """Tokens of the whole text -> hashed TF -> IDF. Term counts need no
+    token window; T25 is an operator of its own."""
     tok = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True)
-    truncate = SQLTransformer(statement=f"SELECT *, slice(tokens, 1, {K.TOKEN_WINDOW}) AS tokens128 FROM __THIS__")
-    tf = HashingTF(inputCol="tokens128", outputCol="tf", numFeatures=NUM_FEATURES)
+    tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=NUM_FEATURES)
     idf = IDF(inputCol="tf", outputCol="features")
-    return Pipeline(stages=[tok, truncate, tf, idf])
+    return Pipeline(stages=[tok, tf, idf])
 
 
 def classifier(reg_param: float, max_iter: int = 30) -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol="label_id", regParam=reg_param, maxIter=max_iter)
 
 
-def text_classifier(reg_param: float, max_iter: int = 30) -> Pipeline:
-    return Pipeline(stages=[*featurizer().getStages(), classifier(reg_param, max_iter)])
-
-
 def mllib_scorer(model: PipelineModel) -> Scorer:
     def score(df: DataFrame) -> DataFrame:
         out = model.transform(df)
         return out.withColumn("probs", vector_to_array("probability")).drop(
-            "tokens", "tokens128", "tf", "features", "rawPrediction", "probability", "prediction")
+            "tokens", "tf", "features", "rawPrediction", "probability", "prediction")
     return score
 
 
@@ -133,3 +128,28 @@ def fit_select(train: DataFrame, val: DataFrame, reg_params: list[float]) -> tup
     train_f.unpersist()
     val_f.unpersist()
     return PipelineModel(stages=[*feats.stages, models[best]]), evals
+
+
+# ---------------------------------------------------------------------------
+# Count-based classifier
+# ---------------------------------------------------------------------------
+ODDS_SCALE = 1_000_000
+
+
+def token_log_odds(train: DataFrame, text: str = "text", label: str = "label_id") -> DataFrame:
+    """(token, odds): add-one log odds of class 1 against class 0 for every
+    token of the training texts, as integers (millionths), so sums are exact in
+    any engine. One aggregate; the vocabulary stays a table."""
+    counts = train.select(F.explode(tx.tokens(F.col(text))).alias("token"), label).groupBy("token").agg(
+        F.count_if(F.col(label) == 1).alias("c1"), F.count_if(F.col(label) == 0).alias("c0"))
+    totals = counts.agg(F.sum("c1").alias("t1"), F.sum("c0").alias("t0"), F.count("*").alias("v"))
+    odds = F.log((F.col("c1") + 1.0) / (F.col("t1") + F.col("v"))) - F.log((F.col("c0") + 1.0) / (F.col("t0") + F.col("v")))
+    return counts.crossJoin(F.broadcast(totals)).select("token", F.round(odds * ODDS_SCALE).cast("bigint").alias("odds"))
+
+
+def score_log_odds(df: DataFrame, model: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
+    """``df`` with ``score``: the sum of its tokens' odds, unknown tokens 0.
+    Equal tokens of a text are counted before they meet the model."""
+    tokens = df.select(key, F.explode(tx.tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    sums = tokens.join(model, "token").groupBy(key).agg(F.sum(F.col("n") * F.col("odds")).alias("score"))
+    return df.join(sums, key, "left").withColumn("score", F.coalesce("score", F.lit(0)))

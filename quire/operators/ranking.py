@@ -20,6 +20,15 @@ from quire.functions.hashing import hex_bucket, md5_order
 HASH_BUCKET_DIGITS = 3  # 4096 buckets per group
 
 
+def join_groups(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on group columns in which a null group is a group too."""
+    on = F.lit(True)
+    for c in cols:
+        on = on & left[c].eqNullSafe(F.col(f"_r_{c}"))
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in cols else F.col(c) for c in right.columns])
+    return left.join(named, on, how).drop(*[f"_r_{c}" for c in cols])
+
+
 def first_n(df: DataFrame, group: list[str], order: list[Column | str], n: int,
             rank_col: str | None = None) -> DataFrame:
     """Keep the first ``n`` rows per group in ``order`` (ties must be broken
@@ -50,7 +59,7 @@ def hash_rank(df: DataFrame, group: list[str], key: str, seed: int | Column,
         "_off", F.coalesce(F.sum("_n").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).drop("_n")
     return (
-        local.join(offsets, [*group, b], "inner")
+        join_groups(local, offsets, [*group, b])
         .withColumn(rank_col, (F.col("_off") + F.col("_lr")).cast("bigint"))
         .drop("_off", "_lr", b)
     )

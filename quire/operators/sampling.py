@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire import constants as K
 from quire.functions.hashing import md5_order
-from quire.operators.ranking import first_wins, hash_rank
+from quire.operators.ranking import first_wins, hash_rank, join_groups
 
 
 def _one_row(df: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def prefix_until_target(df: DataFrame, seq: str, usable: Column, chunk_rows: int
     else:
         tgt = target if isinstance(target, Column) else F.lit(target)
     keep = counts.filter(F.col("_before") < tgt).select(*group, "chunk")
-    return tagged.join(keep, [*group, "chunk"], "left_semi")
+    return join_groups(tagged, keep, [*group, "chunk"], "left_semi")
 
 
 def oversample_target(n: Column | int, k: Column | int) -> Column:
@@ -82,7 +82,7 @@ def even_source_sample(cand: DataFrame, key: str, source: str, seq: str, n: Colu
     quotas = sources.crossJoin(_one_row(params)).select(
         source, "_idx", "_n",
         (F.col("_base") + F.when(F.col("_idx") < F.col("_rem"), 1).otherwise(0)).alias("_req"))
-    with_q = cand.join(quotas, source)
+    with_q = join_groups(cand, quotas, [source])
     ranked = hash_rank(with_q, [source], key, F.lit(seed) + F.col("_idx"))
     picked = ranked.filter(F.col("rnk") <= F.col("_req")).drop("rnk", "h", "_req", "_idx")
     # fill from the unused pool
@@ -141,9 +141,4 @@ def stratified_split(df: DataFrame, key: str, label: str, seed: int = K.SEED,
     split = (F.when(F.col("rnk") <= F.col("_t"), F.lit("train"))
              .when(F.col("rnk") <= F.col("_t") + F.col("_v"), F.lit("val"))
              .otherwise(F.lit("test")))
-    return ranked.join(F.broadcast(quotas), label).withColumn("split", split).drop("_t", "_v", "rnk", "h")
-
-
-def shuffle_order(df: DataFrame, key: str, seed: int = K.SEED) -> DataFrame:
-    """Seeded shuffle as an order column (no global sort needed)."""
-    return df.withColumn("shuffle_order", md5_order(seed, key))
+    return join_groups(ranked, F.broadcast(quotas), [label]).withColumn("split", split).drop("_t", "_v", "rnk", "h")

@@ -486,16 +486,28 @@ def parse_envelope(spark, sf):
 # Language identification
 # ---------------------------------------------------------------------------
 def language_id(spark, sf):
-    """L1: trigram model trained on every labelled document, then every
+    """L1: trigram model trained on the documents with even ids, then every
     document scored; the given language is kept for comparison."""
-    d = io.table(spark, sf, "documents").select("doc_id", "lang", F.lower(tx.clean("text")).alias("t"))
-    dg = li.doc_trigram_counts(d, "doc_id", "t", "lang").persist()  # read by training and scoring
-    model, langs = li.train_from_counts(dg, "lang")
-    pred = li.predict_from_counts(dg, "doc_id", model, langs)
+    pred = _predicted_language(spark, sf)
     actual = io.table(spark, sf, "documents").select("doc_id", "lang")
     return pred.join(actual, "doc_id").select("doc_id", "lang", "predicted", "n_trigrams")
 
 
+def _predicted_language(spark, sf):
+    d = io.table(spark, sf, "documents").select("doc_id", "lang", F.lower(tx.clean("text")).alias("t"))
+    dg = li.doc_trigram_counts(d, "doc_id", "t", "lang").persist()  # read by training and scoring
+    model, langs = li.train_from_counts(dg.filter(F.col("doc_id") % 2 == 0), "lang")
+    return li.predict_from_counts(dg, "doc_id", model, langs)
+
+
+def english_detected(spark, sf):
+    """F2 over L1: documents whose language, as detected, is English, with
+    their cleaned text; the given language is not read."""
+    english = _predicted_language(spark, sf).filter(F.col("predicted") == "en").select("doc_id")
+    d = tx.keep_nonempty(io.table(spark, sf, "documents").select("doc_id", "text"), "clean_text", tx.clean("text"))
+    return d.join(english, "doc_id", "left_semi").select("doc_id", "clean_text")
+
+
 # ---------------------------------------------------------------------------
 # Near duplicates
 # ---------------------------------------------------------------------------
@@ -586,27 +598,47 @@ def train_detector(spark, sf):
     """M3 + M4 + M7: fit on the train split, choose by validation F1, report
     test and external-holdout metrics. The holdout conversations never enter
     the dataset build (D6)."""
-    c = io.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    hold = md5_order(K.SEED, "conv_id").startswith(HOLDOUT_HEX)
-    label = F.when(F.col("role") == "user", F.lit("human")).when(F.col("role") == "assistant", F.lit("ai"))
-    items = c.select(io.stride_key("conv_id", "turn").alias("key"),
-                     tx.clean("text").alias("text"), label.alias("label"), hold.alias("holdout")).filter(
-        F.col("label").isNotNull() & (F.length("text") > 0))
-    lid = F.when(F.col("label") == "ai", 1).otherwise(0)
-    ds = items.filter(~F.col("holdout")).drop("holdout")
-    ds = smp.dedup_first(ds, tx.dedup_key("text"), "key", per=["label"]).drop("dedup_key")
-    ds = smp.stratified_split(smp.balance_classes(ds, "key", "label"), "key", "label").withColumn("label_id", lid)
-    ds = ds.cache()
+    items = cut_lineage(_detector_items(spark, sf))
+    ds, ho = items.filter("split <> 'holdout'"), items.filter("split = 'holdout'")
     model, val_evals = ml.fit_select(ds.filter("split = 'train'"), ds.filter("split = 'val'"), REG_PARAMS)
     scorer = ml.mllib_scorer(model)
     test = ml.binary_metrics(ml.predictions(scorer(ds.filter("split = 'test'")))).withColumn("split", F.lit("test"))
-    ho = items.filter(F.col("holdout")).withColumn("label_id", lid)
     hold_m = ml.binary_metrics(ml.predictions(scorer(ho))).withColumn("split", F.lit("holdout"))
     val = val_evals.withColumn("split", F.concat(F.lit("val:reg="), F.col("reg_param").cast("string"))) \
         .drop("candidate", "reg_param")
     return val.unionByName(test).unionByName(hold_m)
 
 
+def _detector_items(spark, sf):
+    """Labelled turns with their split; the holdout conversations never enter
+    the dataset build (D6)."""
+    c = io.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    hold = md5_order(K.SEED, "conv_id").startswith(HOLDOUT_HEX)
+    label = F.when(F.col("role") == "user", F.lit("human")).when(F.col("role") == "assistant", F.lit("ai"))
+    items = c.select(io.stride_key("conv_id", "turn").alias("key"), tx.clean("text").alias("text"), label.alias("label"),
+                     hold.alias("holdout")).filter(F.col("label").isNotNull() & (F.length("text") > 0))
+    items = items.withColumn("label_id", F.when(F.col("label") == "ai", 1).otherwise(0))
+    ds = smp.dedup_first(items.filter(~F.col("holdout")), tx.dedup_key("text"), "key", per=["label"]).drop("dedup_key", "holdout")
+    ds = smp.stratified_split(smp.balance_classes(ds, "key", "label"), "key", "label")
+    return ds.unionByName(items.filter(F.col("holdout")).drop("holdout").withColumn("split", F.lit("holdout")))
+
+
+ODDS_CUTS = [-1_000_000, 0, 1_000_000]  # candidates: the score above which a text is class 1
+
+
+def count_detector(spark, sf):
+    """M3 + M4 + M7 with a count-based model: log odds fitted on the train
+    split, the cut chosen by validation F1, metrics on test and holdout."""
+    items = cut_lineage(_detector_items(spark, sf))
+    scored = cut_lineage(ml.score_log_odds(items.filter("split <> 'train'"), ml.token_log_odds(items.filter("split = 'train'"))))
+    cuts = scored.select("*", F.explode(F.array(*[F.lit(c) for c in ODDS_CUTS])).alias("cut")).withColumn(
+        "pred", (F.col("score") > F.col("cut")).cast("int"))
+    metrics = ml.binary_metrics(cuts, group=["split", "cut"])
+    best = metrics.filter("split = 'val'").agg(F.max_by("cut", F.struct(F.col("f1"), -F.col("cut"))).alias("best"))
+    out = metrics.crossJoin(F.broadcast(best)).filter((F.col("split") == "val") | (F.col("cut") == F.col("best")))
+    return out.select("split", _long("cut").alias("cut"), "tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1")
+
+
 QUERIES: dict[str, Query] = {
     "clean_text": clean_text,
     "dedup_key_first": dedup_key_first,
@@ -651,12 +683,14 @@ QUERIES: dict[str, Query] = {
     "failure_rate": failure_rate,
     "parse_envelope": parse_envelope,
     "language_id": language_id,
+    "english_detected": english_detected,
     "near_dup_jaccard": near_dup_jaccard,
     "near_dup_chars": near_dup_chars,
     "greedy_accept": greedy_accept,
     "greedy_rejections": greedy_rejections,
     "greedy_milestones": greedy_milestones,
     "train_detector": train_detector,
+    "count_detector": count_detector,
     "stream_score": st.stream_score,
     "stream_dedup": st.stream_dedup,
     "stream_reject_counts": st.stream_reject_counts,

@@ -529,7 +529,7 @@ SQL["language_id"] = f"""
 WITH d AS (SELECT doc_id, lang, lower({clean('text')}) AS t FROM documents),
 ch AS (SELECT doc_id, lang, regexp_extract_all(t, '(?s).') AS c FROM d WHERE length(t) >= 3),
 tri AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS g FROM ch),
-counts AS (SELECT lang, g, count(*) AS c FROM tri GROUP BY lang, g),
+counts AS (SELECT lang, g, count(*) AS c FROM tri WHERE doc_id % 2 = 0 GROUP BY lang, g),
 v AS (SELECT count(DISTINCT g) AS v FROM counts),
 tot AS (SELECT lang, sum(c) AS t FROM counts GROUP BY lang),
 langs AS (SELECT lang, t, v, CAST(round(ln(1.0::DOUBLE / (t + v)) * 1000000) AS BIGINT) AS fl FROM tot, v),
@@ -545,6 +545,35 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER B
 SELECT best.doc_id, documents.lang, best.lang AS predicted, CAST(best.n AS BIGINT) AS n_trigrams
 FROM best JOIN documents USING (doc_id)"""
 
+SQL["english_detected"] = f"""
+{SQL["language_id"].rsplit("SELECT best.doc_id", 1)[0]}
+SELECT doc_id, clean_text FROM (SELECT doc_id, {clean('text')} AS clean_text FROM documents)
+WHERE length(clean_text) > 0 AND doc_id IN (SELECT doc_id FROM best WHERE lang = 'en')"""
+
+SQL["count_detector"] = f"""
+WITH {CLASS_ITEMS},
+it AS (SELECT *, starts_with({md5_order(lit(str(K.SEED)), f"(key // {KEY_STRIDE})")}, {lit(C.HOLDOUT_HEX)}) AS holdout FROM class_items),
+dd AS (SELECT key, text, label FROM (
+  SELECT *, row_number() OVER (PARTITION BY label, {dedup_key('text')} ORDER BY key) AS rn FROM it WHERE NOT holdout) WHERE rn = 1),
+{_balance_sql('dd')}, {_split_sql('balanced')},
+items AS (SELECT key, text, label, split FROM split UNION ALL SELECT key, text, label, 'holdout' FROM it WHERE holdout),
+tok AS (SELECT key, split, label, unnest({tokens('text')}) AS token FROM items),
+c AS (SELECT token, count(*) FILTER (WHERE label = 'ai') AS c1, count(*) FILTER (WHERE label = 'human') AS c0
+      FROM tok WHERE split = 'train' GROUP BY token),
+t AS (SELECT sum(c1) AS t1, sum(c0) AS t0, count(*) AS v FROM c),
+m AS (SELECT token, CAST(round((ln((c1 + 1.0::DOUBLE) / (t1 + v)) - ln((c0 + 1.0::DOUBLE) / (t0 + v))) * 1000000) AS BIGINT) AS odds FROM c, t),
+sc AS (SELECT key, sum(odds) AS score FROM tok JOIN m USING (token) GROUP BY key),
+p AS (SELECT split, label = 'ai' AS truth, cut, coalesce(score, 0) > cut AS pred
+      FROM items LEFT JOIN sc USING (key), (SELECT unnest({C.ODDS_CUTS}) AS cut) WHERE split <> 'train'),
+n AS (SELECT split, cut, count(*) FILTER (WHERE truth AND pred) AS tp, count(*) FILTER (WHERE NOT truth AND pred) AS fp,
+      count(*) FILTER (WHERE truth AND NOT pred) AS fn, count(*) FILTER (WHERE NOT truth AND NOT pred) AS tn FROM p GROUP BY split, cut),
+r AS (SELECT split, CAST(cut AS BIGINT) AS cut, tp, fp, fn, tn, (tp + tn) / (tp + fp + fn + tn) AS accuracy,
+      CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0::DOUBLE END AS precision,
+      CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0::DOUBLE END AS recall,
+      CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0::DOUBLE END AS f1 FROM n),
+best AS (SELECT cut FROM r WHERE split = 'val' ORDER BY f1 DESC, cut LIMIT 1)
+SELECT * FROM r WHERE split = 'val' OR cut = (SELECT cut FROM best)"""
+
 SQL["near_dup_jaccard"] = f"""
 WITH {POSTS},
 p AS (SELECT key, {word_list('text')} AS ws FROM posts),
