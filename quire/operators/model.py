@@ -48,6 +48,16 @@ def classifier(reg_param: float, max_iter: int = 30) -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol="label_id", regParam=reg_param, maxIter=max_iter)
 
 
+def save(model: PipelineModel, path: str) -> None:
+    """M3: write the fitted pipeline, features and classifier together."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    """M4: the pipeline as written."""
+    return PipelineModel.load(path)
+
+
 def mllib_scorer(model: PipelineModel) -> Scorer:
     def score(df: DataFrame) -> DataFrame:
         out = model.transform(df)

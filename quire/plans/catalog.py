@@ -4,6 +4,7 @@ the oracle SQL in ``quire.plans.oracle``; integer outputs are BIGINT."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,7 +23,7 @@ from quire.operators import ranking as rk
 from quire.operators import reports as rp
 from quire.operators import similarity as sim
 from quire.operators import sampling as smp
-from quire.session import cut_lineage
+from quire.session import checkpoint_dir, cut_lineage
 from quire.sources import io
 from quire.streaming import stream as st
 
@@ -601,7 +602,9 @@ def train_detector(spark, sf):
     items = cut_lineage(_detector_items(spark, sf))
     ds, ho = items.filter("split <> 'holdout'"), items.filter("split = 'holdout'")
     model, val_evals = ml.fit_select(ds.filter("split = 'train'"), ds.filter("split = 'val'"), REG_PARAMS)
-    scorer = ml.mllib_scorer(model)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/models/detector-{uuid.uuid4().hex}"
+    ml.save(model, path)
+    scorer = ml.mllib_scorer(ml.load(path))  # what is judged is the model as written
     test = ml.binary_metrics(ml.predictions(scorer(ds.filter("split = 'test'")))).withColumn("split", F.lit("test"))
     hold_m = ml.binary_metrics(ml.predictions(scorer(ho))).withColumn("split", F.lit("holdout"))
     val = val_evals.withColumn("split", F.concat(F.lit("val:reg="), F.col("reg_param").cast("string"))) \

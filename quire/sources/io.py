@@ -185,9 +185,9 @@ def write_json_lines(df: DataFrame, out: str) -> None:
 
 
 def write_dead_letters(failed: DataFrame, out: str) -> None:
-    """Append unparsable responses with a reason and the first 500
-    characters of the raw text."""
-    (failed.select("batch_id", "reason", F.substring("raw", 1, 500).alias("raw"))
+    """Append unparsable responses with a reason, the first 500 characters
+    of the raw text, and what else is known of the batch (profiles, phase)."""
+    (failed.withColumn("raw", F.substring("raw", 1, 500))
      .write.mode("append").json(out))
 
 

@@ -53,3 +53,14 @@ def test_prefix_until_target(spark):
     kept = smp.prefix_until_target(df, "seq", F.col("seq") % 2 == 0, 10, 12)
     # 5 usable per chunk of 10: chunks 0,1 give 10 (< 12), chunk 2 reaches 15 and is kept whole
     assert sorted(r.seq for r in kept.collect()) == list(range(0, 30, 2))
+
+
+def test_null_groups_are_groups(spark):
+    rows = [(i, None if i % 3 == 0 else "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "key long, label string")
+    ranked = hash_rank(df, ["label"], "key", 1).collect()
+    assert len(ranked) == 60
+    for g in (None, "a", "b"):
+        ranks = sorted(r.rnk for r in ranked if r.label == g)
+        assert ranks == list(range(1, len(ranks) + 1)) and ranks
+    assert smp.stratified_split(df, "key", "label").count() == 60
