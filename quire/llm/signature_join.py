@@ -13,8 +13,10 @@ document, not pairs.
    set gives one key per range for both. Keys travel in packed arrays, one per
    bucket and batch; sets that share a key are candidates, and each is tied to
    the smallest of its key, so no key gives pairs.
-3. Candidates that hang together form a block. A block is dealt into chunks of
-   bounded size. In a chunk, sets (as bitmaps of one bit per shingle hash,
+3. Candidates that hang together form a block. As long as it helps, large
+   blocks are parted by other cuts of the hash space, which tie all that links
+   but not what merely shares a passage. A block is dealt into chunks of bounded
+   size. In a chunk, sets (as bitmaps of one bit per shingle hash,
    about a bit or two per shingle) are leaves of a tree whose inner nodes hold
    the OR of their bitmaps and the range of their sizes; two nodes are
    traversed together and dropped when the largest possible overlap of any two
@@ -46,7 +48,11 @@ from quire.llm.pieces import mixed
 SHINGLE = 4
 PERCENT = 85
 #: Sets in one chunk of a block, and sets below one node of a tree.
-CHUNK, FANOUT = 512, 16
+CHUNK, FANOUT = 4096, 16
+#: Shingles in one chunk, as expected.
+CHUNK_SHINGLES = 4_000_000
+#: Candidate ids sent to all tasks at most (8 bytes each, some four times that in memory).
+BROADCAST_IDS = 1_000_000
 #: Texts of one packed array of keys.
 BATCH_TEXTS = 2000
 
@@ -81,25 +87,35 @@ def size_classes(percent: int, upto: int) -> list[int]:
     return out
 
 
-def set_keys(found: np.ndarray, classes: list[int], percent: int) -> np.ndarray:
+def set_keys(found: np.ndarray, classes: list[int], percent: int, seed: int = 0) -> np.ndarray:
     """Keys of a set, for its own size class and the one below as the class of
-    the smaller set, of which at most `differ` shingles differ. A cut of the
-    hash space with more than `differ` ranges that hold shingles leaves one of
-    them alike, so a set with fewer such ranges gives keys for a finer cut too:
-    of two sets that link, both do so until one has enough."""
+    the smaller set, of which at most `differ` shingles differ. More than
+    `differ` ranges that hold shingles leave one of them alike, so ranges of
+    three shingles or more give keys if there are that many, then those of two
+    and of one too, then those of a finer cut: of two sets that link, both go on
+    until one has enough."""
     own = int(np.searchsorted(classes, len(found), side="right")) - 1
+    if seed:
+        found = np.sort(mixed(found ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
     high, keys = found >> np.uint64(32), []
     for c in (own, own - 1):
         if c < 0:
             continue
         differ = (classes[c + 1] - 1) * (100 - percent) // percent
-        ranges, full = differ + 1 + differ // 16, 0
-        while full <= differ:
+        ranges = (differ + 1) * 3 // 2
+        while True:
             part = (high * np.uint64(ranges)) >> np.uint64(32)
             first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            full = len(first)
-            keys.append(mixed(np.add.reduceat(found, first) ^ mixed(part[first] + np.uint64((c << 40) + ranges * 3))))
-            if ranges >= 1 << 31:
+            sizes = np.diff(np.append(first, len(part)))
+            every = mixed(np.add.reduceat(found, first) ^ mixed(part[first] + np.uint64((c << 40) + ranges * 3)))
+            enough = 0
+            for least in (3, 2, 1):
+                use = every[sizes >= 3 if least == 3 else sizes == least]
+                keys.append(use)
+                enough += len(use)
+                if enough > differ:
+                    break
+            if enough > differ or ranges >= 1 << 31:
                 break
             ranges *= 2
     return np.concatenate(keys)
@@ -118,23 +134,24 @@ def _sets(size: int):
     return run
 
 
-def _keys(size: int, percent: int, buckets: int):
-    """One packed row for each batch and bucket: keys, the place of each key's set in a list, and the list."""
+def _keys(size: int, percent: int, buckets: int, seed: int = 0):
+    """One packed row for each batch and bucket: keys, the place of each key's
+    set in a list, and the list. Input: id, text, and the block that keys hold for."""
 
     def run(batches):
         classes = size_classes(percent, 1 << 16)
         for batch in batches:
-            texts = [t for t, i in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True) if i is not None]
+            texts = [(t, b) for i, t, b in zip(*(c.to_pylist() for c in batch.columns), strict=True) if i is not None]
             for at in range(0, len(texts), BATCH_TEXTS):
                 made: dict[int, np.ndarray] = {}
-                for text in texts[at : at + BATCH_TEXTS]:
+                for text, block in texts[at : at + BATCH_TEXTS]:
                     found = shingles(text, size)
                     if len(found):
                         one = set_hashes(found)[0]
                         if one not in made:
                             if len(found) >= classes[-1]:
                                 classes = size_classes(percent, 2 * len(found))
-                            made[one] = set_keys(found, classes, percent)
+                            made[one] = mixed(set_keys(found, classes, percent, seed) + np.uint64(block & (1 << 64) - 1))
                 if not made:
                     continue
                 keys = np.concatenate(list(made.values()))
@@ -154,7 +171,7 @@ def _keys(size: int, percent: int, buckets: int):
 
 
 def _ties(batches):
-    """(one, other) for sets that share a key: each set with the smallest of the key."""
+    """(one, other) for sets that share a key, or hang together by keys of one bucket."""
     held, current = [], None
 
     def ties():
@@ -165,7 +182,19 @@ def _ties(batches):
         same = np.append(False, keys[1:] == keys[:-1])
         start = np.maximum.accumulate(np.where(same, 0, np.arange(len(keys))))
         pairs = np.stack([sets[start], sets], 1)[same & (sets[start] != sets)]
-        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 2)
+        root: dict[int, int] = {}
+        for a, b in np.unique(pairs, axis=0).tolist() if len(pairs) else ():
+            while a in root:
+                a = root[a]
+            while b in root:
+                b = root[b]
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        tied = list(root)
+        for a in tied:  # each set of the bucket with the smallest it hangs together with
+            while root[a] in root:
+                root[a] = root[root[a]]
+        pairs = np.array([(root[a], a) for a in tied], np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     for batch in batches:
@@ -181,19 +210,19 @@ def _ties(batches):
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) of the edges (a, b), root the smallest node reached, by
-    large and small stars; each round is written to the shared folder."""
+    large and small stars; each step is written to the shared folder."""
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    state = None
     while True:
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = stored(large.distinct(), name)
+        large = stored(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), name)
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
-        grown = stored(small.where("a <> b").distinct(), name)
-        if grown.exceptAll(edges).isEmpty() and edges.exceptAll(grown).isEmpty():
-            return grown.select(F.col("a").alias("node"), F.col("b").alias("root")).union(grown.select("b", "b").distinct())
-        edges = grown
+        edges = stored(small.where("a <> b").distinct(), name)
+        before, state = state, tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first())
+        if state == before:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
 class Forest:
@@ -370,20 +399,37 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     sets = stored(map_arrow(rows, _sets(size), SETS), "join-sets")
     classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "one", "two").agg(F.min("doc_id").alias("class_id"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = map_arrow(rows, _keys(size, percent, 4 * partitions), "bucket long, keys binary, places binary, sets binary")
-    ties = map_arrow(packed.repartition(partitions, "bucket").sortWithinPartitions("bucket"), _ties, "a long, b long")
-    blocks = components(ties, "join-blocks").withColumnRenamed("node", "one").withColumnRenamed("root", "block")
-    members = classes.join(blocks, "one")
-    counts = members.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
-    chunks = F.ceil(F.col("m") / chunk)
-    dealt = stored(members.join(counts, "block").select("block", F.pmod(F.xxhash64("class_id"), chunks).alias("chunk"), F.col("class_id").alias("doc_id"), "one", "two", "m"), "join-dealt")
-    texts = stored(dealt.join(rows, "doc_id").select("block", "chunk", "doc_id", "one", "two", "m", "text"), "join-texts")
-    again = texts.select("block", "chunk", "doc_id", "one", "two", "text").repartition(partitions, "block", "chunk").sortWithinPartitions("block", "chunk")
+
+    def blocks_of(texts: DataFrame, seed: int) -> DataFrame:
+        """(one, block): sets whose keys hang together, within the blocks given."""
+        packed = map_arrow(texts, _keys(size, percent, 4 * partitions, seed), "bucket long, keys binary, places binary, sets binary")
+        ties = map_arrow(packed.repartition(partitions, "bucket").sortWithinPartitions("bucket"), _ties, "a long, b long")
+        return components(ties, "join-blocks").withColumnRenamed("node", "one").withColumnRenamed("root", "block")
+
+    members = stored(classes.join(blocks_of(rows.withColumn("block", F.lit(0).cast("long")), 0), "one").select("block", F.col("class_id").alias("doc_id"), "one", "two", "n"), "join-members")
+    ids = members.select("doc_id")
+    # few candidates are sent to all texts; many meet them by a shuffle
+    some = rows.join(F.broadcast(ids) if members.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    texts = stored(some.join(members.drop("block", "n"), "doc_id").select("doc_id", "one", "two", "text"), "join-texts")
+    # a passage that many texts share can tie blocks that hold no links: other cuts of the hash space part them again
+    held = None
+    for seed in range(1, 1 << 20):
+        counts = members.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+        members = members.join(counts.select("block", F.ceil(F.greatest(F.col("m") / chunk, F.col("s") / CHUNK_SHINGLES)).alias("chunks")), "block")
+        large = members.where("chunks > 1")
+        before, held = held, large.count()
+        if not held or (before is not None and 10 * held > 9 * before):
+            break
+        parted = blocks_of(texts.join(large.select("doc_id", "one", "two", "block"), ["doc_id", "one", "two"]).select("doc_id", "text", "block"), seed)
+        again = large.drop("block", "chunks").join(parted, "one").select("block", "doc_id", "one", "two", "n")
+        members = stored(members.where("chunks = 1").select("block", "doc_id", "one", "two", "n").unionByName(again), "join-members")
+    dealt = stored(members.select("block", F.pmod(F.xxhash64("doc_id"), "chunks").alias("chunk"), "doc_id", "one", "two", "chunks"), "join-dealt")
+    again = dealt.drop("chunks").join(texts, ["doc_id", "one", "two"]).select("block", "chunk", "doc_id", "one", "two", "text").repartition(partitions, "block", "chunk").sortWithinPartitions("block", "chunk")
     labels = stored(map_arrow(again, _chunks(size, percent), "block long, chunk long, doc_id long, label long"), "join-labels")
-    large = dealt.where(F.col("m") > chunk).select("block").distinct()
+    large = dealt.where("chunks > 1").select("block").distinct()
     if not large.isEmpty():
         of_large = stored(labels.join(large, "block", "left_semi"), "join-labels")
-        own = texts.where(F.col("m") > chunk).select("doc_id", "text").dropDuplicates(["doc_id"])
+        own = texts.join(of_large.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         labels = labels.join(large, "block", "left_anti").unionByName(_rounds(own, of_large, size, percent))
     found = classes.join(labels.select(F.col("doc_id").alias("class_id"), "label"), "class_id", "left").select("n", "one", "two", "class_id", F.coalesce("label", "class_id").alias("component_id"))
     lone = F.col("doc_id").isNull()
