@@ -90,10 +90,14 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def measured(rows: DataFrame, rules: dict[str, str], sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[tuple[str, float, float]]:
+def sampled(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> DataFrame:
+    """About so many of the rows, drawn before anything is worked out for them."""
+    return docs.sample(False, min(1.0, sample_rows / max(docs.count(), 1)), seed)
+
+
+def measured(sample: DataFrame, rules: dict[str, str]) -> list[tuple[str, float, float]]:
     """(rule, seconds, share rejected) of each rule on a sample, in the order to run them."""
-    total = rows.select("doc_id").count()
-    sample = stored(rows.sample(False, min(1.0, sample_rows / max(total, 1)), seed), "rule-sample")
+    sample = stored(sample, "rule-sample")
 
     def run(condition: str) -> tuple[float, float]:
         began = time.perf_counter()
@@ -106,11 +110,11 @@ def measured(rows: DataFrame, rules: dict[str, str], sample_rows: int = SAMPLE_R
     return sorted(found, key=lambda x: (-x[2] / x[1], x[1]))
 
 
-def cascade(rows: DataFrame, rules: dict[str, str] | None = None, sample_rows: int = SAMPLE_ROWS, first: str = "false") -> DataFrame:
-    """`rows` with `passes`: no rule rejects the row. Rows where `first` holds
-    fail before any rule runs."""
+def cascade(rows: DataFrame, sample: DataFrame, rules: dict[str, str] | None = None, first: str = "false") -> DataFrame:
+    """`rows` with `passes`: no rule rejects the row. The rules are ordered on
+    `sample`. Rows where `first` holds fail before any rule runs."""
     rules = RULES if rules is None else rules
-    order = [name for name, _, _ in measured(rows, rules, sample_rows)]
+    order = [name for name, _, _ in measured(sample, rules)]
     branches = "".join(f" when {rules[name]} then false" for name in order)
     return rows.withColumn("passes", F.expr(f"case when {first} then false{branches} else true end"))
 
@@ -152,7 +156,8 @@ FROM s
 
 def quality_rules(docs: DataFrame, rules: dict[str, str] | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Statistics of each text, whether the base rule fails, and whether the row is kept."""
-    rows = cascade(text_statistics(docs, id_col, text_col), rules, sample_rows, BASE_FAILED)
+    sample = text_statistics(sampled(docs, sample_rows), id_col, text_col)
+    rows = cascade(text_statistics(docs, id_col, text_col), sample, rules, BASE_FAILED)
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(BASE_FAILED).alias("base_failed"), F.col("passes").alias("kept")
     )
