@@ -51,8 +51,8 @@ PERCENT = 85
 CHUNK, FANOUT = 4096, 16
 #: Shingles in one chunk, as expected.
 CHUNK_SHINGLES = 4_000_000
-#: Candidate ids sent to all tasks at most (8 bytes each, some four times that in memory).
-BROADCAST_IDS = 1_000_000
+#: Candidates sent to all tasks at most (five numbers each, under 100 MB in memory).
+BROADCAST_ROWS = 500_000
 #: Texts of one packed array of keys.
 BATCH_TEXTS = 2000
 
@@ -407,10 +407,9 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         return components(ties, "join-blocks").withColumnRenamed("node", "one").withColumnRenamed("root", "block")
 
     members = stored(classes.join(blocks_of(rows.withColumn("block", F.lit(0).cast("long")), 0), "one").select("block", F.col("class_id").alias("doc_id"), "one", "two", "n"), "join-members")
-    ids = members.select("doc_id")
     # few candidates are sent to all texts; many meet them by a shuffle
-    some = rows.join(F.broadcast(ids) if members.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    texts = stored(some.join(members.drop("block", "n"), "doc_id").select("doc_id", "one", "two", "text"), "join-texts")
+    near = F.broadcast if members.count() <= BROADCAST_ROWS else lambda df: df
+    texts = stored(rows.join(near(members.select("doc_id", "one", "two")), "doc_id").select("doc_id", "one", "two", "text"), "join-texts")
     # a passage that many texts share can tie blocks that hold no links: other cuts of the hash space part them again
     held = None
     for seed in range(1, 1 << 20):
@@ -424,7 +423,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         again = large.drop("block", "chunks").join(parted, "one").select("block", "doc_id", "one", "two", "n")
         members = stored(members.where("chunks = 1").select("block", "doc_id", "one", "two", "n").unionByName(again), "join-members")
     dealt = stored(members.select("block", F.pmod(F.xxhash64("doc_id"), "chunks").alias("chunk"), "doc_id", "one", "two", "chunks"), "join-dealt")
-    again = dealt.drop("chunks").join(texts, ["doc_id", "one", "two"]).select("block", "chunk", "doc_id", "one", "two", "text").repartition(partitions, "block", "chunk").sortWithinPartitions("block", "chunk")
+    again = texts.join(near(dealt.drop("chunks")), ["doc_id", "one", "two"]).select("block", "chunk", "doc_id", "one", "two", "text").repartition(partitions, "block", "chunk").sortWithinPartitions("block", "chunk")
     labels = stored(map_arrow(again, _chunks(size, percent), "block long, chunk long, doc_id long, label long"), "join-labels")
     large = dealt.where("chunks > 1").select("block").distinct()
     if not large.isEmpty():
