@@ -15,6 +15,9 @@ from quire.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Near duplicates: words of a shingle, and the least Jaccard similarity in percent. Those of op3's query bind that query alone.
+SHINGLE, PERCENT = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that the resampling does not draw go. Rows of one
@@ -28,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     id stays, of equal ids the first row. Groups are found by row, so repeated
     and null ids are rows of their own; documents without words all stay."""
     rows = docs.withColumn("_row", F.monotonically_increasing_id())  # docs is a Parquet table, so a row keeps its number
-    groups = signature_join.jaccard_components(rows.select("_row", "text"), id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    groups = signature_join.jaccard_components(rows.select("_row", "text"), size=SHINGLE, percent=PERCENT, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     first = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
     return rows.join(first.select("_row"), "_row", "left_semi").select(*docs.columns)

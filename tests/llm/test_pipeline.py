@@ -70,3 +70,18 @@ def test_rows_without_ids(spark, tables):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 7), (False, 8), (True, 0), (True, 0)]
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_near_duplicates_at_five_words_and_four_fifths(spark, tables):
+    """Copies between 4 words at 0.85 and 5 words at 0.8 are one group; those below are not."""
+    words = [f"w{k}" for k in range(100)]
+    changed = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(words))
+    every = [(1, changed()), (2, changed(30, 70)), (3, " ".join(f"v{k}" for k in range(100))), (4, " ".join("y" if k in (20, 50, 80) else f"v{k}" for k in range(100)))]
+    docs = stored(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in every], tables[0].schema), "test-between")
+    assert {i for i, _, root in brute(every) if i != root} == set() and {i for i, _, root in brute(every, 5, 80) if i != root} == {2}
+    assert set(texts(cp.near_duplicates(spark, docs, SF))) == {1, 3, 4}
+
+
+def test_groups_of_five_words_and_four_fifths(tables):
+    before = texts(tables[1])
+    assert set(texts(tables[2])) == {root if n else i for i, n, root in brute(sorted(before.items()), 5, 80)}
