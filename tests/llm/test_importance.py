@@ -51,3 +51,24 @@ def test_edge_rows(spark):
     assert im.resampled(docs.limit(0), labels).collect() == []
     assert im.resampled(docs, labels.limit(0)).count() == len(rows)
     assert im.resampled(docs, labels, k=10).count() == 10
+
+
+@pytest.mark.parametrize("shift", [-0.05, 0.05])
+def test_length_does_not_decide(spark, monkeypatch, shift):
+    """Clean texts of 5,000 and of 30 words are kept, foul ones of either length and empty ones go, with the cut on either side of 0."""
+    rng = random.Random(5)
+    clean = lambda n: " ".join(rng.choice(["plain", "words", "of", "a", "text", "that", "reads", "well"]) for _ in range(n))
+    foul = lambda n: " ".join(rng.choice(["!!", "$$", "%%", "plain", "||", "words", "**"]) for _ in range(n))
+    lengths = [30, 5000, 300, 30, 300]
+    rows = [(i, clean(lengths[i % 5])) for i in range(60)] + [(100 + i, foul(lengths[i % 5])) for i in range(60)] + [(200 + i, ["", None, " \n"][i % 3]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1 if i < 100 else 0) for i, _ in rows[:120] if i % 2], "doc_id long, quality int")
+    # all n-grams moved by one amount: the order by rate is the same, the totals' is not
+    ratio, cut, cuts = im.log_ratio, im.best_cut, []
+    monkeypatch.setattr(im, "log_ratio", lambda raw, target: ratio(raw, target) + moved)
+    monkeypatch.setattr(im, "best_cut", lambda good, bad: cuts.append(cut(good, bad)) or cuts[-1])
+    moved = 0.0
+    im.resampled(docs, labels)
+    moved = shift - cuts[0]
+    assert {r.doc_id for r in im.resampled(docs, labels).collect()} == set(range(60))
+    assert cuts[1] == pytest.approx(shift)
