@@ -1,9 +1,9 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams, one of the target text (labelled
-good) and one of the raw text (all documents), give each document the log of
-its importance: the sum over its n-grams of log p_target - log p_raw. That sum grows
-with the length, so texts are compared by the log importance of an equal stretch
+good and not toxic) and one of the raw text (all documents), give each document
+the log of its importance: the sum over its n-grams of log p_target - log p_raw.
+That sum grows with the length, so texts are compared by the log importance of an equal stretch
 of STRETCH n-grams at their own rate. Documents are sampled without replacement
 in proportion to it by Gumbel top-k: the k largest of it plus Gumbel noise, the
 noise drawn from a hash of the id, so a task that runs again draws the same.
@@ -148,11 +148,15 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
 
 def labelled(labels: DataFrame, target_rows: int = TARGET_ROWS, cut_rows: int = CUT_ROWS) -> DataFrame:
     """(doc_id, role): bounded samples by the order of a hash of the id. good:
-    for the target model; cut_good (kept out of it), cut_bad: for the cut."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", F.xxhash64(F.lit(3), "doc_id").alias("h")).where("doc_id is not null and quality is not null").distinct()
+    for the target model; cut_good (kept out of it), cut_bad: for the cut. A
+    row labelled toxic is never good. Of quality 1 it is not bad for the cut
+    either: n-gram rates do not part it from clean text, and the cut would rise
+    into that. Without a column toxic, or where it is null, nothing is said of it."""
+    toxic = F.coalesce(F.col("toxic") >= 1, F.lit(False)) if "toxic" in labels.columns else F.lit(False)
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", toxic.alias("toxic"), F.xxhash64(F.lit(3), "doc_id").alias("h")).where("doc_id is not null and quality is not null").distinct()
     held = F.pmod("h", F.lit(5)) == 0
     pick = lambda df, n, role: df.orderBy("h", "doc_id").limit(n).select("doc_id", F.lit(role).alias("role"))
-    good, bad = rows.where("quality >= 1"), rows.where("quality < 1")
+    good, bad = rows.where("quality >= 1 and not toxic"), rows.where("quality < 1")
     return pick(good.where(~held), target_rows, "good").union(pick(good.where(held), cut_rows, "cut_good")).union(pick(bad, cut_rows, "cut_bad"))
 
 

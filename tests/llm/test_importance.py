@@ -72,3 +72,17 @@ def test_length_does_not_decide(spark, monkeypatch, shift):
     moved = shift - cuts[0]
     assert {r.doc_id for r in im.resampled(docs, labels).collect()} == set(range(60))
     assert cuts[1] == pytest.approx(shift)
+
+
+def test_toxic_rows_are_no_target(spark):
+    """Labelled toxic rows are neither target nor good for the cut, and held-out texts like them go where n-grams tell."""
+    rows = [(1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0), (5, 1, None), (6, None, 1), (None, 1, 1)]
+    roles = {r.doc_id: r.role for r in im.labelled(spark.createDataFrame(rows, "doc_id long, quality int, toxic int")).collect()}
+    assert {i for i, role in roles.items() if role == "cut_bad"} == {3, 4} and set(roles) == {1, 3, 4, 5}
+    rng = random.Random(9)
+    say = lambda *words: " ".join(rng.choice(words) for _ in range(80))
+    texts = [(i, say("plain", "words", "of", "a", "text")) for i in range(60)] + [(100 + i, say("plain", "words", "vile", "scorn", "insult")) for i in range(60)]
+    texts += [(200 + i, say("%%", "!!", "words")) for i in range(20)]
+    labels = [(i, int(i < 200), int(100 <= i < 200)) for i, _ in texts if i % 2]
+    scores = {r.doc_id: r.log_weight / r.n_grams for r in im.scored(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))[0].collect()}
+    assert min(scores[i] for i in range(60)) > max(scores[i] for i in range(100, 160))
