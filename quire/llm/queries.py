@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, importance, license_lookup, packing, prefix_counts, rule_cascade, secret_cnn, signature_join, suffix_tree, warc_chain
+from quire.llm import decontaminate, importance, license_lookup, packing, periodic_runs, prefix_counts, rule_cascade, secret_cnn, signature_join, suffix_tree, warc_chain
 from quire.llm.common import table
 
 TOKEN_LIMIT = 512
@@ -70,6 +70,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.with_planted(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    written = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(written, F.lit("\n"))).otherwise("")
+    longest = found.select("doc_id", "runs", "collapsed", best.alias("best"), lines.alias("lines"))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return longest.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -85,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_resampling": op8_quality_resampling,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
+    "op11_periodic_runs": op11_periodic_runs,
     "pipeline": pipeline,
 }
 
