@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, importance, license_lookup, packing, periodic_runs, prefix_counts, rule_cascade, secret_cnn, signature_join, suffix_tree, warc_chain
-from quire.llm.common import table
+from quire.llm import decontaminate, importance, license_lookup, packing, periodic_runs, prefix_counts, ranked_ids, rule_cascade, secret_cnn, signature_join, suffix_tree, warc_chain
+from quire.llm.common import shared_path, table
 
 TOKEN_LIMIT = 512
 
@@ -89,6 +89,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "ranked-ids")
+    ranked_ids.write_ids(table(spark, sf_dir, "documents"), vocabulary(), path)
+    return ranked_ids.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_ranked_ids": op12_ranked_ids,
     "pipeline": pipeline,
 }
 
