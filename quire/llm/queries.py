@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, importance, license_lookup, packing, periodic_runs, prefix_counts, ranked_ids, rule_cascade, secret_cnn, signature_join, suffix_tree, warc_chain
+from quire.llm import decontaminate, importance, license_lookup, packing, periodic_runs, prefix_counts, ranked_ids, rule_cascade, secret_cnn, signature_join, spectral_whitening, suffix_tree, warc_chain
 from quire.llm.common import shared_path, table
 
 TOKEN_LIMIT = 512
@@ -95,6 +95,10 @@ def op12_ranked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_ids.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_spectral_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral_whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_ranked_ids": op12_ranked_ids,
+    "op13_spectral_whitening": op13_spectral_whitening,
     "pipeline": pipeline,
 }
 
