@@ -41,13 +41,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import doc_text, map_arrow, removed, shared_path
+from quire.llm.common import doc_text, map_arrow, removed, shared_path, stored
 from quire.llm.packing import END_TOKEN, encoder
 
 #: Tokens of a block (a longer document has a block of its own), blocks of a file, and tokens of a partition.
 BLOCK_TOKENS, FILE_BLOCKS, PARTITION_TOKENS = 1 << 16, 256, 1 << 24
 #: Least tokens of a partition, where there are more tasks than partitions.
 LEAST_TOKENS = 1 << 20
+#: Partitions whose starts (two numbers each) are sent to all tasks at most.
+BROADCAST_PARTITIONS = 1_000_000
 #: Texts encoded in one step.
 STEP_TEXTS = 1000
 
@@ -229,8 +231,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     id_of = np.zeros(len(ranks), "<u4")
     id_of[[r["rank"] for r in ranks]] = [r.id for r in ranks]
     files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/blocks").select("content")
-    totals = map_arrow(files, _partition_totals, "partition long, n long").groupBy("partition").agg(F.sum("n").alias("n"))
+    totals = stored(map_arrow(files, _partition_totals, "partition long, n long").groupBy("partition").agg(F.sum("n").alias("n")), "ranked-totals")
     earlier = Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     base = totals.select("partition", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     found = map_arrow(files, _documents(id_of), "partition long, before long, doc_id long, n_tokens long, ids binary")
-    return found.join(base, "partition").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids")
+    # at a row for every 2^24 tokens or more, few enough to be sent to the documents, which else go through a shuffle
+    near = F.broadcast(base) if totals.count() <= BROADCAST_PARTITIONS else base
+    return found.join(near, "partition").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids")
