@@ -183,7 +183,7 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id
     """The token ids of all documents, with an end token each, as a folder of this format."""
     spark = docs.sparkSession
     kept = shared_path(spark, "ranked-tokens")
-    map_arrow(doc_text(docs, id_col, text_col), _tokens(vocabulary), "doc_id long, n_tokens long, checksum long, ids binary").write.parquet(kept)
+    map_arrow(doc_text(docs, id_col, text_col), _tokens(vocabulary), "doc_id long, n_tokens long, checksum long, ids binary").write.option("compression", "zstd").parquet(kept)
     tokens = spark.read.parquet(kept)
     counts = map_arrow(tokens.select("n_tokens", "ids"), _counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = sorted(counts.collect(), key=lambda r: (-r.n, r.id))  # at most as many as the vocabulary has
