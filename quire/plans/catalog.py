@@ -522,11 +522,8 @@ def near_dup_jaccard(spark, sf):
 def near_dup_chars(spark, sf):
     """J3/D4 character part (X4): for each post, the first earlier post with
     SequenceMatcher(candidate, earlier) ratio >= 0.92 on normalized text
-    (equal normalized texts included). As in the corpus check, F10 comes
-    first: posts outside every length band fail before J3 is asked."""
-    p = io.posts(spark, sf).select("key", "text")
-    p = p.filter(F.length(tx.collapse_ws("text")).between(min(b[1] for b in K.LENGTH_BANDS), max(b[2] for b in K.LENGTH_BANDS)))
-    p = sim.with_keys(p, "text").persist()
+    (equal normalized texts included). Posts of any length take part."""
+    p = sim.with_keys(io.posts(spark, sf).select("key", "text"), "text").persist()
     return sim.earliest_similar(p, "key", "nk", sim.char_edges(p))
 
 
