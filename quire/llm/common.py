@@ -40,6 +40,24 @@ def removed(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class Scratch:
+    """Tables of one operator in a folder of their own, deleted when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path = spark, shared_path(spark, name)
+        self.n = 0
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path, self.n = f"{self.path}/{name}-{self.n}", self.n + 1
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch = path  # the table is known by itself
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        removed(self.spark, *(t._scratch for t in tables))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

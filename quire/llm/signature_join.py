@@ -6,14 +6,20 @@ document, not pairs.
 
 1. Equal sets are one class (a hash of the set; copies are counted together
    before the shuffle), with the smallest id as its representative.
-2. Candidates, without loss: if two sets link, at most d = s * (100 - percent) /
+2. Of two sets that link, at most s - ceil(percent * s / 100) shingles of the
+   one with s are not in the other. So shingles of a fixed share of the hash
+   space are counted over all distinct sets, and a set with more than that many
+   shingles of its own is out: texts that merely share passages go here. A
+   shingle in many sets of a batch is known to be shared and is not sent for all.
+3. Candidates among the rest, without loss: if two sets link, at most d = s * (100 - percent) /
    percent shingles differ, s being the smaller size. Cut the hash space into
    d + 1 ranges: some range holds the same shingles in both sets. Sizes fall
    into classes so that a link joins a class and itself or the next, and each
    set gives one key per range for both. Keys travel in packed arrays, one per
-   bucket and batch; sets that share a key are candidates, and each is tied to
-   the smallest of its key, so no key gives pairs.
-3. Candidates that hang together form a block. As long as it helps, large
+   bucket and batch; sets that share a key are candidates, and a task ties each
+   to the smallest it hangs together with, so no key gives pairs; what several
+   tasks say of one set is brought to one tie.
+4. Candidates that hang together form a block. As long as it helps, large
    blocks are parted by other cuts of the hash space, which tie all that links
    but not what merely shares a passage. A block is dealt into chunks of bounded
    size. In a chunk, sets (as bitmaps of one bit per shingle hash,
@@ -22,7 +28,7 @@ document, not pairs.
    traversed together and dropped when the largest possible overlap of any two
    sets below cannot reach a link, or when all below are linked already. Pairs
    of leaves that remain are checked on the shingles.
-4. A block of several chunks: rounds of pivots. The sets outside the block's
+5. A block of several chunks: rounds of pivots. The sets outside the block's
    largest component become pivots, up to a chunk at a time, and are compared
    with every chunk by the same traversal, until no set outside the largest
    component is left that has not been compared with all. So near copies of
@@ -42,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import doc_text, map_arrow, stored
+from quire.llm.common import Scratch, doc_text, map_arrow
 from quire.llm.pieces import mixed
 
 SHINGLE = 4
@@ -53,8 +59,8 @@ CHUNK, FANOUT = 4096, 16
 CHUNK_SHINGLES = 4_000_000
 #: Candidates sent to all tasks at most (five numbers each, under 100 MB in memory).
 BROADCAST_ROWS = 500_000
-#: Texts of one packed array of keys.
-BATCH_TEXTS = 2000
+#: Texts of one packed array of keys, and sets among them that make a shingle known as shared.
+BATCH_TEXTS, SHARED_SETS = 2000, 64
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -121,19 +127,104 @@ def set_keys(found: np.ndarray, classes: list[int], percent: int, seed: int = 0)
     return np.concatenate(keys)
 
 
-SETS = "doc_id long, n long, one long, two long"
+SETS = "doc_id long, n long, one long, two long, counted long"
 
 
-def _sets(size: int):
+def counted(found: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of the share of the hash space that is counted: enough to see that most are a set's own."""
+    share = min(100, (100 - percent) * 8 // 5)
+    return found[: np.searchsorted(found, np.uint64(((1 << 64) - 1) // 100 * share))]
+
+
+def _sets(size: int, percent: int):
     def run(batches):
         for batch in batches:
             made = [shingles(t, size) for t in batch.column(1).to_pylist()]
             hashes = [set_hashes(m) for m in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(m) for m in made], pa.int64()), pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64())], ["doc_id", "n", "one", "two"])
+            columns = [[len(m) for m in made], [h[0] for h in hashes], [h[1] for h in hashes], [len(counted(m, percent)) for m in made]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n", "one", "two", "counted"])
+
+    return run
+
+
+def _counted(size: int, percent: int, buckets: int):
+    """Packed rows of counted shingles: 32 bits of each beside its set; without
+    `keys`, sets and how many of their shingles are shared for certain."""
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at in range(0, len(texts), BATCH_TEXTS):
+                made: dict[int, np.ndarray] = {}
+                for doc, text in zip(ids[at : at + BATCH_TEXTS], texts[at : at + BATCH_TEXTS], strict=True):
+                    if doc is not None and len(found := shingles(text, size)):
+                        made[set_hashes(found)[0]] = counted(found, percent)
+                if not made:
+                    continue
+                keys = np.concatenate(list(made.values()))
+                ones = np.fromiter(made, np.int64, len(made))
+                owner = np.repeat(ones, [len(k) for k in made.values()])
+                order = np.argsort(keys, kind="stable")
+                keys, owner = keys[order], owner[order]
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+                n = np.diff(np.append(first, len(keys)))
+                place = np.arange(len(keys)) - np.repeat(first, n)
+                sure = np.repeat(n, n) > SHARED_SETS  # two of them tell the other batches
+                if sure.any():
+                    some, times = np.unique(owner[sure], return_counts=True)
+                    yield _packed_row(int(some[0]) % buckets, None, some, times.astype(np.int32))
+                sent = ~sure | (place < 2)
+                keys, owner, flag = mixed(keys[sent]), owner[sent], sure[sent]
+                bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                keys, owner, bucket, flag = keys[order].astype(np.uint32), owner[order], bucket[order], flag[order]
+                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]).tolist() + [len(bucket)]
+                for a, b in zip(cuts, cuts[1:]):
+                    yield _packed_row(int(bucket[a]), keys[a:b], owner[a:b], flag[a:b].astype(np.int32))
 
     return run
 
 
+def _packed_row(bucket: int, keys: np.ndarray | None, sets: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    held = (None if keys is None else keys.tobytes(), sets.tobytes(), times.astype(np.uint8).tobytes() if keys is not None else times.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *(pa.array([x], pa.binary()) for x in held)], ["bucket", "keys", "sets", "times"])
+
+
+def _shared(batches):
+    """(one, shared): how many counted shingles of a set are in other sets too, by task."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held, current = [], None
+
+    def repeats():
+        keys = np.concatenate([np.frombuffer(k, np.uint32) for k, _, _ in held])
+        sets = np.concatenate([np.frombuffer(s, np.int64) for _, s, _ in held])
+        told = np.concatenate([np.frombuffer(t, np.uint8) for _, _, t in held]) > 0  # counted by the batch itself
+        order = np.lexsort((~told, sets, keys))
+        keys, sets, told = keys[order], sets[order], told[order]
+        fresh = np.append(True, (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1]))  # copies in other batches are one set
+        keys, sets, told = keys[fresh], sets[fresh], told[fresh]
+        alike = np.append(False, keys[1:] == keys[:-1])
+        alike[:-1] |= alike[1:].copy()
+        return np.unique(sets[alike & ~told], return_counts=True)
+
+    for batch in batches:
+        for bucket, keys, sets, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if keys is None:
+                found.append((np.frombuffer(sets, np.int64), np.frombuffer(times, np.int32).astype(np.int64)))
+                continue
+            if held and bucket != current:
+                found.append(repeats())
+                held.clear()
+            current = bucket
+            held.append((keys, sets, times))
+    if held:
+        found.append(repeats())
+    if found:
+        sets, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+        total = np.bincount(back, np.concatenate([f[1] for f in found]), len(sets)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(sets), pa.array(total)], ["one", "shared"])
+
+
 def _keys(size: int, percent: int, buckets: int, seed: int = 0):
     """One packed row for each batch and bucket: keys, the place of each key's
     set in a list, and the list. Input: id, text, and the block that keys hold for."""
@@ -171,10 +262,11 @@ def _keys(size: int, percent: int, buckets: int, seed: int = 0):
 
 
 def _ties(batches):
-    """(one, other) for sets that share a key, or hang together by keys of one bucket."""
+    """(smaller, larger) for the sets of a task that share a key or hang together by its keys."""
     held, current = [], None
+    root: dict[int, int] = {}
 
-    def ties():
+    def tie():
         keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _, _ in held])
         sets = np.concatenate([np.frombuffer(s, np.int64)[np.frombuffer(p, np.uint16)] for _, p, s in held])
         order = np.lexsort((sets, keys))
@@ -182,7 +274,6 @@ def _ties(batches):
         same = np.append(False, keys[1:] == keys[:-1])
         start = np.maximum.accumulate(np.where(same, 0, np.arange(len(keys))))
         pairs = np.stack([sets[start], sets], 1)[same & (sets[start] != sets)]
-        root: dict[int, int] = {}
         for a, b in np.unique(pairs, axis=0).tolist() if len(pairs) else ():
             while a in root:
                 a = root[a]
@@ -190,36 +281,45 @@ def _ties(batches):
                 b = root[b]
             if a != b:
                 root[max(a, b)] = min(a, b)
-        tied = list(root)
-        for a in tied:  # each set of the bucket with the smallest it hangs together with
+        for a in root:  # each set with the smallest it hangs together with
             while root[a] in root:
                 root[a] = root[root[a]]
-        pairs = np.array([(root[a], a) for a in tied], np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     for batch in batches:
         for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and bucket != current:
-                yield ties()
+                tie()
                 held.clear()
             current = bucket
             held.append(row)
     if held:
-        yield ties()
+        tie()
+    if root:
+        yield pa.RecordBatch.from_arrays([pa.array(list(root.values()), pa.int64()), pa.array(list(root), pa.int64())], ["a", "b"])
+
+
+def single_ties(ties: DataFrame) -> DataFrame:
+    """One tie (a, b) for each larger set b, and those of the smaller ones that several tasks name, which are few."""
+    named = ties.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("a"))  # at most one a task
+    first = F.element_at("a", 1)
+    return named.select(F.explode(F.transform(F.col("a"), lambda x, i: F.struct(first.alias("a"), F.when(i == 0, F.col("b")).otherwise(x).alias("b")))).alias("t")).select("t.a", "t.b").distinct()
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of the edges (a, b), root the smallest node reached, by
-    large and small stars; each step is written to the shared folder."""
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    large and small stars; each step is written to the shared folder, and the
+    one before deleted."""
+    edges = scratch.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     while True:
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = stored(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), name)
+        large = scratch.stored(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), "large")
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
-        edges = stored(small.where("a <> b").distinct(), name)
+        new = scratch.stored(small.where("a <> b").distinct(), "edges")
+        scratch.drop(edges, large)
+        edges = new
         before, state = state, tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first())
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
@@ -367,7 +467,7 @@ def _against_pivots(size: int, percent: int):
     return run
 
 
-def _rounds(texts: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
+def _rounds(texts: DataFrame, labels: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """Labels of blocks of several chunks, after rounds of pivots."""
     done = None
     while True:
@@ -377,18 +477,18 @@ def _rounds(texts: DataFrame, labels: DataFrame, size: int, percent: int) -> Dat
         if done is not None:
             left = left.join(done, "doc_id", "left_anti")
         first = Window.partitionBy("block").orderBy("doc_id")
-        pivots = stored(left.withColumn("k", F.row_number().over(first)).where(F.col("k") <= CHUNK).select("block", "doc_id", "label"), "join-pivots")
+        pivots = scratch.stored(left.withColumn("k", F.row_number().over(first)).where(F.col("k") <= CHUNK).select("block", "doc_id", "label"), "join-pivots")
         if pivots.isEmpty():
             return labels
         chunks = labels.join(pivots.select("block").distinct(), "block", "left_semi")
         members = chunks.join(texts.select("doc_id", "text"), "doc_id").select("block", "chunk", "doc_id", "label", F.lit(False).alias("pivot"), "text")
         spread = pivots.join(texts.select("doc_id", "text"), "doc_id").join(chunks.select("block", "chunk").distinct(), "block").select("block", "chunk", "doc_id", "label", F.lit(True).alias("pivot"), "text")
         rows = members.union(spread).repartition("block", "chunk").sortWithinPartitions("block", "chunk")
-        joined = stored(map_arrow(rows, _against_pivots(size, percent), "a long, b long"), "join-links")
-        roots = components(joined, "join-roots")
-        done = pivots.select("doc_id") if done is None else stored(done.union(pivots.select("doc_id")), "join-done")
+        joined = scratch.stored(map_arrow(rows, _against_pivots(size, percent), "a long, b long"), "join-links")
+        roots = components(joined, scratch)
+        done = pivots.select("doc_id") if done is None else scratch.stored(done.union(pivots.select("doc_id")), "done")
         moved = labels.join(roots.withColumnRenamed("node", "label"), "label", "left")
-        labels = stored(moved.select("block", "chunk", "doc_id", F.coalesce("root", "label").alias("label")), "join-labels")
+        labels = scratch.stored(moved.select("block", "chunk", "doc_id", F.coalesce("root", "label").alias("label")), "join-labels")
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -396,40 +496,52 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     class_id (the smallest id with an equal set), one row for each document."""
     spark = docs.sparkSession
     rows = doc_text(docs, id_col, text_col)
-    sets = stored(map_arrow(rows, _sets(size), SETS), "join-sets")
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "one", "two").agg(F.min("doc_id").alias("class_id"))
+    scratch = Scratch(spark, "jaccard-join")
+    sets = scratch.stored(map_arrow(rows, _sets(size, percent), SETS), "sets")
+    classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "one", "two", "counted").agg(F.min("doc_id").alias("class_id"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def blocks_of(texts: DataFrame, seed: int) -> DataFrame:
+    # sets with too many shingles of their own link with nothing
+    packed = map_arrow(rows, _counted(size, percent, 4 * partitions), "bucket long, keys binary, sets binary, times binary")
+    shared = map_arrow(packed.repartition(partitions, "bucket").sortWithinPartitions("bucket"), _shared, "one long, shared long").groupBy("one").agg(F.sum("shared").alias("shared"))
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    left = scratch.stored(classes.join(shared, "one", "left").where(F.col("counted") - F.coalesce("shared", F.lit(0)) <= most).select(F.col("class_id").alias("doc_id"), "one", "two", "n"), "left")
+
+    # few candidates are sent to all texts; many meet them by a shuffle
+    near = F.broadcast if left.count() <= BROADCAST_ROWS else lambda df: df
+    texts = scratch.stored(rows.join(near(left.select("doc_id", "one", "two")), "doc_id").select("doc_id", "one", "two", "text"), "texts")
+
+    def blocks_of(some: DataFrame, seed: int) -> DataFrame:
         """(one, block): sets whose keys hang together, within the blocks given."""
-        packed = map_arrow(texts, _keys(size, percent, 4 * partitions, seed), "bucket long, keys binary, places binary, sets binary")
+        packed = map_arrow(some, _keys(size, percent, 4 * partitions, seed), "bucket long, keys binary, places binary, sets binary")
         ties = map_arrow(packed.repartition(partitions, "bucket").sortWithinPartitions("bucket"), _ties, "a long, b long")
-        return components(ties, "join-blocks").withColumnRenamed("node", "one").withColumnRenamed("root", "block")
+        return components(single_ties(ties), scratch).withColumnRenamed("node", "one").withColumnRenamed("root", "block")
 
-    members = stored(classes.join(blocks_of(rows.withColumn("block", F.lit(0).cast("long")), 0), "one").select("block", F.col("class_id").alias("doc_id"), "one", "two", "n"), "join-members")
-    # few candidates are sent to all texts; many meet them by a shuffle
-    near = F.broadcast if members.count() <= BROADCAST_ROWS else lambda df: df
-    texts = stored(rows.join(near(members.select("doc_id", "one", "two")), "doc_id").select("doc_id", "one", "two", "text"), "join-texts")
+    whole = blocks_of(texts.select("doc_id", "text", F.lit(0).cast("long").alias("block")), 0)
+    members = scratch.stored(left.join(whole, "one").select("block", "doc_id", "one", "two", "n"), "members")
     # a passage that many texts share can tie blocks that hold no links: other cuts of the hash space part them again
     held = None
     for seed in range(1, 1 << 20):
         counts = members.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
-        members = members.join(counts.select("block", F.ceil(F.greatest(F.col("m") / chunk, F.col("s") / CHUNK_SHINGLES)).alias("chunks")), "block")
-        large = members.where("chunks > 1")
+        sized = members.join(counts.select("block", F.ceil(F.greatest(F.col("m") / chunk, F.col("s") / CHUNK_SHINGLES)).alias("chunks")), "block")
+        large = sized.where("chunks > 1")
         before, held = held, large.count()
         if not held or (before is not None and 10 * held > 9 * before):
             break
         parted = blocks_of(texts.join(large.select("doc_id", "one", "two", "block"), ["doc_id", "one", "two"]).select("doc_id", "text", "block"), seed)
         again = large.drop("block", "chunks").join(parted, "one").select("block", "doc_id", "one", "two", "n")
-        members = stored(members.where("chunks = 1").select("block", "doc_id", "one", "two", "n").unionByName(again), "join-members")
-    dealt = stored(members.select("block", F.pmod(F.xxhash64("doc_id"), "chunks").alias("chunk"), "doc_id", "one", "two", "chunks"), "join-dealt")
+        new = scratch.stored(sized.where("chunks = 1").select("block", "doc_id", "one", "two", "n").unionByName(again), "members")
+        scratch.drop(members)
+        members = new
+    dealt = scratch.stored(sized.select("block", F.pmod(F.xxhash64("doc_id"), "chunks").alias("chunk"), "doc_id", "one", "two", "chunks"), "dealt")
     again = texts.join(near(dealt.drop("chunks")), ["doc_id", "one", "two"]).select("block", "chunk", "doc_id", "one", "two", "text").repartition(partitions, "block", "chunk").sortWithinPartitions("block", "chunk")
-    labels = stored(map_arrow(again, _chunks(size, percent), "block long, chunk long, doc_id long, label long"), "join-labels")
+    labels = scratch.stored(map_arrow(again, _chunks(size, percent), "block long, chunk long, doc_id long, label long"), "labels")
     large = dealt.where("chunks > 1").select("block").distinct()
     if not large.isEmpty():
-        of_large = stored(labels.join(large, "block", "left_semi"), "join-labels")
+        of_large = scratch.stored(labels.join(large, "block", "left_semi"), "labels")
         own = texts.join(of_large.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        labels = labels.join(large, "block", "left_anti").unionByName(_rounds(own, of_large, size, percent))
+        labels = scratch.stored(labels.join(large, "block", "left_anti").unionByName(_rounds(own, of_large, size, percent, scratch)), "labels")
+    scratch.drop(left, texts, members, dealt)
     found = classes.join(labels.select(F.col("doc_id").alias("class_id"), "label"), "class_id", "left").select("n", "one", "two", "class_id", F.coalesce("label", "class_id").alias("component_id"))
     lone = F.col("doc_id").isNull()
     return sets.join(found, ["n", "one", "two"], "left").select(
