@@ -16,6 +16,7 @@ from quire.functions import text as tx
 from quire.functions.hashing import md5_int, md5_order
 from quire.functions import parse as ps
 from quire.operators import greedy as gr
+from quire.operators import incremental as inc
 from quire.operators import langid as li
 from quire.operators import model as ml
 from quire.operators import quota as qt
@@ -536,6 +537,12 @@ GREEDY_BUCKET = io.KEY_STRIDE * 16   # 16 documents of posts per prefix-sum buck
 
 
 def _greedy_inputs(spark, sf):
+    c = _greedy_candidates(spark, sf)
+    valid = c.filter(F.col("verdict") == "ok")
+    return c, sim.jaccard_edges(valid), sim.char_edges(valid)
+
+
+def _greedy_candidates(spark, sf):
     vp = _verdict_posts(spark, sf)
     total = vp.agg(F.expr(f"count(*) div {GREEDY_TARGET_DIV}").alias("_total"))
     lengths = qt.proportional_targets(qt.bands_table(spark), total)
@@ -558,9 +565,7 @@ def _greedy_inputs(spark, sf):
     c = c.withColumn("phase", F.when(F.col("doc_id") >= F.floor(F.col("_ndocs") * RECOVERY_FROM), F.lit("recovery"))
                      .otherwise(F.lit("main"))).drop("_ndocs")
     # materialise once: the fixpoint and both edge builders read it
-    c = cut_lineage(c)
-    valid = c.filter(F.col("verdict") == "ok")
-    return c, sim.jaccard_edges(valid), sim.char_edges(valid)
+    return cut_lineage(c)
 
 
 def _greedy_decisions(spark, sf):
@@ -575,6 +580,24 @@ def greedy_accept(spark, sf):
     return _greedy_decisions(spark, sf).select("key", "phase", "decision", "reason", "accepted_before")
 
 
+ACCEPT_BATCHES = 3
+
+
+def greedy_in_batches(spark, sf):
+    """G1 + J3 batch by batch: the candidates come in three batches of
+    documents, each decided against the stored index of the rows accepted
+    before it, which it then extends. Decisions are those of greedy_accept."""
+    c = _greedy_candidates(spark, sf)
+    last = c.agg(F.max("doc_id")).first()[0] or 0
+    path = f"{checkpoint_dir(spark).rstrip('/')}/accepted-{uuid.uuid4().hex}"
+    out = None
+    for i in range(ACCEPT_BATCHES):
+        own = c.filter(F.expr(f"doc_id * {ACCEPT_BATCHES} div {last + 1}") == i)
+        dec = inc.accept_batch(own, path, f"{i:06d}").withColumn("batch", F.lit(i))
+        out = dec if out is None else out.unionByName(dec)
+    return out.select("key", "batch", "decision", "accepted_before")
+
+
 def greedy_rejections(spark, sf):
     """Rejection reason counts of the greedy pass."""
     return gr.rejection_counts(_greedy_decisions(spark, sf))
@@ -687,6 +710,7 @@ QUERIES: dict[str, Query] = {
     "near_dup_jaccard": near_dup_jaccard,
     "near_dup_chars": near_dup_chars,
     "greedy_accept": greedy_accept,
+    "greedy_in_batches": greedy_in_batches,
     "greedy_rejections": greedy_rejections,
     "greedy_milestones": greedy_milestones,
     "train_detector": train_detector,
