@@ -7,6 +7,8 @@ collected to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,36 @@ def prefix_until_target(df: DataFrame, seq: str, usable: Column, chunk_rows: int
     return join_groups(tagged, keep, [*group, "chunk"], "left_semi")
 
 
+FIRST_CHUNKS = 8   # chunks of the first step of a progressive read; each step reads as much as all before
+
+
+def progressive_bound(raw: DataFrame, seq: str, rows: Callable[[DataFrame], DataFrame], chunk_rows: int, target: int) -> int | None:
+    """Where reading may stop. Ranges of ``seq`` are read in growing steps
+    until ``rows`` (the usable rows of a range) reach ``target`` or none are
+    left; the range is a filter of the scan, so files and row groups beyond it
+    are not read. What was read at most doubles what was needed. None: no rows."""
+    first = raw.agg(F.min(seq)).first()[0]
+    if first is None:
+        return None
+    at = first // chunk_rows * chunk_rows
+    step, total = FIRST_CHUNKS * chunk_rows, 0
+    while True:
+        total += rows(raw.filter((F.col(seq) >= at) & (F.col(seq) < at + step))).count()
+        at += step
+        if total >= target or raw.filter(F.col(seq) >= at).isEmpty():
+            return at
+        step *= 2
+
+
+def progressive_prefix(raw: DataFrame, seq: str, rows: Callable[[DataFrame], DataFrame], chunk_rows: int, target: int) -> DataFrame:
+    """S5 with an early stop: ``prefix_until_target`` over the part of a stored
+    table, ordered by ``seq``, that has to be read. ``rows`` maps a part of
+    ``raw`` to its usable rows, which keep ``seq``."""
+    bound = progressive_bound(raw, seq, rows, chunk_rows, target)
+    part = raw.filter(F.col(seq) < bound) if bound is not None else raw
+    return prefix_until_target(rows(part), seq, F.lit(True), chunk_rows, target)
+
+
 def oversample_target(n: Column | int, k: Column | int) -> Column:
     """int(n / k * 1.7) + 100."""
     n = n if isinstance(n, Column) else F.lit(n)

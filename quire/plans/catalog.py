@@ -144,17 +144,31 @@ def english_only(spark, sf):
     return d.filter(tx.english("clean_text", "lang")).select("doc_id", "clean_text")
 
 
-def prefix_until_target(spark, sf):
+def _prefix_rows(d):
     # rows with empty cleaned text are never usable and chunks follow doc_id,
     # so they can be dropped before chunking
-    d = tx.keep_nonempty(io.table(spark, sf, "documents").select("doc_id", "lang", "text"), "clean_text",
-                         tx.clean("text")).drop("text")
-    usable = tx.english("clean_text", "lang")
-    kept = smp.prefix_until_target(d, "doc_id", usable, PREFIX_CHUNK_ROWS,
-                                   smp.oversample_target(PREFIX_N, PREFIX_K))
+    d = tx.keep_nonempty(d.select("doc_id", "lang", "text"), "clean_text", tx.clean("text")).drop("text")
+    return d.filter(tx.english("clean_text", "lang"))
+
+
+PREFIX_TARGET = int(PREFIX_N / PREFIX_K * K.OVERSAMPLE_FACTOR) + K.OVERSAMPLE_EXTRA   # O9
+
+
+def prefix_until_target(spark, sf):
+    """The usable prefix of the documents, read in growing steps."""
+    kept = smp.progressive_prefix(io.table(spark, sf, "documents"), "doc_id", _prefix_rows, PREFIX_CHUNK_ROWS, PREFIX_TARGET)
     return kept.select("doc_id", "chunk", "clean_text")
 
 
+def prefix_read(spark, sf):
+    """How much of the documents the prefix had to read."""
+    docs = io.table(spark, sf, "documents")
+    bound = smp.progressive_bound(docs, "doc_id", _prefix_rows, PREFIX_CHUNK_ROWS, PREFIX_TARGET)
+    seen = F.lit(False) if bound is None else F.col("doc_id") < bound
+    return docs.agg(F.count_if(seen).alias("rows_read"), F.count("*").alias("rows_total"),
+                    F.max(F.when(seen, F.col("doc_id"))).alias("last_read"))
+
+
 def union_tagged_sources(spark, sf):
     docs = io.table(spark, sf, "documents").select(
         F.col("source").alias("source_file"), F.length("text").alias("len"))
@@ -345,8 +359,16 @@ def token_window(spark, sf):
                     F.array_join(w, " ").alias("window"))
 
 
+def _pool_rows(d):
+    p = io.posts_of(d).withColumn("doc_id", F.expr(f"key div {io.KEY_STRIDE}"))
+    return p.filter(tx.strip_ws("text") != "")
+
+
 def stress_sample(spark, sf):
-    p = rk.first_wins(io.posts(spark, sf), ["text"], ["key"])
+    """M6: posts are read until the candidate pool is full (S5), then
+    deduplicated, cleaned, filtered, sampled and scored."""
+    p = smp.progressive_prefix(io.table(spark, sf, "documents"), "doc_id", _pool_rows, PREFIX_CHUNK_ROWS, K.CANDIDATE_POOL)
+    p = rk.first_wins(p.drop("doc_id", "chunk"), ["text"], ["key"])
     p = tx.keep_nonempty(p.select("key", "lang", "text"), "clean_text", tx.clean("text")).drop("text")
     p = p.filter(tx.english("clean_text", "lang"))
     s = rk.hash_sample(p, "key", K.SEED, K.SAMPLE_SIZE)
@@ -677,6 +699,7 @@ QUERIES: dict[str, Query] = {
     "row_verdict": row_verdict,
     "english_only": english_only,
     "prefix_until_target": prefix_until_target,
+    "prefix_read": prefix_read,
     "union_tagged_sources": union_tagged_sources,
     "label_mapping": label_mapping,
     "seeded_sample": seeded_sample,

@@ -253,6 +253,15 @@ k AS (SELECT chunk FROM (SELECT chunk, coalesce(sum(n) OVER (ORDER BY chunk ROWS
       WHERE before < CAST(floor({C.PREFIX_N} / {C.PREFIX_K} * {K.OVERSAMPLE_FACTOR}::DOUBLE) + {K.OVERSAMPLE_EXTRA} AS BIGINT))
 SELECT doc_id, chunk, clean_text FROM u WHERE chunk IN (SELECT chunk FROM k)"""
 
+SQL["prefix_read"] = f"""
+WITH d AS (SELECT doc_id, lang, {clean('text')} AS clean_text FROM documents),
+u AS (SELECT doc_id FROM d WHERE length(clean_text) > 0 AND {english('clean_text', 'lang')}),
+b AS (SELECT (SELECT min(doc_id) // {C.PREFIX_CHUNK_ROWS} * {C.PREFIX_CHUNK_ROWS} FROM documents) + {C.smp.FIRST_CHUNKS * C.PREFIX_CHUNK_ROWS} * (2 ** k - 1)::BIGINT AS bound
+      FROM generate_series(1, 40) g(k)),
+e AS (SELECT min(bound) AS bound FROM b
+      WHERE (SELECT count(*) FROM u WHERE doc_id < bound) >= {C.PREFIX_TARGET} OR bound > (SELECT max(doc_id) FROM documents))
+SELECT count(*) FILTER (WHERE doc_id < bound) AS rows_read, count(*) AS rows_total, max(doc_id) FILTER (WHERE doc_id < bound) AS last_read FROM documents, e"""
+
 SQL["union_tagged_sources"] = f"""
 SELECT source_file, count(*) AS n_items, CAST(sum(len) AS BIGINT) AS n_chars,
   CASE WHEN source_file IN ({', '.join(lit(s) for s in C.HOLDOUT_SOURCES)}) THEN 'holdout' ELSE 'train' END AS role
@@ -396,7 +405,10 @@ FROM (SELECT doc_id, {tokens(clean('text'))} AS toks FROM documents)"""
 
 SQL["stress_sample"] = f"""
 WITH {POSTS},
-first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY key) AS rn FROM posts) WHERE rn = 1),
+pool AS (SELECT *, key // {KEY_STRIDE} // {C.PREFIX_CHUNK_ROWS} AS chunk FROM posts WHERE {strip_ws('text')} <> ''),
+n AS (SELECT chunk, coalesce(sum(count(*)) OVER (ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pool GROUP BY chunk),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY key) AS rn FROM pool
+          WHERE chunk IN (SELECT chunk FROM n WHERE before < {K.CANDIDATE_POOL})) WHERE rn = 1),
 c AS (SELECT key, lang, {clean('text')} AS clean_text FROM first),
 s AS (SELECT key, clean_text, row_number() OVER (ORDER BY {md5_order(K.SEED, 'key')}, key) - 1 AS vec_id
       FROM c WHERE length(clean_text) > 0 AND {english('clean_text', 'lang')}

@@ -33,3 +33,24 @@ def test_prefix_until_target_equals_chunked_loop(spark, usable, chunk, target):
     df = spark.createDataFrame([(i, u) for i, u in enumerate(usable)], "seq long, u boolean")
     got = sorted(r.seq for r in smp.prefix_until_target(df, "seq", F.col("u"), chunk, target).collect())
     assert got == _read_until(usable, chunk, target)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.booleans(), min_size=1, max_size=120), st.integers(1, 9), st.integers(1, 60))
+def test_progressive_prefix_equals_chunked_loop(spark, usable, chunk, target):
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(usable)], "seq long, u boolean")
+    got = sorted(r.seq for r in smp.progressive_prefix(df, "seq", lambda d: d.filter("u"), chunk, target).collect())
+    assert got == _read_until(usable, chunk, target)
+
+
+def test_progressive_read_leaves_files_alone(spark, tmpdir_path):
+    df = spark.range(10_000).repartitionByRange(50, "id").withColumn("u", F.lit(True))
+    df.write.parquet(f"{tmpdir_path}/t")
+    raw = spark.read.parquet(f"{tmpdir_path}/t")
+    bound = smp.progressive_bound(raw, "id", lambda d: d, 20, 300)
+    assert 300 <= bound <= 600
+    part = raw.filter(F.col("id") < bound)
+    assert part.select(F.input_file_name()).distinct().count() <= 4
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(id), LessThan(id" in plan
+    assert smp.progressive_prefix(raw.limit(0), "id", lambda d: d, 20, 300).count() == 0
