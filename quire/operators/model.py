@@ -21,10 +21,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions import score as sc
 from quire.functions import text as tx
 
 NUM_FEATURES = 1 << 18
@@ -163,3 +164,30 @@ def score_log_odds(df: DataFrame, model: DataFrame, key: str = "key", text: str
     tokens = df.select(key, F.explode(tx.tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
     sums = tokens.join(model, "token").groupBy(key).agg(F.sum(F.col("n") * F.col("odds")).alias("score"))
     return df.join(sums, key, "left").withColumn("score", F.coalesce("score", F.lit(0)))
+
+
+def save_log_odds(model: DataFrame, path: str) -> None:
+    """M3: write the count-based model."""
+    model.write.mode("overwrite").parquet(path)
+
+
+def load_log_odds(spark: SparkSession, path: str) -> DataFrame:
+    """M4: the count-based model as written."""
+    return spark.read.schema("token string, odds bigint").parquet(path)
+
+
+MOST_LOGIT = 30.0   # beyond, a likelihood is 0 or 1 to every printed digit
+
+
+def detect_text(df: DataFrame, model: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
+    """M2 + M4: ``df`` with ``error`` for blank texts, else ``score``,
+    ``ai_likelihood`` (softmax of 0 and the score as a logit, four digits) and
+    ``ai_label``. Works on a table and on a micro-batch of a stream alike."""
+    rows = df.withColumn(text, tx.strip_ws(F.coalesce(F.col(text), F.lit(""))))
+    blank = F.col(text) == ""
+    scored = score_log_odds(rows, model, key, text)
+    logit = F.greatest(F.least(F.col("score") / ODDS_SCALE, F.lit(MOST_LOGIT)), F.lit(-MOST_LOGIT))
+    probs = F.element_at(sc.softmax(F.array(F.lit(0.0), logit)), 2)
+    scored = scored.withColumn("ai_likelihood", F.when(~blank, F.round(probs, 4)))
+    return (scored.withColumn("ai_label", sc.ai_label("ai_likelihood")).withColumn("score", F.when(~blank, F.col("score")))
+            .withColumn("error", F.when(blank, F.lit("No text provided"))))

@@ -684,6 +684,29 @@ def count_detector(spark, sf):
     return out.select("split", _long("cut").alias("cut"), "tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1")
 
 
+def _saved_detector(spark, sf):
+    """Path of the count-based model, fitted on the train split and written."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/models/odds-{uuid.uuid4().hex}"
+    ml.save_log_odds(ml.token_log_odds(_detector_items(spark, sf).filter("split = 'train'")), path)
+    return path
+
+
+def score_documents(spark, sf):
+    """M2 + M4 + M5: every document's text scored with the saved model."""
+    docs = io.table(spark, sf, "documents").select("doc_id", "text")
+    scored = ml.detect_text(docs, ml.load_log_odds(spark, _saved_detector(spark, sf)), "doc_id")
+    return scored.select("doc_id", "error", "score", "ai_likelihood", "ai_label")
+
+
+def stream_score_text(spark, sf):
+    """R1 + S8 + S11 over M4: a stream of request bodies scored with the saved
+    model, blank texts and broken bodies in folders of their own."""
+    requests = st.document_requests(st.file_stream(spark, f"{sf}/documents*.parquet").select("doc_id", "text"))
+    out, state = st._scratch(spark, "routed")
+    st.run_routed(requests, _saved_detector(spark, sf), "doc_id", out, state)
+    return st.read_routes(spark, out, "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "clean_text": clean_text,
     "dedup_key_first": dedup_key_first,
@@ -738,6 +761,8 @@ QUERIES: dict[str, Query] = {
     "greedy_milestones": greedy_milestones,
     "train_detector": train_detector,
     "count_detector": count_detector,
+    "score_documents": score_documents,
+    "stream_score_text": stream_score_text,
     "stream_score": st.stream_score,
     "stream_dedup": st.stream_dedup,
     "stream_reject_counts": st.stream_reject_counts,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import score as sc
 from quire.functions import text as tx
+from quire.operators import model as ml
 from quire.session import checkpoint_dir
 from quire.sources import io
 
@@ -75,6 +76,62 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("response", "$.ai_detection.ai_likelihood").cast("double").alias("ai_likelihood"))
 
 
+# ---------------------------------------------------------------------------
+# Routed scoring
+# ---------------------------------------------------------------------------
+ROUTES = ("scored", "error", "dead_letter")
+
+
+def routed(requests: DataFrame, model: DataFrame, id_col: str) -> dict[str, DataFrame]:
+    """R1 + S8 + S11: requests (id, value) of one batch by where they go: scored
+    texts, blank texts with the error they are answered with, and bodies that
+    are no JSON with a reason and their first 500 characters."""
+    good = F.try_parse_json("value").isNotNull()
+    bodies = io.requests_from_json(requests.filter(good)).select(id_col, "text")
+    answers = ml.detect_text(bodies, model, id_col)
+    dead = requests.filter(~good | F.col("value").isNull()).select(
+        id_col, F.when(F.col("value").isNull(), F.lit("no_body")).otherwise(F.lit("invalid_json")).alias("reason"), F.substring("value", 1, 500).alias("raw"))
+    return {"scored": answers.filter(F.col("error").isNull()).select(id_col, "score", "ai_likelihood", "ai_label"),
+            "error": answers.filter(F.col("error").isNotNull()).select(id_col, "error"), "dead_letter": dead}
+
+
+def write_routes(routes: dict[str, DataFrame], out: str, batch_id: int) -> None:
+    """One folder per route and batch. A batch that is run again overwrites its
+    own folders, so a replay adds nothing."""
+    for name, rows in routes.items():
+        rows.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+
+
+def run_routed(requests: DataFrame, model_path: str, id_col: str, out: str, state: str) -> None:
+    """Score a stream of requests (id, value) with a saved model; each
+    micro-batch goes to its routes in one ``foreachBatch``. A request id occurs
+    once."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        write_routes(routed(batch, ml.load_log_odds(batch.sparkSession, model_path), id_col), out, batch_id)
+        batch.unpersist()
+
+    requests.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+
+
+def read_routes(spark: SparkSession, out: str, id_col: str) -> DataFrame:
+    """(id, route, reason, score, ai_likelihood, ai_label) of all batches."""
+    none = lambda t: F.lit(None).cast(t)
+    parts = {name: spark.read.parquet(f"{out}/{name}") for name in ROUTES}
+    scored = parts["scored"].select(id_col, F.lit("scored").alias("route"), none("string").alias("reason"), "score", "ai_likelihood", "ai_label")
+    for name, reason in (("error", "error"), ("dead_letter", "reason")):
+        scored = scored.unionByName(parts[name].select(id_col, F.lit(name).alias("route"), F.col(reason).alias("reason"), none("bigint").alias("score"),
+                                                       none("double").alias("ai_likelihood"), none("string").alias("ai_label")))
+    return scored
+
+
+def document_requests(documents: DataFrame) -> DataFrame:
+    """Stand-in requests: one JSON body for each document; of ten ids one body is cut short and one text is blank."""
+    body = F.to_json(F.struct(F.when(F.col("doc_id") % 10 == 7, F.lit(" \n")).otherwise(F.coalesce("text", F.lit(""))).alias("text")))
+    cut = F.expr("substring(value, 1, length(value) div 2)")
+    return documents.select("doc_id", body.alias("value")).withColumn("value", F.when(F.col("doc_id") % 10 == 3, cut).otherwise(F.col("value")))
+
+
 def _stream_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.posts_of(file_stream(spark, f"{sf_dir}/documents*.parquet")).drop("lang")
 
