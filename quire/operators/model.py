@@ -180,14 +180,14 @@ MOST_LOGIT = 30.0   # beyond, a likelihood is 0 or 1 to every printed digit
 
 
 def detect_text(df: DataFrame, model: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
-    """M2 + M4: ``df`` with ``error`` for blank texts, else ``score``,
-    ``ai_likelihood`` (softmax of 0 and the score as a logit, four digits) and
-    ``ai_label``. Works on a table and on a micro-batch of a stream alike."""
+    """M2 + M4: ``df`` with ``score`` (0 for blank texts) and, for blank texts,
+    ``error``, else ``ai_likelihood`` (softmax of 0 and the score as a logit,
+    four digits) and ``ai_label``. Works on a table and on a micro-batch of a stream alike."""
     rows = df.withColumn(text, tx.strip_ws(F.coalesce(F.col(text), F.lit(""))))
     blank = F.col(text) == ""
     scored = score_log_odds(rows, model, key, text)
     logit = F.greatest(F.least(F.col("score") / ODDS_SCALE, F.lit(MOST_LOGIT)), F.lit(-MOST_LOGIT))
     probs = F.element_at(sc.softmax(F.array(F.lit(0.0), logit)), 2)
     scored = scored.withColumn("ai_likelihood", F.when(~blank, F.round(probs, 4)))
-    return (scored.withColumn("ai_label", sc.ai_label("ai_likelihood")).withColumn("score", F.when(~blank, F.col("score")))
+    return (scored.withColumn("ai_label", sc.ai_label("ai_likelihood"))
             .withColumn("error", F.when(blank, F.lit("No text provided"))))

@@ -704,7 +704,7 @@ def stream_score_text(spark, sf):
     requests = st.document_requests(st.file_stream(spark, f"{sf}/documents*.parquet").select("doc_id", "text"))
     out, state = st._scratch(spark, "routed")
     st.run_routed(requests, _saved_detector(spark, sf), "doc_id", out, state)
-    return st.read_routes(spark, out, "doc_id")
+    return st.read_routes(spark, out, "doc_id").drop("score")
 
 
 QUERIES: dict[str, Query] = {

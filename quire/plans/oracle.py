@@ -591,7 +591,7 @@ doc_tok AS (SELECT doc_id, unnest({tokens('text')}) AS token FROM docs),
 doc_score AS (SELECT doc_id, CAST(sum(odds) AS BIGINT) AS total FROM doc_tok JOIN m USING (token) GROUP BY doc_id),
 doc_logit AS (SELECT doc_id, text, coalesce(total, 0) AS score, [0.0::DOUBLE, greatest(least(coalesce(total, 0) / 1000000, 30.0::DOUBLE), -30.0::DOUBLE)] AS l
               FROM docs LEFT JOIN doc_score USING (doc_id)),
-doc_scored AS (SELECT doc_id, CASE WHEN text = '' THEN 'No text provided' END AS error, CASE WHEN text <> '' THEN score END AS score,
+doc_scored AS (SELECT doc_id, CASE WHEN text = '' THEN 'No text provided' END AS error, score,
                       CASE WHEN text <> '' THEN round(({_softmax('l')})[2], 4) END AS ai_likelihood FROM doc_logit)"""
 
 SQL["score_documents"] = _SCORED_DOCS + f"""
@@ -600,7 +600,7 @@ SELECT doc_id, error, score, ai_likelihood, {_ai_label('ai_likelihood')} AS ai_l
 SQL["stream_score_text"] = _SCORED_DOCS + f"""
 SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'dead_letter' WHEN doc_id % 10 = 7 OR error IS NOT NULL THEN 'error' ELSE 'scored' END AS route,
   CASE WHEN doc_id % 10 = 3 THEN 'invalid_json' WHEN doc_id % 10 = 7 THEN 'No text provided' ELSE error END AS reason,
-  CASE WHEN doc_id % 10 NOT IN (3, 7) THEN score END AS score, CASE WHEN doc_id % 10 NOT IN (3, 7) THEN ai_likelihood END AS ai_likelihood,
+  CASE WHEN doc_id % 10 NOT IN (3, 7) THEN ai_likelihood END AS ai_likelihood,
   CASE WHEN doc_id % 10 NOT IN (3, 7) THEN {_ai_label('ai_likelihood')} END AS ai_label
 FROM doc_scored"""
 

@@ -30,6 +30,8 @@ def _norm(v):
         if math.isnan(v):
             return "nan"
         return round(v, 9)
+    if hasattr(v, "tolist") and not hasattr(v, "__len__"):  # a number of numpy
+        return _norm(v.tolist())
     if hasattr(v, "tolist"):
         return tuple(_norm(x) for x in v.tolist())
     if isinstance(v, (list, tuple)):
