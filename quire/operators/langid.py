@@ -6,18 +6,23 @@ Scoring: every trigram of a document contributes the smoothed log-probability
 the language's floor ``ln(1 / (T_lang + V))``. Log-probabilities are stored as
 integers (micro-nats) so the per-document sums are exact in any engine.
 
-The sparse form keeps the join small: a document's score is
-``n_trigrams * floor(lang) + sum over trigrams seen in lang of
-cnt * (logp - floor)``; languages never seen in a document still get their
-floor term through the (small, broadcast) language table.
+A document's score is ``n_trigrams * floor(lang) + sum over its trigrams of
+(logp - floor)``. For scoring the model is packed: one row per trigram with a
+column of gains per language (a bounded label set). It is sent to all tasks
+while its counted rows are few, else joined by a shuffle; with it at hand, the
+trigrams of a document are looked up and summed where they are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut_lineage
+
 SCALE = 1_000_000
+#: Trigrams of a packed model that is sent to all tasks (a number and one per language each).
+BROADCAST_TRIGRAMS = 500_000
 
 
 TRIGRAM_RE = "(?s)(?=(.{3}))"
@@ -62,25 +67,31 @@ def train(labelled: DataFrame, text_col: str, lang_col: str) -> tuple[DataFrame,
                              lang_col)
 
 
+def packed_model(model: DataFrame, langs: DataFrame) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """(g, gain_0, gain_1, ...) and the (language, floor) of each number, by name."""
+    names = [(r.lang, r.floor) for r in langs.orderBy("lang").collect()]  # the label set
+    gains = [F.sum(F.when(F.col("lang").eqNullSafe(F.lit(name)), F.col("logp") - floor).otherwise(0)).alias(f"gain_{i}") for i, (name, floor) in enumerate(names)]
+    return cut_lineage(model.groupBy("g").agg(*gains)) if gains else model.select("g").limit(0), names
+
+
 def predict_from_counts(dg: DataFrame, id_col: str, model: DataFrame, langs: DataFrame) -> DataFrame:
     """(id, predicted, n_trigrams, score) from (id, g, cnt). Ties go to the
-    smaller language name."""
-    n = dg.groupBy(id_col).agg(F.sum("cnt").alias("n_trigrams"))
-    fl = F.broadcast(langs)
-    seen = (dg.select(id_col, "g", "cnt").join(model, "g").join(fl, "lang")
-            .groupBy(id_col, "lang").agg(F.sum(F.col("cnt") * (F.col("logp") - F.col("floor"))).alias("_gain")))
-    base = n.crossJoin(fl)  # documents x languages: a bounded fan-out of the label set
-    scored = base.join(seen, [id_col, "lang"], "left").withColumn(
-        "score", F.col("n_trigrams") * F.col("floor") + F.coalesce(F.col("_gain"), F.lit(0)))
-    w = Window.partitionBy(id_col).orderBy(F.col("score").desc(), F.col("lang"))
-    best = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
-    return best.select(id_col, F.col("lang").alias("predicted"), F.col("n_trigrams").cast("bigint"),
-                       F.col("score").cast("bigint"))
+    smaller language name; without languages there are no rows."""
+    packed, names = packed_model(model, langs)
+    near = F.broadcast(packed) if packed.count() <= BROADCAST_TRIGRAMS else packed
+    sums = [F.coalesce(F.sum(F.col("cnt") * F.col(f"gain_{i}")), F.lit(0)).alias(f"gain_{i}") for i in range(len(names))]
+    docs = dg.select(id_col, "g", "cnt").join(near, "g", "left").groupBy(id_col).agg(F.sum("cnt").cast("bigint").alias("n_trigrams"), *sums)
+    scores = F.array(*[(F.col("n_trigrams") * floor + F.col(f"gain_{i}")).cast("bigint") for i, (_, floor) in enumerate(names)] or [F.lit(0).cast("bigint")])
+    every = F.array(*[F.lit(name) for name, _ in names] or [F.lit("")])
+    out = docs.select(id_col, "n_trigrams", scores.alias("_s"), every.alias("_l")).where(F.lit(bool(names)))
+    best = F.array_max("_s")
+    return out.select(id_col, F.element_at("_l", F.array_position("_s", best).cast("int")).alias("predicted"), "n_trigrams", best.alias("score"))
 
 
 def predict(docs: DataFrame, id_col: str, text_col: str, model: DataFrame, langs: DataFrame) -> DataFrame:
     """Score unlabelled texts (texts shorter than 3 characters get none)."""
-    return predict_from_counts(doc_trigram_counts(docs, id_col, text_col), id_col, model, langs)
+    found = docs.select(id_col, F.explode(trigrams(F.col(text_col))).alias("t")).select(id_col, F.xxhash64("t").alias("g"), F.lit(1).cast("bigint").alias("cnt"))
+    return predict_from_counts(found, id_col, model, langs)
 
 
 def language_filter(model: DataFrame, langs: DataFrame, keep: str = "en", id_col: str = "seq",
@@ -91,8 +102,7 @@ def language_filter(model: DataFrame, langs: DataFrame, keep: str = "en", id_col
 
     def apply(df: DataFrame) -> DataFrame:
         cand = df.filter(F.length(text_col) >= min_chars)
-        dg = doc_trigram_counts(cand.select(id_col, F.lower(F.col(text_col)).alias("_t")), id_col, "_t")
-        hits = predict_from_counts(dg, id_col, model, langs).filter(F.col("predicted") == keep).select(id_col)
+        hits = predict(cand.select(id_col, F.lower(F.col(text_col)).alias("_t")), id_col, "_t", model, langs).filter(F.col("predicted") == keep).select(id_col)
         return cand.join(hits, id_col, "left_semi")
 
     return apply

@@ -364,6 +364,50 @@ def _pool_rows(d):
     return p.filter(tx.strip_ws("text") != "")
 
 
+def shuffled_items(spark, sf):
+    """O5 + S6: labelled items written in a global random order and read back;
+    ``position`` is the order of files and lines."""
+    out = f"{checkpoint_dir(spark).rstrip('/')}/shuffled-{uuid.uuid4().hex}"
+    io.write_shuffled(io.class_items(spark, sf), "key", out)
+    return io.read_in_order(spark, out, "key bigint, text string, label string")
+
+
+def _folder(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def csv_round_trip(spark, sf):
+    """S6 + S1 + S4: labelled items written as one CSV folder per split (here
+    the label) and read back; a folder that does not exist is skipped."""
+    out = _folder(spark, "csv")
+    io.write_splits_csv(io.class_items(spark, sf).withColumn("split", F.col("label")), out)
+    paths = [f"{out}/split={s}" for s in ("ai", "human", "missing")]
+    back = io.read_csv_column(spark, paths, "text", ["text", "label"])
+    return back.select(F.regexp_extract("source_path", "split=([a-z]+)", 1).alias("split"), "text")
+
+
+def json_round_trip(spark, sf):
+    """S7 + S2 + F3: documents as JSON lines and benchmark items as JSON arrays
+    (with an item that is no object in each), written and read back."""
+    lines, arrays = _folder(spark, "lines"), _folder(spark, "arrays")
+    io.write_json_lines(io.table(spark, sf, "documents").select("doc_id", "text"), lines)
+    items = io.table(spark, sf, "benchmark").groupBy(F.expr(f"item_id div {K.BATCH_SIZE}").alias("b")).agg(
+        F.collect_list(F.struct("item_id", "text")).alias("posts"))   # at most BATCH_SIZE items
+    body = F.concat(F.lit("[7,"), F.substring(F.to_json("posts"), 2, 1 << 30))
+    items.select(body.alias("value")).write.option("maxRecordsPerFile", 1).text(arrays)
+    return (io.read_json_items(spark, lines, label="lines", lines=True)
+            .unionByName(io.read_json_items(spark, arrays, label="array")).select("label", "text"))
+
+
+def dead_letters(spark, sf):
+    """Documents taken as response bodies; those that are no JSON are
+    written as dead letters and read back."""
+    out = _folder(spark, "dead")
+    bad = io.table(spark, sf, "documents").filter(F.try_parse_json("text").isNull() & F.col("text").isNotNull())
+    io.write_dead_letters(bad.select("doc_id", F.lit("invalid_json").alias("reason"), F.col("text").alias("raw"), F.lit("main").alias("phase")), out)
+    return spark.read.schema("doc_id bigint, reason string, raw string, phase string").json(out)
+
+
 def stress_sample(spark, sf):
     """M6: posts are read until the candidate pool is full (S5), then
     deduplicated, cleaned, filtered, sampled and scored."""
@@ -519,9 +563,8 @@ def language_id(spark, sf):
 
 def _predicted_language(spark, sf):
     d = io.table(spark, sf, "documents").select("doc_id", "lang", F.lower(tx.clean("text")).alias("t"))
-    dg = li.doc_trigram_counts(d, "doc_id", "t", "lang").persist()  # read by training and scoring
-    model, langs = li.train_from_counts(dg.filter(F.col("doc_id") % 2 == 0), "lang")
-    return li.predict_from_counts(dg, "doc_id", model, langs)
+    model, langs = li.train(d.filter(F.col("doc_id") % 2 == 0), "t", "lang")
+    return li.predict(d, "doc_id", "t", model, langs)
 
 
 def english_detected(spark, sf):
@@ -742,6 +785,10 @@ QUERIES: dict[str, Query] = {
     "binary_metrics": binary_metrics,
     "best_model": best_model,
     "token_window": token_window,
+    "shuffled_items": shuffled_items,
+    "csv_round_trip": csv_round_trip,
+    "json_round_trip": json_round_trip,
+    "dead_letters": dead_letters,
     "stress_sample": stress_sample,
     "quota_targets": quota_targets,
     "quota_gap": quota_gap,

@@ -403,6 +403,22 @@ SELECT doc_id, CAST(least(len(toks), {K.TOKEN_WINDOW}) AS BIGINT) AS n_tokens,
   array_to_string(list_resize(toks[1:{K.TOKEN_WINDOW}], {K.TOKEN_WINDOW}, {lit(K.PAD_TOKEN)}), ' ') AS window
 FROM (SELECT doc_id, {tokens(clean('text'))} AS toks FROM documents)"""
 
+SQL["shuffled_items"] = f"""
+WITH {CLASS_ITEMS}
+SELECT row_number() OVER (ORDER BY {md5_order(K.SEED, 'key')}, key) - 1 AS position, key, text, label FROM class_items"""
+
+SQL["csv_round_trip"] = f"""
+WITH {CLASS_ITEMS}
+SELECT label AS split, {strip_ws('text')} AS text FROM class_items WHERE text NOT IN ({', '.join(lit(t) for t in K.NULL_TOKENS)})"""
+
+SQL["json_round_trip"] = f"""
+SELECT 'lines' AS label, {strip_ws("coalesce(text, '')")} AS text FROM documents
+UNION ALL SELECT 'array', {strip_ws("coalesce(text, '')")} FROM benchmark"""
+
+SQL["dead_letters"] = """
+SELECT doc_id, 'invalid_json' AS reason, substring(text, 1, 500) AS raw, 'main' AS phase FROM documents
+WHERE text IS NOT NULL AND NOT json_valid(text)"""
+
 SQL["stress_sample"] = f"""
 WITH {POSTS},
 pool AS (SELECT *, key // {KEY_STRIDE} // {C.PREFIX_CHUNK_ROWS} AS chunk FROM posts WHERE {strip_ws('text')} <> ''),

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from quire import constants as K
 from quire.functions import text as tx
+from quire.functions.hashing import md5_order
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -150,13 +151,15 @@ def read_json_items(spark: SparkSession, paths: list[str] | str, label: str = "a
 
     A JSON array is one value per file, read by one task; for large inputs
     write JSON lines (one object per line) and pass ``lines=True``, which
-    splits files across tasks."""
+    splits files across tasks; blank lines are skipped, and a line that is no
+    JSON is an error like a malformed file."""
     files = _files(spark, paths, required=True)
     if lines:
         raw = spark.read.text([path for path, _ in files]).select(
             "value", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"),
             F.col("_metadata.file_block_start").alias("_block"))
-        items = _numbered(raw, ["source_path", "_block"]).withColumn("item", F.try_parse_json("value"))
+        items = _numbered(raw, ["source_path", "_block"]).filter(tx.strip_ws("value") != "").withColumn("item", F.coalesce(
+            F.try_parse_json("value"), F.raise_error(F.concat(F.lit("not a JSON line: "), "source_path")).cast("variant")))
     else:
         raw = spark.read.option("wholetext", True).text([path for path, _ in files]).select(
             F.col("value"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"))
@@ -179,6 +182,28 @@ def write_splits_csv(df: DataFrame, out: str) -> None:
      .option("header", True).option("escape", '"').csv(out))
 
 
+def write_shuffled(df: DataFrame, key: str, out: str, seed: int = K.SEED) -> None:
+    """O5 + S6/S7: JSON lines in a global random order (md5 of seed and key):
+    ranges of the order go to files, each file is sorted, and files are named in
+    range order. No task sees more than its range."""
+    rows = df.withColumn("_h", md5_order(seed, key))
+    rows.repartitionByRange("_h", key).sortWithinPartitions("_h", key).drop("_h").write.mode("overwrite").json(out)
+
+
+def read_in_order(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines as ``write_shuffled`` left them, with ``position``: the number
+    of each row over all files, by file and line. Files and splits meet as one
+    row each, so nothing is sorted again."""
+    raw = spark.read.text(path).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("bigint").alias("_file"),
+                                       F.col("_metadata.file_block_start").alias("_block"))
+    rows = _numbered(raw, ["_file", "_block"])
+    files = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = rows.join(files, "_file").select((F.col("_before") + F.col("row")).alias("position"), F.from_json("value", schema).alias("r"))
+    return placed.select("position", "r.*")
+
+
 def write_json_lines(df: DataFrame, out: str) -> None:
     """UTF-8 JSON lines (non-ASCII kept)."""
     df.write.mode("overwrite").json(out)

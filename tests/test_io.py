@@ -67,6 +67,14 @@ def test_json_lines_reader(spark, tmpdir_path):
     assert [r.text for r in df.orderBy("seq").collect()] == ["one", "", "two"]
 
 
+def test_bad_json_line_raises(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "bad.jsonl")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write('{"text": "a"}\n\n{"text": \n')
+    with pytest.raises(Exception, match="not a JSON line"):
+        io.read_json_items(spark, p, lines=True).collect()
+
+
 def test_bad_json_raises(spark, tmpdir_path):
     for name, body in (("broken.json", '[{"text": "a"}'), ("object.json", '{"text": "a"}')):
         p = os.path.join(tmpdir_path, name)
@@ -116,3 +124,15 @@ def test_keys_that_do_not_fit_raise(spark):
     df = spark.createDataFrame([(1, io.KEY_STRIDE)], "id long, pos long")
     with pytest.raises(Exception, match="does not fit"):
         df.select(io.stride_key("id", "pos")).collect()
+
+
+def test_shuffled_files_keep_their_order(spark, tmpdir_path):
+    rows = [(i, f"line {i}\nwith \"quotes\" \u00e9", None if i % 7 == 0 else "x") for i in range(500)]
+    df = spark.createDataFrame(rows, "key long, text string, label string").repartition(4)
+    out = f"{tmpdir_path}/shuffled"
+    io.write_shuffled(df, "key", out)
+    got = sorted(map(tuple, io.read_in_order(spark, out, "key long, text string, label string").collect()))
+    want = df.orderBy(io.md5_order(io.K.SEED, "key"), "key").collect()
+    assert [g[0] for g in got] == list(range(500)) and [g[1:] for g in got] == [tuple(w) for w in want]
+    assert [g[1] for g in got] != sorted(g[1] for g in got)
+    assert io.read_in_order(spark, out, "key long").filter("position < 0").count() == 0
