@@ -56,6 +56,30 @@ def test_brute_force(spark, monkeypatch, seed, chunk):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == brute(docs)
 
 
+def test_texts_that_share_a_passage_leave_first(spark, monkeypatch):
+    """Sets with too many shingles of their own go, linked ones stay, however shared shingles are told."""
+    monkeypatch.setattr(sj, "BATCH_TEXTS", 9)
+    monkeypatch.setattr(sj, "SHARED_SETS", 2)
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(40)]
+    docs = corpus(5, 60)
+    docs += [(100 + i, " ".join([f"o{i}-{k}" for k in range(30)] + passage)) for i in range(40)]  # linked with nothing
+    docs += [(200 + i, " ".join(passage + [rng.choice("xyz") for _ in range(3)])) for i in range(40)]  # near copies
+    docs += [(300, docs[70][1]), (301, docs[3][1])]  # copies in other batches
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = sj.jaccard_components(frame, size=5, percent=80)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == brute(docs, 5, 80)
+    batch = frame.coalesce(1).selectExpr("doc_id", "text")
+    packed = batch.mapInArrow(sj._counted(5, 80, 3), "bucket long, keys binary, sets binary, times binary")
+    assert packed.where("keys is null").count() > 0 and packed.where("keys is not null").count() > 0
+
+
+def test_single_ties_keep_what_hangs_together(spark):
+    ties = spark.createDataFrame([(1, 9), (2, 9), (1, 5), (2, 7), (3, 8), (1, 9)], "a long, b long")
+    got = sorted(tuple(r) for r in sj.single_ties(ties).collect())
+    assert got == [(1, 2), (1, 5), (1, 9), (2, 7), (3, 8)]
+
+
 def test_keys_lose_no_link():
     """Any two linked sets share a key, at the smallest overlap that links and at every size."""
     import numpy as np
