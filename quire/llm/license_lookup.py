@@ -5,7 +5,10 @@ everything but letters and digits into single spaces and rewrites equivalent
 spellings. Its SHA-256 is joined with the digests of known licences: entire
 texts with known texts, and entire lines with known one-line notices. The
 known digests are a fixed list of a few dozen rows, so they go to every task
-and no text is shuffled. It is all SQL functions.
+and no text is shuffled. It is all SQL functions. Long licences are known by
+the digests of their published texts, whole, and up to the end of their terms.
+Comment marks before lines are punctuation and vanish; copyright lines go with
+their comment marks, with or without a year.
 
 Defined results: a null or empty text has the digest of the empty string and
 no licence; a null id stays null; repeated rows each give a row; an empty table
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import doc_text
-from quire.llm.license_texts import NOTICES, TEXTS
+from quire.llm.license_texts import DIGESTS, NOTICES, TEXTS
 
 #: Spellings taken as one, in the order in which they are rewritten.
 SPELLINGS = [
@@ -33,7 +36,15 @@ SPELLINGS = [
     (r"\bv(\d)", "version $1"),
     (r"\bcreative commons\b", "cc"),
 ]
-COPYRIGHT_LINE = r"(?mi)^[ \t]*(?:copyright\b[ \t]*(?:\(c\)|©|[12][0-9]{3})|\(c\)[ \t]*[12][0-9]{3}|©|all rights reserved).*$"
+#: What may stand before a copyright line: indents and comment marks.
+_LEAD = r"[ \t]*(?:(?:rem|dnl)[ \t]+|[#*/;%!<>|.-]+[ \t]*)?"
+#: Whole lines that state a copyright: with a sign, a year or a place for one; of "the ... authors" and the like; of a firm; and what follows such lines.
+COPYRIGHT_LINE = (
+    rf"(?mi)^{_LEAD}(?:(?:portions[ \t]+)?copyright\b[ \t:]*(?:\(c\)|©|[12][0-9]{{3}}|[\[{{<]y)"
+    r"|copyright[ \t]+(?:by[ \t]+)?the[ \t][^\n]*\b(?:authors|contributors|developers|maintainers|project|team|foundation)[ \t.,]*$"
+    r"|(?-i:Copyright|COPYRIGHT)[ \t]+(?-i:[A-Z])[^\n]*\b(?:inc|llc|ltd|gmbh|corp|corporation|foundation|authors)[ \t.,]*$"
+    r"|\(c\)[ \t]*[12][0-9]{3}|©|spdx-filecopyrighttext:|all rights reserved).*$"
+)
 #: Every notice holds one of these, so other lines need no digest.
 MARKERS = ("licen", "spdx")
 
@@ -63,7 +74,8 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # a notice's lookup stays in its row: the known notices are a constant
     named = F.transform(F.filter(F.split("text", "\n", -1), marked), lambda line: F.try_element_at(by_digest, F.sha2(canonical(line), 256)))
     found = rows.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.filter(named, lambda x: x.isNotNull()).alias("named"))
-    joined = found.join(F.broadcast(known(spark, TEXTS)), "digest", "left")
+    texts = known(spark, TEXTS).unionByName(spark.createDataFrame(DIGESTS, "license string, digest string"))
+    joined = found.join(F.broadcast(texts), "digest", "left")
     return joined.select("doc_id", "digest", "license", F.array_sort(F.array_distinct("named")).alias("notices"), F.size("named").cast("long").alias("n_notices"))
 
 
@@ -80,7 +92,8 @@ def _values(rows: list[tuple[str, str]]) -> str:
 
 
 ORACLE = f"""
-WITH known AS (SELECT DISTINCT sha256({_sql_canonical("t")}) AS digest, license FROM (VALUES {_values(TEXTS)}) AS k(license, t)),
+WITH known AS (SELECT DISTINCT sha256({_sql_canonical("t")}) AS digest, license FROM (VALUES {_values(TEXTS)}) AS k(license, t)
+  UNION ALL SELECT digest, license FROM (VALUES {_values(DIGESTS)}) AS k(license, digest)),
 notice AS (SELECT DISTINCT sha256({_sql_canonical("t")}) AS digest, license FROM (VALUES {_values(NOTICES)}) AS k(license, t)),
 d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d),

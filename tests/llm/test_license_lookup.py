@@ -1,7 +1,10 @@
 """Licence texts and notices in their many spellings."""
 
+import os
 import re
 
+import pytest
+
 from quire.llm import license_lookup as ll
 from quire.llm.license_texts import NOTICES, TEXTS
 
@@ -30,3 +33,30 @@ def test_edge_rows(spark):
     got = sorted(((r.doc_id, r.license, r.n_notices) for r in ll.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
     assert got == sorted([(1, None, 0), (2, None, 0), (None, "MIT", 0), (4, "MIT", 0), (4, "MIT", 0), (5, None, 0)], key=repr)
     assert ll.licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+FOLDER = "/usr/share/common-licenses"
+#: Names of the files there.
+FILES = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no folder of licence texts")
+def test_published_texts(spark):
+    rows, want = [], []
+    for file, name in FILES.items():
+        text = open(f"{FOLDER}/{file}").read()
+        commented = "# Copyright (c) 2020 X\n" + "".join(f"# {line}\n" for line in text.split("\n"))
+        for changed, found in ((text, name), (commented, name), (text.upper(), name), (text.replace(" any ", " some "), None)):
+            rows.append((len(rows), changed))
+            want.append(found)
+    got = {r.doc_id: r.license for r in ll.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(want))] == want
+
+
+def test_copyright_lines(spark):
+    name, text = TEXTS[0]
+    dropped = ["Copyright (c) 2020 X", "# Copyright (c) 2020 X", " * Copyright 2019 Y", "// Copyright The X Authors", "Copyright the Foo project contributors.", "Copyright Some Body Inc.", "REM Copyright 2001 Z", "; (c) 2004 W", "Copyright [yyyy] [name of copyright owner]", "SPDX-FileCopyrightText: 2020 X", "Portions Copyright 1999 V", "/* Copyright © V", "All rights reserved."]
+    held = ["copyright holders and contributors", "copyright notice and this permission notice", "COPYRIGHT HOLDERS BE LIABLE", "the copyright of the authors"]
+    rows = [(i, f"{line}\n\n{text}") for i, line in enumerate([*dropped, *held])]
+    got = {r.doc_id: r.license for r in ll.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [name] * len(dropped) + [None] * len(held)
