@@ -15,6 +15,7 @@ from quire.functions import score as sc
 from quire.functions import text as tx
 from quire.functions.hashing import md5_int, md5_order
 from quire.functions import parse as ps
+from quire.operators import epochs as ep
 from quire.operators import greedy as gr
 from quire.operators import incremental as inc
 from quire.operators import langid as li
@@ -697,6 +698,18 @@ def train_detector(spark, sf):
     return val.unionByName(test).unionByName(hold_m)
 
 
+def train_epochs(spark, sf):
+    """M3 + M4 + M7 by epochs: validation metrics after each, the weights of
+    the best one restored, saved, and judged on test and the external holdout."""
+    items = cut_lineage(_detector_items(spark, sf))
+    weights, val = ep.fit_epochs(items.filter("split = 'train'"), items.filter("split = 'val'"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/models/epochs-{uuid.uuid4().hex}"
+    ep.save_weights(spark, weights, path)
+    scored = ml.predictions(ep.linear_scorer(ep.load_weights(spark, path))(items.filter("split IN ('test', 'holdout')")))
+    final = ml.binary_metrics(scored, group=["split"]).withColumn("epoch", F.lit(None).cast("int")).withColumn("restored", F.lit(True))
+    return val.withColumn("split", F.lit("val")).unionByName(final)
+
+
 def _detector_items(spark, sf):
     """Labelled turns with their split; the holdout conversations never enter
     the dataset build (D6)."""
@@ -807,6 +820,7 @@ QUERIES: dict[str, Query] = {
     "greedy_rejections": greedy_rejections,
     "greedy_milestones": greedy_milestones,
     "train_detector": train_detector,
+    "train_epochs": train_epochs,
     "count_detector": count_detector,
     "score_documents": score_documents,
     "stream_score_text": stream_score_text,
