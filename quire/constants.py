@@ -24,7 +24,6 @@ VAL_FRAC = 0.10
 TEST_FRAC = 0.10
 CHUNK_ROWS = 5000            # reader chunk of the reference (S5)
 SAMPLE_SIZE = 25             # stress sample (M6)
-CANDIDATE_POOL = 500         # rows read before the stress sample is drawn (M6)
 OVERSAMPLE_FACTOR = 1.7      # O9: int(n / k * 1.7) + 100
 OVERSAMPLE_EXTRA = 100
 MAX_QUESTION_RATE = 0.18     # Q3

@@ -1,13 +1,17 @@
 """Streaming equals batch on the same rows; the two-pass prefix reader
 equals reading chunk by chunk until the target is reached."""
 
+import hashlib
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from quire import constants as K
 from quire.operators import sampling as smp
 from quire.plans.catalog import QUERIES
+from quire.sources.io import KEY_STRIDE
 
 
 def test_stream_score_equals_batch(spark):
@@ -54,3 +58,13 @@ def test_progressive_read_leaves_files_alone(spark, tmpdir_path):
     plan = part._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(id), LessThan(id" in plan
     assert smp.progressive_prefix(raw.limit(0), "id", lambda d: d, 20, 300).count() == 0
+
+
+def test_stress_sample_draws_from_all_posts(spark, tmpdir_path):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the post is number "), F.col("id")).alias("text"),
+                                    F.lit("en").alias("lang"), F.lit("web").alias("source"))
+    docs.write.parquet(f"{tmpdir_path}/documents.parquet")
+    spark.range(25).select(F.col("id").alias("vec_id"), F.array(*[F.lit(0.5).cast("float")] * 3).alias("embedding")).write.parquet(f"{tmpdir_path}/embeddings.parquet")
+    got = {r.key for r in QUERIES["stress_sample"](spark, tmpdir_path).collect()}
+    order = sorted((hashlib.md5(f"{K.SEED}:{i * KEY_STRIDE}".encode()).hexdigest(), i * KEY_STRIDE) for i in range(2000))
+    assert got == {key for _, key in order[:25]} and max(got) > 1000 * KEY_STRIDE
