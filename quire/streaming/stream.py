@@ -26,11 +26,16 @@ def _scratch(spark: SparkSession, name: str) -> tuple[str, str]:
     return base + "/out", base + "/state"
 
 
-def file_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+BATCH_BYTES = 1 << 30  # most bytes of files in a micro-batch (a larger file is a batch of its own)
+
+
+def file_stream(spark: SparkSession, path: str, max_files: int = 1, max_bytes: int | None = None) -> DataFrame:
     """Parquet files arriving under ``path`` (a folder or a glob); the schema
-    is taken from the files present (explicit, no inference at run time)."""
+    is taken from the files present (explicit, no inference at run time). With
+    ``max_bytes`` micro-batches are cut by bytes, whatever the number of files."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    limit = ("maxBytesPerTrigger", max_bytes) if max_bytes else ("maxFilesPerTrigger", max_files)
+    return spark.readStream.schema(schema).option(*limit).parquet(path)
 
 
 def score_requests(requests: DataFrame, logits: DataFrame, id_col: str) -> DataFrame:
@@ -93,9 +98,24 @@ def upsert(changed: DataFrame, out: str, batch_id: int, keys: list[str]) -> None
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+COUNTER_PARTITIONS = 4  # counters are few rows, whatever the stream's volume
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """Streams started inside have ``name`` set to ``value``."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def run_upserts(counts: DataFrame, name: str, keys: list[str]) -> str:
     """Run a streaming aggregate in update mode: each micro-batch sends only the
-    counters it changed. Returns the folder of versions."""
+    counters it changed. Every task reports to the driver, so the counters, summed
+    before they are shuffled, are kept in few partitions. Returns the folder of versions."""
     out, state = _scratch(counts.sparkSession, name)
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -103,12 +123,13 @@ def run_upserts(counts: DataFrame, name: str, keys: list[str]) -> str:
         upsert(batch, out, batch_id, keys)
         batch.unpersist()
 
-    counts.writeStream.option("checkpointLocation", state).trigger(availableNow=True).outputMode("update").foreachBatch(each).start().awaitTermination()
+    with setting(counts.sparkSession, "spark.sql.shuffle.partitions", str(COUNTER_PARTITIONS)):
+        counts.writeStream.option("checkpointLocation", state).trigger(availableNow=True).outputMode("update").foreachBatch(each).start().awaitTermination()
     return out
 
 
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = file_stream(spark, f"{sf_dir}/conversations*.parquet")
+    conv = file_stream(spark, f"{sf_dir}/conversations*.parquet", max_bytes=BATCH_BYTES)
     req = conv.select("conv_id", "turn", F.to_json(F.struct("text")).alias("value"))
     logits = io.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("conv_id"), "embedding")
     scored = score_requests(req, logits, "conv_id").select("conv_id", "turn", "response")
@@ -134,11 +155,12 @@ def routed(requests: DataFrame, model: DataFrame, id_col: str) -> dict[str, Data
     are no JSON with a reason and their first 500 characters."""
     good = F.try_parse_json("value").isNotNull()
     bodies = io.requests_from_json(requests.filter(good)).select(id_col, "text")
-    answers = ml.detect_text(bodies, model, id_col)
+    bodies = bodies.withColumn("text", tx.strip_ws(F.coalesce("text", F.lit(""))))
+    answers = ml.detect_text(bodies.filter(F.col("text") != ""), model, id_col)
+    blank = bodies.filter(F.col("text") == "").select(id_col, F.lit(ml.BLANK).alias("error"))
     dead = requests.filter(~good | F.col("value").isNull()).select(
         id_col, F.when(F.col("value").isNull(), F.lit("no_body")).otherwise(F.lit("invalid_json")).alias("reason"), F.substring("value", 1, 500).alias("raw"))
-    return {"scored": answers.filter(F.col("error").isNull()).select(id_col, "score", "ai_likelihood", "ai_label"),
-            "error": answers.filter(F.col("error").isNotNull()).select(id_col, "error"), "dead_letter": dead}
+    return {"scored": answers.select(id_col, "score", "ai_likelihood", "ai_label"), "error": blank, "dead_letter": dead}
 
 
 def write_routes(routes: dict[str, DataFrame], out: str, batch_id: int) -> None:
@@ -179,7 +201,7 @@ def document_requests(documents: DataFrame) -> DataFrame:
 
 
 def _stream_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return io.posts_of(file_stream(spark, f"{sf_dir}/documents*.parquet")).drop("lang")
+    return io.posts_of(file_stream(spark, f"{sf_dir}/documents*.parquet", max_bytes=BATCH_BYTES)).drop("lang")
 
 
 DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -197,16 +219,9 @@ def first_seen(posts: DataFrame, text: str = "text", event_time: str | None = No
     return rows.dropDuplicates(["fingerprint"]).drop("fingerprint")
 
 
-@contextmanager
 def state_on_disk(spark: SparkSession):
     """Streams started inside keep their state in a store on disk, not on the heap."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, DISK_STATE)
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return setting(spark, "spark.sql.streaming.stateStore.providerClass", DISK_STATE)
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
