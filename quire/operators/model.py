@@ -160,9 +160,10 @@ def token_log_odds(train: DataFrame, text: str = "text", label: str = "label_id"
 
 def score_log_odds(df: DataFrame, model: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
     """``df`` with ``score``: the sum of its tokens' odds, unknown tokens 0.
-    Equal tokens of a text are counted before they meet the model."""
-    tokens = df.select(key, F.explode(tx.tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    sums = tokens.join(model, "token").groupBy(key).agg(F.sum(F.col("n") * F.col("odds")).alias("score"))
+    Tokens meet the model where the texts are read; a model too large to be
+    sent there is joined by token."""
+    tokens = df.select(key, F.explode(tx.tokens(F.col(text))).alias("token"))
+    sums = tokens.join(model, "token").groupBy(key).agg(F.sum("odds").alias("score"))
     return df.join(sums, key, "left").withColumn("score", F.coalesce("score", F.lit(0)))
 
 
@@ -176,6 +177,7 @@ def load_log_odds(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("token string, odds bigint").parquet(path)
 
 
+BLANK = "No text provided"   # the error of a blank text
 MOST_LOGIT = 30.0   # beyond, a likelihood is 0 or 1 to every printed digit
 
 
@@ -190,4 +192,4 @@ def detect_text(df: DataFrame, model: DataFrame, key: str = "key", text: str = "
     probs = F.element_at(sc.softmax(F.array(F.lit(0.0), logit)), 2)
     scored = scored.withColumn("ai_likelihood", F.when(~blank, F.round(probs, 4)))
     return (scored.withColumn("ai_label", sc.ai_label("ai_likelihood"))
-            .withColumn("error", F.when(blank, F.lit("No text provided"))))
+            .withColumn("error", F.when(blank, F.lit(BLANK))))
