@@ -148,8 +148,9 @@ def accept_batch(cands: DataFrame, path: str, batch: str, key: str = "key", buck
         old = _read(spark, path, earlier, "accepted", _ACCEPTED)
         near = near_accepted(firsts, chars, old, _read(spark, path, earlier, "chars", segments.PACKED), _read(spark, path, earlier, "words", _WORDS))
         blocked = firsts.join(near, "key", "left_semi").select("nk", F.lit(True).alias("_near"))
-        cands = cands.join(blocked, "nk", "left").withColumn(
-            "verdict", F.when((F.col("verdict") == "ok") & F.col("_near"), F.lit("near_duplicate")).otherwise(F.col("verdict"))).drop("_near")
+        near_too = valid.join(blocked, "nk", "left").withColumn(
+            "verdict", F.when(F.col("_near"), F.lit("near_duplicate")).otherwise(F.col("verdict"))).drop("_near")
+        cands = near_too.unionByName(cands.filter(~F.col("verdict").eqNullSafe("ok")))
         so_far = _read(spark, path, earlier, "counts", _COUNTS).groupBy("rule", "g").agg(F.sum("n").alias("n"))
     else:
         so_far = spark.createDataFrame([], _COUNTS)
