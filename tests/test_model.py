@@ -23,3 +23,12 @@ def test_pandas_scorer_and_metrics(spark):
     assert m.precision == 0.5 and m.recall == 1.0 and m.accuracy == 0.75
     none = ml.binary_metrics(scored.withColumn("pred", F.lit(0))).first()
     assert none.precision == 0.0 and none.f1 == 0.0
+
+
+def test_tokens_meet_a_small_model_without_a_shuffle(spark):
+    model = spark.createDataFrame([("a", 3), ("b", -1)], "token string, odds long")
+    df = spark.createDataFrame([(1, "a a b"), (2, "c"), (3, "")], "key long, text string")
+    scored = ml.score_log_odds(df, F.broadcast(model))
+    assert {r.key: r.score for r in scored.collect()} == {1: 5, 2: 0, 3: 0}
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "token" in line]
