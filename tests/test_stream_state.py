@@ -85,7 +85,7 @@ def test_batches_by_bytes_and_few_counter_partitions(spark, tmpdir_path):
     counts = st.file_stream(spark, src, max_bytes=st.BATCH_BYTES).groupBy("text").agg(F.count("*").alias("n"))
     out = st.run_upserts(counts, "t", ["text"])
     assert st.versions(spark, out) == [0]  # three files, one batch
-    state = os.path.join(os.path.dirname(out), "state", "state", "0")
+    state = os.path.join(os.path.dirname(out.removeprefix("file:")), "state", "state", "0")
     assert len([d for d in os.listdir(state) if d.isdigit()]) == st.COUNTER_PARTITIONS
     assert sorted(map(tuple, st.read_version(spark, out).collect())) == [("a", 2), ("b", 1), ("c", 1)]
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
