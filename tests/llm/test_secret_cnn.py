@@ -1,5 +1,6 @@
 """Base findings against a plain reading, the network's recall on findings it has not seen, and redaction."""
 
+import hashlib
 import re
 
 import numpy as np
@@ -190,3 +191,37 @@ def test_sample_does_not_depend_on_the_layout(spark):
     docs = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(sc.written(4, 300))], "doc_id long, text string")
     one, two = (sc.trained(d, sample_docs=100) for d in (docs.coalesce(1), docs.repartition(7)))
     assert one.threshold == two.threshold and all((one.weights[k] == two.weights[k]).all() for k in one.weights)
+
+
+def test_every_finding_trains_in_any_number_of_shards(spark, monkeypatch):
+    """Each distinct finding of the texts is in one shard, trained on or held out; formats are still known after many shards."""
+    monkeypatch.setattr(sc, "SHARD", 150)
+    monkeypatch.setattr(sc, "WRITTEN", 1000)
+    docs = spark.createDataFrame([(k, f"{t} token=abcdefghijk{k:06d}") for k, (t, *_) in enumerate(sc.written(6, 300))], "doc_id long, text string")
+    seen = []
+    real = sc.Network.calibrate
+
+    def calibrate(network, codes, truth, recall, formats=None, counted=None):
+        seen.append(counted)
+        real(network, codes, truth, recall, formats, counted)
+
+    monkeypatch.setattr(sc.Network, "calibrate", calibrate)
+    one, two = (sc.trained(d) for d in (docs.coalesce(1), docs.repartition(7)))
+    found = docs.selectExpr("text").mapInArrow(sc._labelled, "window binary, truth long").distinct().collect()
+    assert len(found) > 4 * 150 and sum(r.truth for r in found) >= 600
+    held = [r for r in found if hashlib.md5(r.window).digest()[0] % 4 == 0]
+    assert seen[0][2].sum() == len(held) and (seen[0][1] * seen[0][2]).sum() == sum(r.truth for r in held)
+    assert one.threshold == two.threshold and all((one.weights[k] == two.weights[k]).all() for k in one.weights)
+    rows = sc.written(777, 1500)
+    scores, truth = one.scores(sc.coded([sc.windows(t, a, b)[0] for t, a, b, _ in rows])), np.array([t for *_, t in rows])
+    assert (scores[truth == 1] >= one.threshold).mean() >= 0.95 and (scores[truth == 0] >= one.threshold).mean() <= 0.15  # few written findings
+
+
+def test_counted_outputs_are_as_good_as_the_findings():
+    rows = sc.with_formats(3, 400)
+    codes, truth = sc.coded([sc.windows(t, a, b)[0] for t, a, b, *_ in rows]), np.array([t for *_, t, _ in rows], np.float32)
+    one, two = sc.Network.fresh(2), sc.Network.fresh(2)
+    one.calibrate(codes, truth, 0.9, np.full(len(codes), -1))
+    step, n = np.unique(np.stack([truth, one.logits(codes)], 1)[200:], axis=0, return_counts=True)
+    two.calibrate(codes[:200], truth[:200], 0.9, np.full(200, -1), (step[:, 1], step[:, 0], n.astype(float)))
+    assert two.scale == pytest.approx(one.scale) and two.threshold == pytest.approx(one.threshold)
