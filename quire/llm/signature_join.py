@@ -15,7 +15,9 @@ document, not pairs.
    percent shingles differ, s being the smaller size. Cut the hash space into
    d + 1 ranges: some range holds the same shingles in both sets. Sizes fall
    into classes so that a link joins a class and itself or the next, and each
-   set gives one key per range for both. Keys travel in packed arrays, one per
+   set gives one key per range for both. Sets of a batch that hang together by keys
+   are tied there, one tie a set, and send each key once, as their smallest
+   set's. Keys travel in packed arrays, one per
    bucket and batch; sets that share a key are candidates, and a task ties each
    to the smallest it hangs together with, so no key gives pairs; what several
    tasks say of one set is brought to one tie.
@@ -225,9 +227,30 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(sets), pa.array(total)], ["one", "shared"])
 
 
+def _hang_together(root: dict[int, int], keys: np.ndarray, sets: np.ndarray) -> None:
+    """Adds what keys tie to `root`: each set beside the smallest it hangs together with."""
+    order = np.lexsort((sets, keys))
+    keys, sets = keys[order], sets[order]
+    same = np.append(False, keys[1:] == keys[:-1])
+    start = np.maximum.accumulate(np.where(same, 0, np.arange(len(keys))))
+    pairs = np.stack([sets[start], sets], 1)[same & (sets[start] != sets)]
+    for a, b in np.unique(pairs, axis=0).tolist() if len(pairs) else ():
+        while a in root:
+            a = root[a]
+        while b in root:
+            b = root[b]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    for a in root:
+        while root[a] in root:
+            root[a] = root[root[a]]
+
+
 def _keys(size: int, percent: int, buckets: int, seed: int = 0):
-    """One packed row for each batch and bucket: keys, the place of each key's
-    set in a list, and the list. Input: id, text, and the block that keys hold for."""
+    """One packed row for each batch and bucket: distinct keys, the place of each key's
+    set in a list, and the list; without `keys`, ties of the batch: larger sets, and
+    the smallest that each hangs together with as `places`. Sets of a batch that hang together send
+    their keys as the smallest one's. Input: id, text, and the block that keys hold for."""
 
     def run(batches):
         classes = size_classes(percent, 1 << 16)
@@ -246,8 +269,15 @@ def _keys(size: int, percent: int, buckets: int, seed: int = 0):
                 if not made:
                     continue
                 keys = np.concatenate(list(made.values()))
-                owner = np.repeat(np.arange(len(made), dtype=np.uint16), [len(k) for k in made.values()])
-                ones = np.fromiter(made, np.int64, len(made))
+                sets = np.repeat(np.fromiter(made, np.int64, len(made)), [len(k) for k in made.values()])
+                root: dict[int, int] = {}
+                _hang_together(root, keys, sets)
+                if root:
+                    smaller, larger = _told(root)
+                    row = (int(larger[0]) % buckets, None, smaller.tobytes(), larger.tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "places", "sets"])
+                keys, one = np.unique(keys, return_index=True)
+                ones, owner = np.unique(np.array([root.get(x, x) for x in sets[one].tolist()]), return_inverse=True)
                 bucket = (keys >> np.uint64(40)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 keys, owner, bucket = keys[order], owner[order], bucket[order]
@@ -261,32 +291,29 @@ def _keys(size: int, percent: int, buckets: int, seed: int = 0):
     return run
 
 
+def _told(root: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(root.values(), np.int64, len(root)), np.fromiter(root, np.int64, len(root))
+
+
+def _tied(smaller: np.ndarray, larger: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(smaller), pa.array(larger)], ["a", "b"])
+
+
 def _ties(batches):
-    """(smaller, larger) for the sets of a task that share a key or hang together by its keys."""
+    """(smaller, larger) for the sets of a task that share a key or hang together by its keys, and the ties of batches."""
     held, current = [], None
     root: dict[int, int] = {}
 
     def tie():
         keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _, _ in held])
         sets = np.concatenate([np.frombuffer(s, np.int64)[np.frombuffer(p, np.uint16)] for _, p, s in held])
-        order = np.lexsort((sets, keys))
-        keys, sets = keys[order], sets[order]
-        same = np.append(False, keys[1:] == keys[:-1])
-        start = np.maximum.accumulate(np.where(same, 0, np.arange(len(keys))))
-        pairs = np.stack([sets[start], sets], 1)[same & (sets[start] != sets)]
-        for a, b in np.unique(pairs, axis=0).tolist() if len(pairs) else ():
-            while a in root:
-                a = root[a]
-            while b in root:
-                b = root[b]
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        for a in root:  # each set with the smallest it hangs together with
-            while root[a] in root:
-                root[a] = root[root[a]]
+        _hang_together(root, keys, sets)
 
     for batch in batches:
         for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] is None:
+                yield _tied(np.frombuffer(row[1], np.int64), np.frombuffer(row[2], np.int64))
+                continue
             if held and bucket != current:
                 tie()
                 held.clear()
@@ -295,7 +322,7 @@ def _ties(batches):
     if held:
         tie()
     if root:
-        yield pa.RecordBatch.from_arrays([pa.array(list(root.values()), pa.int64()), pa.array(list(root), pa.int64())], ["a", "b"])
+        yield _tied(*_told(root))
 
 
 def single_ties(ties: DataFrame) -> DataFrame:

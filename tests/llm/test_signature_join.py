@@ -80,6 +80,32 @@ def test_single_ties_keep_what_hangs_together(spark):
     assert got == [(1, 2), (1, 5), (1, 9), (2, 7), (3, 8)]
 
 
+def test_near_copies_of_a_batch_send_each_key_once(spark):
+    """A large group is tied in its batches: tasks get one set of it from each, and every set still hangs together."""
+    import numpy as np
+
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(120)]
+    group = [" ".join(base[:j] + [f"x{i}"] + base[j + 1 :]) for i in range(400) for j in [rng.randrange(120)]]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(group)], "doc_id long, text string, block long").repartition(4)
+    packed = docs.mapInArrow(sj._keys(5, 80, 32), "bucket long, keys binary, places binary, sets binary")
+    rows = packed.where("keys is not null").collect()
+    keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
+    assert np.unique(keys, return_counts=True)[1].max() <= 4  # once from each batch
+    assert len({x for r in rows for x in np.frombuffer(r["sets"], np.int64)}) < 40
+    ties = packed.repartition(32, "bucket").sortWithinPartitions("bucket").mapInArrow(sj._ties, "a long, b long").collect()
+    assert len(ties) < 2 * len(group)
+    root = {}
+    for a, b in ties:
+        while a in root:
+            a = root[a]
+        while b in root:
+            b = root[b]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    assert len(root) == len(group) - 1
+
+
 def test_keys_lose_no_link():
     """Any two linked sets share a key, at the smallest overlap that links and at every size."""
     import numpy as np
