@@ -12,8 +12,8 @@ The index is a folder with one sub-folder per batch; a batch counts once its
 ``counts`` are written, which is its last step, so a batch that is run again
 after a failure starts anew and one that is done is not added twice.
 
-* ``accepted``: key, normalized text and word set of the accepted rows;
-* ``chars``: their packed segment and place keys (``operators.segments``);
+* ``accepted``: key, normalized text and word set of the accepted rows, whose
+  texts new ones meet in blocks of lengths (``operators.segments``);
 * ``words``: the words of their sets' prefixes under a fixed order (long words
   first, which are rarer, then by hash), so an old prefix stays right;
 * ``counts``: accepted rows per rule and group.
@@ -24,7 +24,6 @@ size and one read of the index.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +32,6 @@ from quire.operators import segments
 from quire.operators import similarity as sim
 from quire.session import cut_lineage
 
-#: Buckets of the packed keys. All batches of an index use the same number.
-BUCKETS = 256
-
 _ACCEPTED = "key bigint, nk string, wk string"
 _WORDS = "key bigint, s int, w string, r int, c bigint"
 _COUNTS = "rule string, g string, n bigint"
@@ -83,47 +79,19 @@ def _word_pairs(new: DataFrame, old: DataFrame) -> DataFrame:
     return met.select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct()
 
 
-def _met(batches_):
-    """(a, b, i, h) between packed rows that are new and packed rows that are not."""
-    held: dict[tuple[bool, int], list] = {}
-    current = None
-
-    def found():
-        for fresh in (True, False):
-            longer, places = held.get((fresh, 0)), held.get((not fresh, 1))
-            if longer and places:
-                for met in segments.bucket_pairs(longer, places):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in met.T.copy()], ["a", "b", "i", "h"])
-
-    for batch in batches_:
-        for bucket, side, *row, fresh in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket != current:
-                yield from found()
-                held, current = {}, bucket
-            held.setdefault((fresh, side), []).append(row)
-    yield from found()
-
-
-def _char_pairs(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Distinct (x, y): keys of packed new and accepted rows that may reach the ratio, either way round."""
-    both = new.withColumn("fresh", F.lit(True)).unionByName(old.withColumn("fresh", F.lit(False)))
-    dealt = both.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket")
-    met = dealt.mapInArrow(_met, "a long, b long, i long, h long")
-    enough = met.groupBy("a", "b").agg(F.count_distinct("i").alias("n"), F.first("h").alias("h")).where("n >= h")
-    return enough.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.x", "e.y")
-
-
-def near_accepted(new: DataFrame, chars: DataFrame, accepted: DataFrame, old_chars: DataFrame, old_words: DataFrame) -> DataFrame:
+def near_accepted(new: DataFrame, accepted: DataFrame, old_words: DataFrame) -> DataFrame:
     """Keys of the rows (key, nk, wk) of ``new`` that are near duplicates of an
-    accepted row. ``chars`` are the packed keys of ``new``."""
+    accepted row."""
     same_text = new.join(accepted.select("nk"), "nk", "left_semi").select("key")
     same_words = new.filter(F.col("wk") != "").join(accepted.filter(F.col("wk") != "").select("wk"), "wk", "left_semi").select("key")
     x, y = (t.select(F.col("key").alias(n), F.col("nk").alias(f"n{n}"), F.col("wk").alias(f"w{n}")) for t, n in ((new, "x"), (accepted, "y")))
     words = _word_pairs(_prefixes(new), old_words).join(x, "x").join(y, "y").select("x", F.split("wx", " ").alias("a"), F.split("wy", " ").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     words = words.filter(sim.JACCARD_DEN * shared >= sim.JACCARD_NUM * (F.size("a") + F.size("b") - shared)).select(F.col("x").alias("key"))
-    texts = _char_pairs(chars, old_chars).join(x, "x").join(y, "y")
-    texts = texts.filter(sim.sequence_ratio("nx", "ny") >= sim.RATIO_NUM / sim.RATIO_DEN).select(F.col("x").alias("key"))
+    # odd numbers for new texts and even ones for accepted texts, which meet in the blocks of their lengths
+    both = new.select("nk", F.lit(1).alias("side")).unionByName(accepted.select("nk", F.lit(0).alias("side"))).filter(F.col("nk") != "")
+    held = segments.held_texts(both.select((2 * F.monotonically_increasing_id() + F.col("side")).alias("no"), "nk"))
+    texts = new.join(sim.near_texts(held, two_sides=True).select(F.col("nx").alias("nk")), "nk", "left_semi").select("key")
     return same_text.union(same_words).union(words).union(texts).distinct()
 
 
@@ -141,12 +109,9 @@ def accept_batch(cands: DataFrame, path: str, batch: str, key: str = "key", buck
     valid = cands.filter(F.col("verdict") == "ok")
     # one row for each normalized text: what is near to it is near to its copies
     firsts = cut_lineage(valid.groupBy("nk").agg(F.min(key).alias("key"), F.min("wk").alias("wk")).select("key", "nk", "wk"))
-    texts = firsts.select(F.col("key").alias("no"), "nk").filter(F.col("nk") != "")
-    counts = spark.sparkContext.broadcast(segments.gram_counts(texts))
-    chars = cut_lineage(texts.mapInArrow(segments.packed_keys(counts, BUCKETS), segments.PACKED))
     if earlier:
         old = _read(spark, path, earlier, "accepted", _ACCEPTED)
-        near = near_accepted(firsts, chars, old, _read(spark, path, earlier, "chars", segments.PACKED), _read(spark, path, earlier, "words", _WORDS))
+        near = cut_lineage(near_accepted(firsts, old, _read(spark, path, earlier, "words", _WORDS)))
         blocked = firsts.join(near, "key", "left_semi").select("nk", F.lit(True).alias("_near"))
         near_too = valid.join(blocked, "nk", "left").withColumn(
             "verdict", F.when(F.col("_near"), F.lit("near_duplicate")).otherwise(F.col("verdict"))).drop("_near")
@@ -166,18 +131,16 @@ def accept_batch(cands: DataFrame, path: str, batch: str, key: str = "key", buck
     before = so_far.filter(F.col("rule") == "_all").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_before"))
     decisions = gr.explain_rejections(final, key, bucket, jacc, near_chars).crossJoin(F.broadcast(before))
     decisions = cut_lineage(decisions.select(key, "decision", (F.col("accepted_before") + F.col("_before")).alias("accepted_before")))
-    _extend(cands, decisions, counts, path, batch, key)
+    _extend(cands, decisions, path, batch, key)
     return decisions
 
 
-def _extend(cands: DataFrame, decisions: DataFrame, counts, path: str, batch: str, key: str) -> None:
+def _extend(cands: DataFrame, decisions: DataFrame, path: str, batch: str, key: str) -> None:
     """Write the accepted rows of a batch; its counts come last and make it count."""
     taken = decisions.filter(F.col("decision") == "accepted").select(F.col(key).alias("key"))
     rows = cands.withColumnRenamed(key, "key").join(taken, "key", "left_semi")
     rows.select("key", "nk", "wk").write.mode("overwrite").parquet(f"{path}/{batch}/accepted")
     _prefixes(rows.select("key", "wk")).write.mode("overwrite").parquet(f"{path}/{batch}/words")
-    texts = rows.select(F.col("key").alias("no"), "nk").filter(F.col("nk") != "")
-    texts.mapInArrow(segments.packed_keys(counts, BUCKETS), segments.PACKED).write.mode("overwrite").parquet(f"{path}/{batch}/chars")
     entries = [F.struct(F.lit(g).alias("rule"), (F.lit("0") if g in ("_qgroup", "_all") else F.col(g).cast("string")).alias("g"), (F.lit(True) if on is None else F.col(on)).alias("on"))
                for _n, g, _c, on in gr.ALL_RULES]
     per_group = rows.select(F.explode(F.array(*entries)).alias("e")).filter("e.on").groupBy(F.col("e.rule").alias("rule"), F.col("e.g").alias("g")).agg(F.count("*").alias("n"))
